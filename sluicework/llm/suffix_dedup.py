@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import tabled
 from .shingles import U, chunks, flat_bytes
 from .suffix_sort import merge, repeated_windows
 
@@ -184,9 +184,9 @@ def compressed(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, width: int, large: int) -> DataFrame:
     """(doc, th, ranges): for each document with a repeated window, first and last starts, flattened."""
-    found = settled(occurrences(docs, width))
+    found = tabled(occurrences(docs, width))
     content = ["anchor", "c1", "c2"]
-    contents = settled(found.groupBy(*content).agg(F.sum("n").alias("n"), F.min(F.struct("doc", "th", "lo", "run")).alias("at")))
+    contents = tabled(found.groupBy(*content).agg(F.sum("n").alias("n"), F.min(F.struct("doc", "th", "lo", "run")).alias("at")))
     many = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     reps = contents.join(many, "anchor").select("at.*", *content, "n", "k")
     asked = reps.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "run", *content, "n", (F.col("k") > large).alias("split"))).alias("cut"))
