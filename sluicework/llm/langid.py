@@ -98,13 +98,14 @@ class Automata:
                         p = link[p]
                     link[q] = link[cur] = twin
             last = cur
-        table = np.empty((len(go), self.width), np.int32)
-        table[:] = 1  # back to the root: a phrase of a symbol that the sample lacks
+        lone = len(go)  # after a symbol that the sample lacks, which is a phrase of its own
+        table = np.full((lone + 1, self.width), 2 * lone + 1, np.int32)
         for c, s in go[0].items():
             table[:, c] = 2 * s + 1
         for s, edges in enumerate(go):
             for c, t in edges.items():
                 table[s, c] = 2 * t
+        table[0, table[0] == 2 * lone + 1] = 2 * lone  # nothing ends at a text's start
         return table.reshape(-1)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
