@@ -31,7 +31,7 @@ from .shingles import U, chunks, flat_bytes, mix, shingle_sets
 #: Distinct documents of a block.
 BLOCK = 2048
 #: Keys that a task holds before it passes them on.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 class Parts:
@@ -89,14 +89,15 @@ def _pass_on(keys: list[np.ndarray], ids: list[np.ndarray]) -> list[tuple[np.nda
     lead = d[np.flatnonzero(first)][np.cumsum(first) - 1]
     rest = d != lead
     pair = np.unique(np.stack((d[rest], lead[rest]), 1), axis=0) if rest.any() else np.zeros((0, 2), np.int64)
-    return [(k[first], d[first], None), (mix(pair[:, 0].astype(U)), pair[:, 0], pair[:, 1])]
+    by_id = np.flatnonzero(first)[np.argsort(d[first], kind="stable")]  # ids in order compress well in the shuffle
+    return [(k[by_id], d[by_id], None), (mix(pair[:, 0].astype(U)), pair[:, 0], pair[:, 1])]
 
 
 def candidate_links(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """Distinct (a, b): ids that share a key, as stars.  Ids are 64-bit integers; rows with a null id are left out."""
 
     def rows(k: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(a), pa.array(a if b is None else b), pa.array(np.full(len(a), b is not None))], ["key", "a", "b", "edge"])
+        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], ["key", "a", "b"])
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, held, keys, ids = Parts(num, den), 0, [], []
@@ -121,7 +122,8 @@ def candidate_links(docs: DataFrame, n: int, num: int, den: int, id_col: str, te
         """Rows come in the order of key and id, so a group's first id is its smallest; only that is held."""
         key, lead = None, None
         for batch in batches:
-            k, a, b, edge = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            edge = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            k, a, b = (c.fill_null(0).to_numpy(zero_copy_only=False) for c in batch.columns)
             pairs = [np.stack((a[edge], b[edge]), 1)]
             k, a = k[~edge], a[~edge]
             if len(k):
@@ -134,7 +136,7 @@ def candidate_links(docs: DataFrame, n: int, num: int, den: int, id_col: str, te
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
     some = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    dealt = some.mapInArrow(key_rows, "key long, a long, b long, edge boolean").repartition("key").sortWithinPartitions("key", "a")
+    dealt = some.mapInArrow(key_rows, "key long, a long, b long").repartition("key").sortWithinPartitions("key", "a")
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 

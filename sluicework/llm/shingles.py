@@ -15,7 +15,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are hashed at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
