@@ -30,6 +30,8 @@ from .shingles import U, chunks, flat_bytes, mix, shingle_sets
 
 #: Distinct documents of a block.
 BLOCK = 2048
+#: So many ids are sent to all tasks to pick rows by; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Keys that a task holds before it passes them on.
 HELD = 1_000_000
 
@@ -140,6 +142,11 @@ def candidate_links(docs: DataFrame, n: int, num: int, den: int, id_col: str, te
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
+def _picking(ids: DataFrame) -> DataFrame:
+    """``ids``, which is stored, to be broadcast if its counted rows are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def link_sets(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     """For each of the distinct sets the first set that it is joined with by links, itself included."""
     m = len(sets)
@@ -189,7 +196,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     placed = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("node", "component", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t"))
-    unit = texts.join(placed, "node").select("component", "x", "y", "node", "t").repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "node")
+    unit = texts.join(_picking(settled(placed)), "node").select("component", "x", "y", "node", "t").repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "node")
 
     def solve(ids: list[np.ndarray], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         doc = np.concatenate(ids)
@@ -267,7 +274,13 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     from .common import row_tie
 
     comp = components(settled(jaccard_links(docs, n, num, den, id_col, text_col)), "a", "b")
-    gone = comp.where("node <> component").select(F.col("node").alias("_node"))
-    kept = docs.join(gone, F.col(id_col) == F.col("_node"), "left_anti").withColumn("_tie", row_tie(docs))
-    copy = F.row_number().over(W.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.col("_tie"))).orderBy("_tie"))
-    return kept.withColumn("_copy", copy).where((F.col("_copy") == 1) | F.col(id_col).isNull()).drop("_tie", "_copy")
+    gone = settled(comp.where("node <> component").select(F.col("node").alias("_node")))
+    kept = docs.join(_picking(gone), F.col(id_col) == F.col("_node"), "left_anti")
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_node")).agg(F.count(F.lit(1)).alias("n"))
+    twice = settled(ids.where("n > 1").select("_node"))
+    if twice.isEmpty():
+        return kept
+    same = F.col(id_col) == F.col("_node")
+    copy = F.row_number().over(W.partitionBy(id_col).orderBy("_tie"))
+    several = kept.join(twice, same, "left_semi").withColumn("_tie", row_tie(docs)).withColumn("_copy", copy).where("_copy = 1").drop("_tie", "_copy")
+    return kept.join(twice, same, "left_anti").unionByName(several)
