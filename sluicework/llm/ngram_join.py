@@ -1,11 +1,15 @@
-"""N-gram Jaccard join: groups of documents whose shingle sets are similar, without a lost link.
+"""N-gram Jaccard join: groups of documents whose shingle sets are similar.
 
-1. Keys.  Two sets of sizes a and b that are similar enough differ in at most (a + b)(1 - t)/(1 + t)
+1. Keys.  Documents with a common key are candidates.
+   Small sets: two of sizes a and b that are similar enough differ in at most (a + b)(1 - t)/(1 + t)
    elements.  For each range of sizes the shingle space is cut into more parts than that, so similar sets
-   agree in whole parts; the hash of a part's members is a key.  Documents with a common key are
-   candidates.  Empty parts are no evidence; a set that has so many of them that they could hide its last
-   agreeing part uses them as keys too, so the filter is exact.  A passage that many documents share does
-   not make them candidates, as they differ in every part around it.
+   agree in whole parts; the hash of a part's members is a key.  Empty parts are no evidence; a set that has
+   so many of them that they could hide its last agreeing part uses them as keys too, so no pair is lost.
+   Larger sets: a key is the hash of the smallest members of a bin, which two sets share with a chance that
+   falls with a high power of their similarity, so documents that only share a passage are seldom
+   candidates, and chains of them stay short.  There are so many bins that a pair exactly at the threshold
+   is lost with a chance of ``LOST`` (whole parts would lose none, but chained documents into groups that
+   grew faster than the input).
 2. Each task links the documents of a key to the key's smallest one and passes on that one only, so a key
    of a third of all rows reaches the next task as a row per task.  Candidate groups are the components.
 3. Blocks.  A group (or, if it is large, each pair of its blocks) goes to one task, which multiplies rows of
@@ -32,13 +36,19 @@ from .shingles import U, chunks, flat_bytes, mix, shingle_sets
 BLOCK = 2048
 #: So many ids are sent to all tasks to pick rows by; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Sets of fewer members have keys of whole parts.
+SMALL = 64
+#: Hashes of a bin that make its key.
+LEAST = 8
+#: The chance that a pair of larger sets exactly at the threshold has no common key; more similar ones lose less.
+LOST = 1e-9
 #: Keys that a task holds before it passes them on.
 HELD = 1_000_000
 
 
 class Parts:
-    """How sets are cut for the threshold num / den.  Range i holds the sizes lo[i] to hi[i]; instance i
-    serves the pairs within range i and those between ranges i - 1 and i."""
+    """Keys of small sets: similar ones agree in whole parts, for certain.  Range i holds the sizes lo[i] to
+    hi[i]; instance i serves the pairs within range i and those between ranges i - 1 and i."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -64,9 +74,9 @@ class Parts:
         self.parts.append(k)
         self.differ.append(d)
 
-    def keys(self, s: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """Keys of the sorted set ``s``; ``sums`` are the running sums of its mixed members, from 0."""
-        out = []
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """Keys of the sorted set ``s``."""
+        out, sums = [], np.concatenate((np.zeros(1, U), np.cumsum(mix(s))))
         for i in self.instances(len(s)):
             k = self.parts[i]
             # hashes are uniform, so equal ranges of them are the parts
@@ -80,6 +90,64 @@ class Parts:
         return np.concatenate(out)
 
 
+class Bins:
+    """Keys of larger sets: the ``LEAST`` smallest hashes of each bin, under one or more permutations.
+
+    Instance i serves sets of SMALL * 2**i members up to twice as many, and smaller ones that may be similar
+    to such; its number of bins makes the chance that a pair at the threshold has no common key ``LOST``.
+    """
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.shape: list[tuple[int, np.ndarray]] = []
+
+    def _add(self, size: int) -> None:
+        size = max(LEAST + 1, size * self.num // self.den)
+        common = 2 * size * self.num // (self.num + self.den)
+        same = np.prod([(common - k) / (2 * size - common - k) for k in range(LEAST)])
+        bins = int(np.ceil(np.log(LOST) / np.log1p(-min(max(same, 1e-4), 0.9))))
+        each = min(bins, max(1, size * 2 // (3 * LEAST)))
+        seeds = mix(np.arange(1, -(-bins // each) + 1).astype(U) * U(0x9E3779B97F4A7C15) + U(len(self.shape)))
+        self.shape.append((each, seeds[:, None]))
+
+    def instances(self, size: int) -> list[int]:
+        i = (size // SMALL).bit_length() - 1
+        found = [i] if i >= 0 else []
+        if size * self.den >= (SMALL << (i + 1)) * self.num:
+            found.append(i + 1)
+        while found and len(self.shape) <= found[-1]:
+            self._add(SMALL << len(self.shape))
+        return found
+
+    def keys(self, s: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for i in self.instances(len(s)):
+            each, seeds = self.shape[i]
+            x = mix(s[None, :] ^ seeds)
+            x.sort(axis=1)
+            place = ((x >> U(32)) * U(each) >> U(32)).astype(np.int64) + (np.arange(len(seeds)) * each)[:, None]
+            held = np.bincount(place.ravel(), minlength=each * len(seeds))
+            sums = np.concatenate((np.zeros(1, U), np.cumsum(mix(x.ravel()))))
+            end = np.cumsum(held)
+            j = np.flatnonzero(held >= LEAST // 2)  # fewer say little
+            lo = end[j] - held[j]
+            out.append(mix((sums[lo + np.minimum(held[j], LEAST)] - sums[lo]) * U(0x9FB21C651E98DF25) + (j + (i + 1 << 40)).astype(U)))
+        return out
+
+
+class Keys:
+    """Keys of sets of any size, for the threshold num / den."""
+
+    def __init__(self, num: int, den: int):
+        self.parts, self.bins = Parts(num, den), Bins(num, den)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        found = self.bins.keys(s)
+        if len(s) < SMALL:
+            found.append(self.parts.keys(s))
+        return np.concatenate(found)
+
+
 def _pass_on(keys: list[np.ndarray], ids: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """(key, smallest id, None) once for each key, and (a hash, id, that smallest id) for the other ids, each pair once."""
     if not keys:
@@ -102,17 +170,16 @@ def candidate_links(docs: DataFrame, n: int, num: int, den: int, id_col: str, te
         return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], ["key", "a", "b"])
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, held, keys, ids = Parts(num, den), 0, [], []
+        cut, held, keys, ids = Keys(num, den), 0, [], []
         with np.errstate(over="ignore"):
             for batch in batches:
                 data, off = flat_bytes(batch.column(1))
                 doc = batch.column(0).to_numpy(zero_copy_only=False)
                 for lo, hi in chunks(off):
                     h, at = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-                    sums = np.concatenate((np.zeros(1, U), np.cumsum(mix(h))))
                     for x, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                         if z > a:
-                            keys.append(cut.keys(h[a:z], sums[a : z + 1]))
+                            keys.append(cut.of(h[a:z]))
                             ids.append(np.full(len(keys[-1]), doc[lo + x], np.int64))
                             held += len(keys[-1])
                     if held >= HELD:
