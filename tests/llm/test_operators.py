@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,6 +269,29 @@ def test_ngram_join(spark, docs, empty, n, num, den, block):
     assert ngram_join.similar_groups(empty, n, num, den).count() == 0
 
 
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100)])
+def test_pairs_at_the_threshold_share_a_key(num, den):
+    """Sets of all sizes, around the seams between ranges above all, with the smaller one inside the larger or of equal size."""
+    r, keys = np.random.default_rng(7), ngram_join.Keys(num, den)
+    seams = [x for s in (64, 128, 256, 1024) for x in (s * num // den - 1, s * num // den, s * num // den + 1, s - 1, s, s + 1, s * den // num)]
+    with np.errstate(over="ignore"):
+        for size in [*range(1, 90), *seams, 700, 5000] * 3:
+            pool = r.integers(0, 2**64, 3 * size + 3, np.uint64)
+            a = pool[:size]
+            inside = pool[: -(-size * num // den)]  # |a & b| / |a | b| is at the threshold or just above
+            common = -(-2 * size * num // (num + den))
+            equal = np.concatenate((pool[:common], pool[2 * size : 3 * size - common]))
+            for b in (inside, equal):
+                assert len(np.intersect1d(a, b)) * den >= num * len(np.union1d(a, b))
+                assert np.intersect1d(keys.of(np.sort(a)), keys.of(np.sort(b))).size
+        # sets that share a quarter of their members, as by a common passage, hardly ever meet
+        met = 0
+        for _ in range(200):
+            pool = r.integers(0, 2**64, 280, np.uint64)
+            met += bool(np.intersect1d(keys.of(np.sort(pool[:160])), keys.of(np.sort(pool[120:]))).size)
+        assert met <= 10
+
+
 def test_empty_tables(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
     assert tokens.token_counts(empty).count() == 0
