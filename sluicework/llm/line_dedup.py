@@ -5,9 +5,12 @@ of fewer bytes is one shingle).  A line is named by a 64-bit hash of its normali
 one row from the first aggregation on, which also takes the minima that make up the signature, so a line
 repeated in a third of all documents is a row per task.
 
-Lines that agree in a band are candidates.  A bucket isn't expanded into pairs: each member is paired with
-the bucket's first line and with its neighbours in the order of another minimum.  Pairs are verified by
-exact Jaccard similarity of the shingle sets; verified pairs are links of a distributed union-find.
+Lines that agree in a band and in ``AGREE`` minima altogether are candidates.  Small buckets are expanded into
+pairs.  A large one is first linked by each member's pairs with the bucket's first line and two others; then it
+is divided by every further minimum, and what is still large again, until ``AGREE`` minima are shared.  A pair
+that agrees in so many stays together on one of these ways, so dividing loses none.  The parts are compared
+block by block, except blocks that are linked already.  Pairs are verified by exact Jaccard similarity of the
+shingle sets; verified pairs are links of a distributed union-find.
 """
 
 from __future__ import annotations
@@ -25,8 +28,12 @@ THRESHOLD = 0.8
 BANDS, ROWS = 6, 2
 #: Of twelve minima a pair of similarity 0.8 agrees in fewer than five once in 1,700 times.
 AGREE = 5
-#: Neighbours in a bucket's order that a line is compared with, besides its first line.
+#: Buckets of more lines are divided by further minima.
+LARGE = 64
+#: Neighbours in a large bucket's order that a line is linked with first, besides the bucket's first line.
 NEIGHBOURS = 2
+#: Lines to a block of what can't be divided further.
+BLOCK = 256
 #: So many names of lines (8 bytes each) are sent to all tasks to pick texts by; more are joined by a shuffle.
 BROADCAST_NAMES = 1_000_000
 
@@ -47,25 +54,87 @@ def signatures(rows: DataFrame) -> DataFrame:
     return shingle.select("h", F.shiftright(F.xxhash64(F.substring("b", F.col("p"), F.lit(K))), 32).cast("int").alias("x")).groupBy("h").agg(*(F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)))
 
 
-def candidate_pairs(sig: DataFrame) -> DataFrame:
-    """Distinct (a, b) of lines that share a band and agree in ``AGREE`` minima."""
-    band = F.explode(F.array(*(F.xxhash64(F.lit(i), *(f"m{i * ROWS + r}" for r in range(ROWS))) for i in range(BANDS))))
-    other = F.xxhash64(*(f"m{i * ROWS}" for i in range(BANDS)))
-    sig = tabled(sig)
-    member = sig.select("h", other.alias("o"), band.alias("band"))
-    # lines alone in their bucket go no further; counting them combines before the shuffle
-    first = member.groupBy("band").agg(F.min("h").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # a bucket is ordered in slices by another hash, so no task orders a whole bucket
-    order = W.partitionBy("band", F.pmod("o", F.lit(64))).orderBy("o", "h")
-    near = member.join(first, "band").select("h", "lead", *(F.lag("h", k).over(order).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)))
+def shared_keys(member: DataFrame) -> DataFrame:
+    """``member`` (h, key, ...) with ``n``, the lines of its key; lines alone go no further."""
+    # counting combines before the shuffle
+    size = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return tabled(member.join(size, "key"))
+
+
+def first_pairs(shared: DataFrame) -> DataFrame:
+    """Distinct (a, b): all pairs of small buckets; of large ones each line with the first and its neighbours."""
+    few = shared.where(F.col("n") <= LARGE).select("key", "h")
+    small = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "key").where("a < b").select("a", "b")
+    many = shared.where(F.col("n") > LARGE)
+    first = many.groupBy("key").agg(F.min("h").alias("lead"))
+    # a bucket is ordered in slices, so no task orders a whole bucket
+    order = W.partitionBy("key", F.pmod("o", F.lit(64))).orderBy("o", "h")
+    near = many.join(first, "key").select("h", "lead", *(F.lag("h", k).over(order).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)))
     pair = near.select("h", F.explode(F.array("lead", *(f"l{k}" for k in range(1, NEIGHBOURS + 1)))).alias("g")).where("g is not null and g <> h")
-    pair = pair.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
+    return small.union(pair.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"))).distinct()
+
+
+def block_pairs(part: DataFrame) -> DataFrame:
+    """(a, b) of lines of one ``key`` that are in different classes ``c``, from (key, h, c); blocks of one class aren't opened."""
+    at = F.row_number().over(W.partitionBy("key").orderBy("c", "h")) - 1
+    part = settled(part.select("key", "h", "c", F.floor(at / BLOCK).cast("int").alias("i")))
+    block = part.groupBy("key", "i").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    two = block.toDF("key", "i", "lo", "hi").join(block.toDF("key", "j", "lo2", "hi2"), "key").where("i <= j and not (lo = hi2 and hi = lo2)").select("key", "i", "j")
+    left = part.select("key", "i", F.col("h").alias("x"), F.col("c").alias("cx"))
+    right = part.select("key", F.col("i").alias("j"), F.col("h").alias("y"), F.col("c").alias("cy"))
+    both = two.join(left, ["key", "i"]).join(right, ["key", "j"]).where("cx <> cy and (i < j or x < y)")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def divided_pairs(shared: DataFrame, sig: DataFrame, comp: DataFrame) -> DataFrame | None:
+    """Distinct (a, b) of the large buckets' lines that aren't in one class of ``comp`` yet; None without large buckets."""
+    many = shared.where(F.col("n") > LARGE).select("key", "h", "i")
+    # buckets that are one class are done
+    c = F.coalesce("component", "h").alias("c")
+    part = many.join(comp, "h", "left").select("key", "h", "i", c)
+    mixed = lambda p: p.join(p.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "key", "left_semi")
+    part = mixed(settled(part))
+    minima = F.array(*(f"m{i}" for i in range(BANDS * ROWS)))
+    part = settled(part.join(sig.select("h", minima.alias("m")), "h").select("key", "h", "c", "m", F.array(*(F.col("i") * ROWS + r for r in range(ROWS))).alias("band"), F.lit(-1).alias("last")))
+    found = None
+    for level in range(AGREE - ROWS):
+        if part.isEmpty():
+            break
+        # further minima in rising order, so that a set of them is one way
+        j = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), lambda x: (x > F.col("last")) & ~F.array_contains("band", x))).alias("j")
+        sub = part.select("key", "h", "c", "m", "band", j)
+        sub = sub.select(F.xxhash64("key", "j", F.get("m", F.col("j"))).alias("key"), "h", "c", "m", "band", F.col("j").alias("last"))
+        size = sub.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "n")
+        sub = tabled(sub.join(size, "key"))
+        end = level == AGREE - ROWS - 1
+        pairs = block_pairs(sub if end else sub.where(F.col("n") <= LARGE))
+        found = pairs if found is None else found.union(pairs)
+        part = sub.where(F.col("n") > LARGE)
+    return None if found is None else found.distinct()
+
+
+def agreeing(pair: DataFrame, sig: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in ``AGREE`` minima."""
     minima = F.array(*(f"m{i}" for i in range(BANDS * ROWS)))
     both = pair.join(sig.select(F.col("h").alias("a"), minima.alias("ma")), "a").join(sig.select(F.col("h").alias("b"), minima.alias("mb")), "b")
     agree = sum((F.get("ma", F.lit(i)) == F.get("mb", F.lit(i))).cast("int") for i in range(BANDS * ROWS))
     return both.where(agree >= AGREE).select("a", "b")
 
 
+def similar_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, jaccard): links between distinct lines whose components are the classes."""
+    sig = tabled(signatures(rows))
+    member = sig.select("h", F.xxhash64(*(f"m{i * ROWS}" for i in range(BANDS))).alias("o"), F.posexplode(F.array(*(F.xxhash64(F.lit(i), *(f"m{i * ROWS + r}" for r in range(ROWS))) for i in range(BANDS)))).alias("i", "key"))
+    shared = shared_keys(member)
+    links = verified(settled(agreeing(first_pairs(shared), sig)), rows)
+    if shared.where(F.col("n") > LARGE).isEmpty():
+        return links
+    more = divided_pairs(shared, sig, components(links, "a", "b").withColumnRenamed("node", "h"))
+    if more is None:
+        return links
+    return links.union(verified(settled(agreeing(more, sig)), rows))
+
+
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, jaccard) of the pairs that reach the threshold."""
     asked = settled(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
@@ -83,7 +152,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lines without their text, with ``kept``; links (a, b, jaccard) between distinct lines)."""
     rows = lines(docs, id_col, text_col)
-    links = verified(settled(candidate_pairs(signatures(rows))), rows)
+    links = similar_pairs(rows)
     comp = components(links, "a", "b").where("node <> component").withColumnRenamed("node", "h")
     narrow = tabled(rows.select("doc_id", "at", "h").join(comp, "h", "left").select("doc_id", "at", F.coalesce("component", "h").alias("class")))
     keeper = narrow.groupBy("class").agg(F.min(F.struct("doc_id", "at")).alias("keep"))

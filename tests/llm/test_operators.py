@@ -209,6 +209,26 @@ def test_lines(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_similar_lines_that_share_a_template(spark):
+    """1,200 lines of one template, alike in pairs only: recall against brute force."""
+    r = random.Random(11)
+    rnd = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    template, rows = "the following page of this site was last changed by the user whose name and address are given: ", []
+    for _ in range(600):
+        own = rnd(40)
+        rows += [template + own, template + own[:20] + rnd(2) + own[22:]]
+    sets = [{t[p : p + 8] for p in range(len(t) - 7)} for t in rows]
+    alike = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) >= 590
+    narrow, links = line_dedup.line_classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4))
+    name = {x["doc_id"]: x["class"] for x in narrow.collect()}
+    found = sum(name[a] == name[b] for a, b in alike)
+    print("recall", found, "of", len(alike))
+    assert found >= 0.995 * len(alike)
+    assert len(set(name.values())) >= len(rows) - len(alike)
+    assert links.where("jaccard < 0.8").count() == 0
+
+
 def test_language(spark, sf):
     from sluicework.llm import queries
 
