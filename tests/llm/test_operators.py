@@ -209,6 +209,15 @@ def test_lines(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_differ_in_white_space_only(spark):
+    rows = [(1, "short\nTo be  or not\n\n a b"), (2, "short\r\n\r\nto be or not\r\n\t\r\nother\r\n"), (3, "\tto\tbe or \x0b not \nA\tB\n \f "), (4, "\r\n \r\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_kept"], r["dropped"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: (3, 3, ""), 2: (3, 1, "0,2"), 3: (2, 0, "0,1"), 4: (0, 0, "")}
+    text = {r["doc_id"]: r["text"] for r in line_dedup.without_dropped_lines(docs).collect()}
+    assert text == {1: rows[0][1], 2: "\r\n\t\r\nother\r\n", 3: " \f ", 4: "\r\n \r\n"}
+
+
 def test_similar_lines_that_share_a_template(spark):
     """1,200 lines of one template, alike in pairs only: recall against brute force."""
     r = random.Random(11)
