@@ -1,13 +1,15 @@
-"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
+"""Mixing sources to target weights by Sainte-Laguë apportionment, filled from equal-token blocks.
 
 1. Targets: sources share all tokens by weight; no target passes ``limit`` times what its source has, and
    the excess is shared again by weight (water filling, solved in closed form over the sorted ratios).
-2. Seats: the mix is ``shards * seats`` blocks of equally many tokens.  The seats go to the highest
-   quotients target / (2k + 1).  Seat number r belongs to shard r div seats, which gives every shard
-   integer quotas.  Only quotients that can win are listed, so the ranked table is bounded by
-   shards * seats + 2 * sources rows, whatever the corpus holds.
-3. Blocks: each source's documents, in seeded order, are one stream of tokens, cut into blocks.  A quota
-   takes whole passes over the blocks, then the rest by seeded rank (the short last block comes last).
+2. Seats: every word of the mix is a seat.  The seats go to the highest quotients target / (2k + 1).  Seat
+   number r belongs to the shard of its place among all seats, which gives every shard integer quotas.  The
+   seats before a shard's end are an apportionment of their own (the method is house-monotone), so only
+   the few seats that rounding leaves open are ranked: fewer than 16 rows for each source and shard.  No
+   source is off its target by more than rounding moves, whatever the other sources hold.
+3. Blocks: each source's documents, in seeded order, are one stream of tokens, cut into blocks of equally
+   many.  A quota takes whole passes over the stream, then whole blocks by seeded rank, the short last block
+   by its tokens, and the rest from the beginning of the next block: exactly the quota.
 
 A document is taken as often as the blocks that it lies in; that is read off the running sum of copies at
 its two ends, so no row is made per block and document.  Everything is DataFrame operations.
@@ -26,7 +28,7 @@ WEIGHTS = (1, 2, 3)
 #: No source and no document is taken more often than this.
 LIMIT = 3
 SHARDS = 16
-#: Seats per shard.
+#: Blocks of the corpus per shard.
 SEATS = 2048
 
 
@@ -57,28 +59,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     return ranked.withColumn("target", F.least(target, F.col("cap"))).withColumn("all", F.sum("size").over(every)).select("g", "source", "size", "place", "weight", "target", "all")
 
 
-def seat_quotas(targets: DataFrame, shards: int = SHARDS, seats: int = SEATS, limit: int = LIMIT) -> DataFrame:
-    """One row per source and shard that it has seats in: (g, shard, quota), and the block size ``block``."""
-    total = shards * seats
+def seat_quotas(targets: DataFrame, shards: int = SHARDS, limit: int = LIMIT) -> DataFrame:
+    """One row per source and shard that it has words in: (g, shard, quota)."""
     every = W.partitionBy(F.lit(0))
-    t = targets.withColumn("block", F.greatest(F.lit(1), F.expr(f"(all + {total - 1}) div {total}")))
-    t = t.withColumn("wanted", F.expr("(all + block - 1) div block")).withColumn("sources", F.count(F.lit(1)).over(every))
-    most = F.least(F.floor(F.col("target") * (F.col("wanted") + F.col("sources")) / F.col("all") + 0.5) + 1, F.expr(f"{limit} * ((size + block - 1) div block)"))
-    seat = t.where("target > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long") - 1)))
-    seat = seat.withColumn("r", F.row_number().over(W.partitionBy(F.lit(0)).orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), "place")) - 1)
-    return seat.where("r < wanted").groupBy("g", F.expr(f"r div greatest(1, (wanted + {shards - 1}) div {shards})").alias("shard")).agg(F.count(F.lit(1)).alias("quota"), F.first("block").alias("block"), F.first("size").alias("size"))
-
-
-def block_copies(quotas: DataFrame, seed: int = 42) -> DataFrame:
-    """(g, j, copies, cum): how often block j of a source is taken, and the tokens taken from the blocks before it."""
-    q = quotas.groupBy("g").agg(F.sum("quota").alias("quota"), F.first("block").alias("block"), F.first("size").alias("size"))
+    t = targets.where("target > 0").withColumn("most", F.expr(f"{limit} * size")).withColumn("sources", F.count(F.lit(1)).over(every))
+    # sources at their limit take no more, so the others share what rounding moves
+    t = t.withColumn("open", F.sum(F.when(F.col("target") < F.col("most"), F.col("target")).otherwise(0.0)).over(every)).withColumn("open", F.when(F.col("open") > 0, F.col("open")).otherwise(F.col("all")))
+    t = t.withColumn("end", F.explode(F.sequence(F.lit(1), F.lit(shards)))).withColumn("house", F.expr(f"least(all, end * ((all + {shards - 1}) div {shards}))"))
+    low = F.least(F.col("most"), F.greatest(F.lit(0), F.floor(F.col("target") * (F.col("house") - F.col("sources")) / F.col("all")) - 1)).cast("long")
+    high = F.least(F.col("most"), F.floor(F.col("target") * (F.col("house") / F.col("all") + F.col("sources") / F.col("open"))) + 2).cast("long")
+    t = t.withColumn("low", low).withColumn("high", high)
+    sure = t.select("g", "end", F.col("low").alias("n"))
+    seat = t.withColumn("left", F.col("house") - F.sum("low").over(W.partitionBy("end"))).where("high > low").withColumn("k", F.explode(F.sequence("low", F.col("high") - 1)))
+    seat = seat.withColumn("r", F.row_number().over(W.partitionBy("end").orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), "place"))).where("r <= left")
+    ends = sure.union(seat.select("g", "end", F.lit(1).cast("long"))).groupBy("g", "end").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.lag("n").over(W.partitionBy("g").orderBy("end")), F.lit(0))
+    return ends.select("g", (F.col("end") - 1).alias("shard"), (F.col("n") - before).alias("quota")).where("quota > 0")
+
+
+def block_copies(quotas: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
+    """(g, j, copies, part, cum): how often block j of a source is taken whole, how many tokens of its beginning
+    are taken once more, and the tokens taken from the blocks before it.  A last row stands for the end."""
+    q = targets.select("g", "size", "block").join(quotas.groupBy("g").agg(F.sum("quota").alias("quota")), "g")
     q = q.withColumn("blocks", F.expr("(size + block - 1) div block"))
-    b = q.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    short = (F.col("j") == F.col("blocks") - 1) & (F.col("size") % F.col("block") != 0)
-    rank = F.row_number().over(W.partitionBy("g").orderBy(short, key60(F.lit(seed), F.col("g"), F.col("j")), "j")) - 1
-    b = b.withColumn("copies", F.expr("quota div blocks") + (rank < F.col("quota") % F.col("blocks")).cast("long"))
+    b = q.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
+    b = b.withColumn("tokens", F.greatest(F.lit(0), F.least(F.col("block"), F.col("size") - F.col("j") * F.col("block"))))
+    short = F.col("tokens") < F.col("block")
+    filled = W.partitionBy("g").orderBy(short, key60(F.lit(seed), F.col("g"), F.col("j")), "j").rowsBetween(W.unboundedPreceding, -1)
+    rest = F.expr("quota % size") - F.coalesce(F.sum("tokens").over(filled), F.lit(0))
+    b = b.withColumn("copies", F.expr("quota div size")).withColumn("part", F.least(F.col("tokens"), F.greatest(F.lit(0), rest)))
     before = W.partitionBy("g").orderBy("j").rowsBetween(W.unboundedPreceding, -1)
-    return b.select("g", "j", "copies", (F.coalesce(F.sum("copies").over(before), F.lit(0)) * F.col("block")).alias("cum"))
+    return b.select("g", "j", "copies", "part", F.coalesce(F.sum(F.col("copies") * F.col("tokens") + F.col("part")).over(before), F.lit(0)).alias("cum"))
 
 
 def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", source: str = "source", size_col: str | None = None, shards: int = SHARDS, seats: int = SEATS) -> DataFrame:
@@ -97,22 +108,19 @@ def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", source: str = "
     totals = docs.select(F.col(source).cast("string").alias("source"), group_key(F.col(source)).alias("g"), h, size.alias("size")).groupBy("g", (F.col("h") % b).alias("bucket")).agg(F.sum("size").alias("n"), F.first("source").alias("source"))
     sizes = totals.groupBy("g").agg(F.first("source").alias("source"), F.sum("n").alias("size"))
     targets = source_targets(sizes)
-    quotas = seat_quotas(targets, shards, seats)
-    copies = block_copies(quotas, seed)
-    block = targets.select("g", F.col("size").alias("source_size"), "target", F.greatest(F.lit(1), F.expr(f"(all + {shards * seats - 1}) div {shards * seats}")).alias("block"))
+    targets = targets.withColumn("block", F.greatest(F.lit(1), F.expr(f"(all + {shards * seats - 1}) div {shards * seats}")))
+    copies = block_copies(seat_quotas(targets, shards), targets, seed)
+    block = targets.select("g", F.col("size").alias("source_size"), "target", "block")
 
     placed = running_totals(rows, totals.select("g", "bucket", "n"), "g", "bucket", [F.col("h"), F.col("tie"), F.col("size")], F.col("size"))
     known = totals.select("g", "bucket").join(block, "g")  # the hot source's rows meet by bucket, not by source
     placed = placed.join(known, ["g", "bucket"]).withColumn("end", F.col("before") + F.col("size"))
     placed = placed.withColumn("j0", F.expr("before div block")).withColumn("j1", F.expr("end div block"))
-    at = copies.select(F.col("g"), F.col("j").alias("j0"), F.col("copies").alias("c0"), F.col("cum").alias("s0"))
-    to = copies.select(F.col("g"), F.col("j").alias("j1"), F.col("copies").alias("c1"), F.col("cum").alias("s1"))
-    ends = copies.groupBy("g").agg(F.max_by(F.col("cum"), F.col("j")).alias("cum"), F.max_by(F.col("copies"), F.col("j")).alias("copies"), F.max("j").alias("j"))
-    # a source's last document may end exactly where a block would begin
-    over = ends.join(block, "g").select("g", (F.col("j") + 1).alias("j1"), F.lit(0).cast("long").alias("c1"), (F.col("cum") + F.col("copies") * F.col("block")).alias("s1"))
-    to = to.unionByName(over)
+    at = copies.select(F.col("g"), F.col("j").alias("j0"), F.col("copies").alias("c0"), F.col("part").alias("p0"), F.col("cum").alias("s0"))
+    to = copies.select(F.col("g"), F.col("j").alias("j1"), F.col("copies").alias("c1"), F.col("part").alias("p1"), F.col("cum").alias("s1"))
     got = placed.join(at, ["g", "j0"], "left").join(to, ["g", "j1"], "left")
-    taken = (F.col("s1") + F.col("c1") * (F.col("end") % F.col("block"))) - (F.col("s0") + F.col("c0") * (F.col("before") % F.col("block")))
+    upto = lambda s, c, p, x: F.col(s) + F.col(c) * x + F.least(F.col(p), x)
+    taken = upto("s1", "c1", "p1", F.col("end") % F.col("block")) - upto("s0", "c0", "p0", F.col("before") % F.col("block"))
     return got.select("row", "h", "size", "source_size", "target", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.coalesce(taken, F.lit(0))).cast("long").alias("taken"))
 
 

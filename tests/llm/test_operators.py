@@ -93,6 +93,31 @@ def test_mix_meets_its_targets(docs):
     assert sorted((str(r["row"]), r["taken"]) for r in m) == again
 
 
+def test_mix_keeps_tiny_sources_near_their_targets(spark):
+    """Sources from 1 word up beside one of 80 million and one of 5 million, whose blocks are larger than most."""
+    sizes = {"a": [400], "b": [1000, 1], "c": [3000] * 3, "d": [1], "e": [10_000_000] * 8, "f": [5] * 2000, "g": [7, 0, 5_000_000], "h": [2441], "i": [2443]}
+    rows = [(f"{s}{i}", s, n) for s, ns in sizes.items() for i, n in enumerate(ns)]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, words long")
+    m = mixing.mix(docs, size_col="words").collect()
+    assert len(m) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in m)
+    for s, ns in sizes.items():
+        mine = [r for r in m if r["row"]["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1 + len(sizes) / 2, s
+    assert sum(r["taken"] for r in m) == sum(map(sum, sizes.values()))
+    kept = Counter(r["source"] for r in mixing.mixed_documents(docs, size_col="words").collect())
+    assert set(kept) == set(sizes) and kept["d"] == 3 and kept["a"] == 3
+
+
+def test_seat_quotas_are_those_of_ranking_all_seats(spark):
+    for sizes in ([1, 2, 3, 50, 400], [7], [1] * 30 + [100], [0, 10, 10]):
+        t = mixing.source_targets(spark.createDataFrame([(f"={i:02}", f"{i:02}", n) for i, n in enumerate(sizes)], "g string, source string, size long"))
+        rows = t.collect()
+        seats = sorted((-r["target"] / (2 * k + 1), r["place"], r["g"]) for r in rows for k in range(3 * r["size"]))[: sum(sizes)]
+        per = -(-sum(sizes) // 16)
+        want = Counter((g, i // per) for i, (_, _, g) in enumerate(seats))
+        assert {(r["g"], r["shard"]): r["quota"] for r in mixing.seat_quotas(t).collect()} == want
+
+
 def test_mix_of_nothing(empty):
     assert mixing.mix(empty).count() == 0
 
