@@ -1,6 +1,7 @@
 """Licence scans by sparse TF-IDF cosine to templates, and inheritance from the nearest directory above.
 
-Every sentence of every text is compared with the templates.  A sentence that is as near as ``THRESHOLD``
+Every sentence of every text is compared with the short notices; every paragraph and every text as a whole, with
+the standard headers and full licence texts; SPDX lines are read as they are.  A sentence that is as near as ``THRESHOLD``
 to a template shares one of its telling words: words on the list ``COMMON`` carry so little of every
 template's weight that they can't reach the threshold alone (Cauchy-Schwarz; checked when the templates are
 weighed).  So only sentences with a telling word are split into words; all others have been decided.
@@ -12,10 +13,14 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settled
+
 THRESHOLD = 0.7
 
 # Short notices of common licences by SPDX identifier.
@@ -40,6 +45,27 @@ TEMPLATES = (
 # Words too common to point to a licence.
 COMMON = ("all", "and", "by", "into", "is", "of", "or", "the", "this", "to", "under", "0", "1", "2", "3", "4")
 
+# Standard headers that don't begin with a short notice, one distinguishing paragraph each.
+_GNU = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+HEADERS = (
+    ("AGPL-3.0", _GNU.format("program", "Affero ", 3)),
+    ("GPL-2.0", _GNU.format("program", "", 2)),
+    ("GPL-3.0", _GNU.format("program", "", 3)),
+    ("LGPL-3.0", _GNU.format("library", "Lesser ", 3)),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((n, f"Distributed under the {t} license, see the file LICENSE for details.") for n, t in (("MIT", "MIT"), ("ISC", "ISC"), ("BSD-2-Clause", "BSD 2-Clause"), ("BSD-3-Clause", "BSD 3-Clause"), ("Apache-2.0", "Apache 2.0"))),
+)
+#: Full texts, a file for each licence.
+TEXTS = Path(__file__).resolve().parent / "licence_texts"
+# Words that count nothing in headers and full texts.
+STOP = frozenset("a all an and any are as at be been by can do does for from has have if in into is it its may must no not of on or other our shall should such that the their then there these they this those to under upon was we were what when where which who will with without would you your".split())
+# Numbers and a German word, which tell of a licence only where the others don't carry enough weight.
+EVERYDAY = frozenset(("0", "1", "2", "3", "mit"))
+#: Parts of a file between lines without a letter or digit.
+PARAGRAPH = r"\n[^A-Za-z0-9\n]*\n"
+SPDX = r"SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]*[A-Za-z0-9])"
+
 SENTENCE = r"\n|(?<=[.!?;])[ \t]+"
 TOKEN = "[^a-z0-9]+"
 
@@ -65,6 +91,54 @@ def weigh(templates: tuple = TEMPLATES) -> tuple[dict[str, dict[str, float]], di
     return vectors, idf, math.log(1 + n) + 1
 
 
+@cache
+def weigh_long() -> tuple[list[tuple[str, str, float]], dict[str, float], float, frozenset[str]]:
+    """(weights (word, template, weight) of headers and full texts, idf, idf of unseen words, telling words).
+
+    A template is named ``licence#number``.  Its telling words are its heaviest ones, everyday words last, until
+    the others can't reach the threshold (Cauchy-Schwarz).
+    """
+    texts = [*HEADERS, *((p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt")))]
+    bags = {f"{name}#{i}": [w for w in tokens(t) if w not in STOP] for i, (name, t) in enumerate(texts)}
+    df = {w: sum(w in set(b) for b in bags.values()) for w in {w for b in bags.values() for w in b}}
+    idf = {w: math.log((1 + len(bags)) / (1 + d)) + 1 for w, d in df.items()}
+    weights, telling = [], set()
+    for name, b in bags.items():
+        v = {w: b.count(w) * idf[w] for w in set(b)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        rest = 1.0
+        for w, x in sorted(v.items(), key=lambda e: (e[0] in EVERYDAY, -e[1], e[0])):
+            weights.append((w, name, x / norm))
+            if rest >= THRESHOLD**2 - 1e-6:
+                telling.add(w)
+                rest -= (x / norm) ** 2
+    return weights, idf, math.log(1 + len(bags)) + 1, frozenset(telling)
+
+
+def long_matches(files: DataFrame, text_col: str, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, at, score, licence) of paragraphs and whole files (at = 0) near a header or full text, and of SPDX lines."""
+    weights, idf, unseen, telling = weigh_long()
+    spark = files.sparkSession
+    known = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', {x!r}D)" for w, x in sorted(idf.items())) + " AS t(w, idf)")
+    weight = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', '{n}', {x!r}D)" for w, n, x in sorted(weights)) + " AS t(w, template, weight)")
+    pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(telling)) + r")(?![a-z0-9])"
+    part = F.split(text_col, PARAGRAPH)
+    units = F.concat(F.transform(part, lambda s, i: F.struct(i.alias("at"), F.lit(False).alias("whole"), s.alias("s"))), F.when(F.size(part) > 1, F.array(F.struct(F.lit(0).alias("at"), F.lit(True).alias("whole"), F.col(text_col).alias("s")))).otherwise(F.array()))
+    unit = files.where(F.col(text_col).rlike(pattern)).select(*keys, F.explode(units).alias("u")).select(*keys, "u.*").where(F.col("s").rlike(pattern))
+    by = (*keys, "at", "whole")
+    word = unit.select(*by, F.explode(F.split(F.lower("s"), TOKEN)).alias("w")).where((F.col("w") != "") & ~F.col("w").isin(*sorted(STOP)))
+    tf = word.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("tf"))
+    x = tf.join(F.broadcast(known), "w", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unseen)))  # a constant table
+    norm = x.groupBy(*by).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dot = x.where("idf is not null").join(F.broadcast(weight), "w").groupBy(*by, "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot")).where(f"dot >= {THRESHOLD}")
+    near = dot.join(norm, list(by)).select(*keys, "at", F.round(F.col("dot") / F.col("norm"), 9).alias("score"), F.substring_index("template", "#", 1).alias("licence")).where(F.col("score") >= THRESHOLD)
+    ids = {n.lower(): n for n, _ in TEMPLATES}
+    name = F.regexp_replace(F.lower(F.regexp_extract(text_col, SPDX, 1)), r"(-only|-or-later|\+)$", "")
+    spdx = files.where(F.col(text_col).contains("SPDX-License-Identifier:")).select(*keys, F.size(F.split(F.substring_index(text_col, "SPDX-License-Identifier:", 1), "\n")).alias("n"), name.alias("name"))
+    named = spdx.where(F.col("name").isin(*ids)).select(*keys, (F.col("n") - 1).alias("at"), F.lit(1.0).alias("score"), F.element_at(F.create_map(*(F.lit(v) for e in ids.items() for v in e)), F.col("name")).alias("licence"))
+    return near.unionByName(named)
+
+
 def telling_pattern(idf: dict[str, float]) -> str:
     return r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(w for w in idf if w not in COMMON)) + r")(?![a-z0-9])"
 
@@ -72,8 +146,8 @@ def telling_pattern(idf: dict[str, float]) -> str:
 def template_matches(files: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("path", "th")) -> DataFrame:
     """Keys, ``licence``, ``score``, ``first``: the best template of each file that reaches the threshold.
 
-    Ties go to the licence that comes first by name, then to the earlier sentence; ``first`` tells that the
-    sentence is the file's first.
+    A licence comes before "All rights reserved.", a line of many of them.  Ties go to the licence that comes first by name, then to the earlier sentence; ``first`` tells that the
+    sentence or paragraph is the file's first, or that it is the whole file.
     """
     vectors, idf, unseen = weigh()
     names = sorted(vectors)
@@ -92,7 +166,8 @@ def template_matches(files: DataFrame, text_col: str = "text", keys: tuple[str,
     for i in reversed(range(len(names))):
         name = F.when(F.col(f"_{i}") == best, F.lit(names[i])).otherwise(name)
     hit = scored.select(*keys, "at", best.alias("score"), name.alias("licence")).where(F.col("score") >= THRESHOLD)
-    top = hit.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), "licence", "at")).alias("b"))
+    hit = hit.unionByName(long_matches(files, text_col, keys))
+    top = hit.groupBy(*keys).agg(F.min(F.struct((F.col("licence") == "Proprietary").alias("p"), (-F.col("score")).alias("s"), "licence", "at")).alias("b"))
     return top.select(*keys, "b.licence", (-F.col("b.s")).alias("score"), (F.col("b.at") == 0).alias("first"))
 
 
@@ -109,7 +184,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", is_li
     drop = ("own_licence", "score", "inherited_licence", "inherited_from", "licence", "path", "th")
     rest = [c for c in files.columns if c not in (text_col, path_col, *drop)]
     keyed = files.select(*(F.col(f"`{c}`") for c in rest), F.col(path_col).cast("string").alias("path"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("_text"))
-    found = template_matches(keyed.where("path is not null and _text is not null"), "_text")
+    # read twice below, and small
+    found = settled(template_matches(keyed.where("path is not null and _text is not null"), "_text"))
     given = found.where(cond).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.min_by("licence", F.struct("path", "licence")).alias("licence"))
     narrow = keyed.drop("_text").withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
     dirs = narrow.select("dir").where("dir is not null").distinct()

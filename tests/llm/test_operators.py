@@ -226,6 +226,27 @@ def test_licenses(spark):
     assert got == {("/a/LICENSE", "MIT", "/a"), ("/a/b/x.py", "GPL-3.0", "/a/b"), ("/a/b/COPYING", "GPL-3.0", "/a/b"), ("/a/b/c/y.py", "GPL-3.0", "/a/b"), ("/z/q.py", "Apache-2.0", None), ("/z/r.py", None, None), (None, None, None)}
 
 
+def test_licences_by_header_full_text_and_spdx_line(spark):
+    gpl = """/* frob.c
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY.
+ */
+
+int main(void) { return 0; }
+"""
+    rows = [(f"/{p.stem}/LICENSE", f"Copyright (c) 2021 Jane Doe\n\n{p.read_text()}", p.stem) for p in sorted(licenses.TEXTS.glob("*.txt"))]
+    rows += [("/s/frob.c", gpl, "GPL-3.0"), ("/s/two.c", gpl.replace("version 3", "version 2"), "GPL-2.0"), ("/s/a.c", gpl.replace("GNU General", "GNU Affero General"), "AGPL-3.0"), ("/s/x.py", "# SPDX-License-Identifier: MIT\nimport os\n", "MIT"), ("/s/y.py", "#!/bin/sh\n# SPDX-License-Identifier: GPL-2.0-only\n", "GPL-2.0")]
+    rows += [("/s/z.py", "Distributed under the MIT license, see the file LICENSE for details.", "MIT"), ("/s/n.txt", "A work of fiction.\n\nThe program covers the use of software and the copyright of songs.", None)]
+    got = {r["path"]: r["own_licence"] for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert got == {p: n for p, _, n in rows}
+
+
 def test_lines(spark, empty):
     long_ = "the quick brown fox jumps over the lazy dog and runs away from the farm at night"
     rows = [(1, f"{long_}\nunique line here of its own\n\nshort"), (2, f"{long_.upper()}\nanother thing altogether, not alike"), (3, long_.replace("night", "nighx")), (4, None), (5, "short"), (6, "")]
