@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are maximal runs of bytes other than blank and TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of our own only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names.  Only a local session, whose tasks all run here, may do without one."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sluicework-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="sluicework-")
+    spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def mapped(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with batches of about ``BATCH_BYTES``: both the JVM and the Python worker hold whole batches.
+
+    The session's setting is lowered, never raised; it changes no result.
+    """
+    conf, setting = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(setting).rstrip("bB")) > BATCH_BYTES:
+        conf.set(setting, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder: later reads neither recompute it nor lose it with an executor."""
     checkpoint_dir(df.sparkSession)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 WIDTH, HEIGHT, FPS = 16, 12, 25
 FRAME = WIDTH * HEIGHT
 #: Payloads are padded with this byte up to a multiple of ``FRAME``.
@@ -262,7 +264,7 @@ def clip_rows(media: DataFrame, media_col: str = "media", id_col: str = "doc_id"
             types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [b.schema.field(0).name, "clip", "first_frame", "end_frame", "start_ms", "end_ms", "mean256"])
 
-    return media.select(F.col(id_col), F.col(media_col)).mapInArrow(run, schema)
+    return mapped(media.select(F.col(id_col), F.col(media_col)), run, schema)
 
 
 def media_column(docs: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:
@@ -301,4 +303,4 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col), F.col(text_col)), run, schema)

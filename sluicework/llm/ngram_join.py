@@ -1,26 +1,24 @@
 """N-gram Jaccard join: groups of documents whose shingle sets are similar.
 
-1. Keys.  Documents with a common key are candidates.
-   Small sets: two of sizes a and b that are similar enough differ in at most (a + b)(1 - t)/(1 + t)
-   elements.  For each range of sizes the shingle space is cut into more parts than that, so similar sets
-   agree in whole parts; the hash of a part's members is a key.  Empty parts are no evidence; a set that has
-   so many of them that they could hide its last agreeing part uses them as keys too, so no pair is lost.
-   Larger sets: a key is the hash of the smallest members of a bin, which two sets share with a chance that
-   falls with a high power of their similarity, so documents that only share a passage are seldom
-   candidates, and chains of them stay short.  There are so many bins that a pair exactly at the threshold
-   is lost with a chance of ``LOST`` (whole parts would lose none, but chained documents into groups that
-   grew faster than the input).
-2. Each task links the documents of a key to the key's smallest one and passes on that one only, so a key
-   of a third of all rows reaches the next task as a row per task.  Candidate groups are the components.
+1. Candidates by prefixes.  If two sets overlap in the t / (1 + t) of their sizes that similarity t asks for,
+   then under any common order of shingles their first shingles hold a common one: of n, the first
+   n - ceil(t n) + 1.  So every pair that is similar meets under a shingle of its prefixes, whatever the
+   order; none is lost.  The order only decides how many others meet: shingles that are frequent (counted in
+   a first pass over the beginnings of all sets) come last, so documents that merely share a passage
+   hardly meet.  Size and place bound what a pair can still share after the first common shingle; pairs
+   below the bound are discarded where they meet.
+2. Documents of a shingle that more than ``FEW`` have in their prefixes are linked to its smallest id
+   instead, within each task first, so a shingle of a third of all rows reaches the next task as a row per
+   task.  Candidate groups are the components.
 3. Blocks.  A group (or, if it is large, each pair of its blocks) goes to one task, which multiplies rows of
    the document by n-gram incidence with the transposed matrix: overlap counts accumulate over posting
    lists; pairs whose sizes rule the bound out are discarded before, pairs below it after.  Documents that
-   are linked already aren't compared again.  Links are exact; the task returns them as a forest.
+   are linked already aren't compared again; of equal texts one is compared.  Links are exact; the task
+   returns them as a forest.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,185 +26,215 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import mapped, settled
 from .graph import components
 from .shingles import U, chunks, flat_bytes, mix, shingle_sets
 
-#: Distinct documents of a block.
-BLOCK = 2048
+#: Bytes of text of a block.
+BLOCK = 4 << 20
 #: So many ids are sent to all tasks to pick rows by; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Sets of fewer members have keys of whole parts.
-SMALL = 64
-#: Hashes of a bin that make its key.
-LEAST = 8
-#: The chance that a pair of larger sets exactly at the threshold has no common key; more similar ones lose less.
-LOST = 1e-9
-#: Keys that a task holds before it passes them on.
+#: A shingle in the prefixes of more documents is frequent.
+FEW = 8
+#: At most so many frequent shingles (8 bytes each) are sent to all tasks: the most frequent ones.
+FREQUENT = 500_000
+#: Frequent shingles are counted in so many times the length of a prefix.
+LOOK = 1.5
+#: Rows that a task holds before it passes them on.
 HELD = 1_000_000
 
-
-class Parts:
-    """Keys of small sets: similar ones agree in whole parts, for certain.  Range i holds the sizes lo[i] to
-    hi[i]; instance i serves the pairs within range i and those between ranges i - 1 and i."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.lo, self.hi, self.parts, self.differ = [], [], [], []
-
-    def instances(self, size: int) -> tuple[int, int]:
-        while not self.hi or self.hi[-1] < size:
-            lo = self.hi[-1] + 1 if self.hi else 1
-            self._add(lo, lo * self.den // self.num)
-        i = bisect_right(self.lo, size) - 1
-        if i + 1 == len(self.lo):
-            self._add(self.hi[-1] + 1, (self.hi[-1] + 1) * self.den // self.num)
-        return i, i + 1
-
-    def _add(self, lo: int, hi: int) -> None:
-        d = 2 * hi * (self.den - self.num) // (self.den + self.num)
-        k, least = d + 1, self.lo[-1] if self.lo else lo
-        if k > 8:  # room for the parts that are empty by chance
-            empty = k * np.exp(-least / k)
-            k += int(np.ceil(empty + 4 * np.sqrt(empty)))
-        self.lo.append(lo)
-        self.hi.append(hi)
-        self.parts.append(k)
-        self.differ.append(d)
-
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Keys of the sorted set ``s``."""
-        out, sums = [], np.concatenate((np.zeros(1, U), np.cumsum(mix(s))))
-        for i in self.instances(len(s)):
-            k = self.parts[i]
-            # hashes are uniform, so equal ranges of them are the parts
-            edge = np.searchsorted(s, (np.arange(1, k, dtype=np.float64) * (2.0**64 / k)).astype(U)) if k > 1 else np.zeros(0, np.int64)
-            edge = np.concatenate(([0], edge, [len(s)]))
-            full = edge[1:] > edge[:-1]
-            if k - int(full.sum()) >= k - self.differ[i]:
-                full[:] = True
-            j = np.flatnonzero(full)
-            out.append(mix((sums[edge[j + 1]] - sums[edge[j]]) * U(0x9FB21C651E98DF25) + (j + (i << 32)).astype(U)))
-        return np.concatenate(out)
-
-
-class Bins:
-    """Keys of larger sets: the ``LEAST`` smallest hashes of each bin, under one or more permutations.
-
-    Instance i serves sets of SMALL * 2**i members up to twice as many, and smaller ones that may be similar
-    to such; its number of bins makes the chance that a pair at the threshold has no common key ``LOST``.
-    """
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.shape: list[tuple[int, np.ndarray]] = []
-
-    def _add(self, size: int) -> None:
-        size = max(LEAST + 1, size * self.num // self.den)
-        common = 2 * size * self.num // (self.num + self.den)
-        same = np.prod([(common - k) / (2 * size - common - k) for k in range(LEAST)])
-        bins = int(np.ceil(np.log(LOST) / np.log1p(-min(max(same, 1e-4), 0.9))))
-        each = min(bins, max(1, size * 2 // (3 * LEAST)))
-        seeds = mix(np.arange(1, -(-bins // each) + 1).astype(U) * U(0x9E3779B97F4A7C15) + U(len(self.shape)))
-        self.shape.append((each, seeds[:, None]))
-
-    def instances(self, size: int) -> list[int]:
-        i = (size // SMALL).bit_length() - 1
-        found = [i] if i >= 0 else []
-        if size * self.den >= (SMALL << (i + 1)) * self.num:
-            found.append(i + 1)
-        while found and len(self.shape) <= found[-1]:
-            self._add(SMALL << len(self.shape))
-        return found
-
-    def keys(self, s: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for i in self.instances(len(s)):
-            each, seeds = self.shape[i]
-            x = mix(s[None, :] ^ seeds)
-            x.sort(axis=1)
-            place = ((x >> U(32)) * U(each) >> U(32)).astype(np.int64) + (np.arange(len(seeds)) * each)[:, None]
-            held = np.bincount(place.ravel(), minlength=each * len(seeds))
-            sums = np.concatenate((np.zeros(1, U), np.cumsum(mix(x.ravel()))))
-            end = np.cumsum(held)
-            j = np.flatnonzero(held >= LEAST // 2)  # fewer say little
-            lo = end[j] - held[j]
-            out.append(mix((sums[lo + np.minimum(held[j], LEAST)] - sums[lo]) * U(0x9FB21C651E98DF25) + (j + (i + 1 << 40)).astype(U)))
-        return out
-
-
-class Keys:
-    """Keys of sets of any size, for the threshold num / den."""
-
-    def __init__(self, num: int, den: int):
-        self.parts, self.bins = Parts(num, den), Bins(num, den)
-
-    def of(self, s: np.ndarray) -> np.ndarray:
-        found = self.bins.keys(s)
-        if len(s) < SMALL:
-            found.append(self.parts.keys(s))
-        return np.concatenate(found)
-
-
-def _pass_on(keys: list[np.ndarray], ids: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(key, smallest id, None) once for each key, and (a hash, id, that smallest id) for the other ids, each pair once."""
-    if not keys:
-        return []
-    k, d = np.concatenate(keys), np.concatenate(ids)
-    order = np.lexsort((d, k))
-    k, d = k[order], d[order]
-    first = np.concatenate(([True], k[1:] != k[:-1]))
-    lead = d[np.flatnonzero(first)][np.cumsum(first) - 1]
-    rest = d != lead
-    pair = np.unique(np.stack((d[rest], lead[rest]), 1), axis=0) if rest.any() else np.zeros((0, 2), np.int64)
-    by_id = np.flatnonzero(first)[np.argsort(d[first], kind="stable")]  # ids in order compress well in the shuffle
-    return [(k[by_id], d[by_id], None), (mix(pair[:, 0].astype(U)), pair[:, 0], pair[:, 1])]
+ROW = "key long, a long, n int, place int, b long"
+
+
+def prefix(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The length of the prefix of sets of n shingles."""
+    return n - -(-n * num // den) + 1
+
+
+def prefixes(h: np.ndarray, at: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, number of its set, place in the set's order) of the prefixes of sorted sets; ``frequent`` is sorted."""
+    n = np.diff(at)
+    who = np.repeat(np.arange(len(n)), n)
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+    else:
+        late = np.zeros(len(h), bool)
+    before = np.concatenate(([0], np.cumsum(late)))
+    own = before[:-1] - before[at[who]]  # frequent ones before it in its set
+    rest = n - (before[at[1:]] - before[at[:-1]])
+    place = np.where(late, rest[who] + own, np.arange(len(h)) - at[who] - own)
+    keep = place < prefix(n, num, den)[who]
+    return h[keep], who[keep], place[keep]
+
+
+def _batch(key: np.ndarray, a: np.ndarray, n: np.ndarray | None, place: np.ndarray | None, b: np.ndarray | None) -> pa.RecordBatch:
+    m = len(key)
+    cols = [pa.array(key.view(np.int64)), pa.array(a)]
+    cols += [pa.nulls(m, pa.int32()) if x is None else pa.array(x.astype(np.int32)) for x in (n, place)]
+    return pa.RecordBatch.from_arrays([*cols, pa.nulls(m, pa.int64()) if b is None else pa.array(b)], ["key", "a", "n", "place", "b"])
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Links as rows that are dealt out by a hash of their ends."""
+    pair = np.unique(np.stack((a, b), 1), axis=0)
+    return _batch(mix(pair[:, 0].astype(U) * U(3) + pair[:, 1].astype(U)), pair[:, 0], None, None, pair[:, 1])
+
+
+def _pass_on(key: np.ndarray, a: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of a task; of a key with more than ``FEW`` only the smallest id, with place -1, and links to it."""
+    order = np.lexsort((a, key))
+    key, a, n, place = key[order], a[order], n[order], place[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((first, [len(key)])))
+    lead = np.zeros(len(key), bool)
+    lead[first] = True
+    many = np.repeat(size > FEW, size)
+    keep = lead | ~many
+    far = many & (np.repeat(a[first], size) != a)
+    if far.any():
+        yield _edges(a[far], np.repeat(a[first], size)[far])
+    keep = np.flatnonzero(keep)
+    keep = keep[np.argsort(a[keep], kind="stable")]  # ids in order compress well in the shuffle
+    yield _batch(key[keep], a[keep], n[keep], np.where(many, -1, place)[keep], None)
+
+
+def _meet(key: np.ndarray, a: np.ndarray, n: np.ndarray, place: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of whole keys, rows sorted by key and id."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((first, [len(key)])))
+    star = (size > FEW) | (np.minimum.reduceat(place, first) < 0)
+    lead = np.repeat(a[first], size)
+    far = np.repeat(star, size) & (lead != a)
+    p, q = [a[far]], [lead[far]]
+    for m in range(2, FEW + 1):
+        at = first[~star & (size == m)]
+        for i in range(m):
+            for j in range(i + 1, m):
+                x, y = at + i, at + j
+                both, small, large = n[x] + n[y], np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                left = np.minimum(n[x] - place[x], n[y] - place[y])  # the common shingle and all after it
+                ok = (small * den >= large * num) & (left * (num + den) >= both * num) & (a[x] != a[y])
+                p.append(a[y[ok]])
+                q.append(a[x[ok]])
+    return np.concatenate(p), np.concatenate(q)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, sets, offsets) of the documents (id, text) in pieces of bounded size."""
+    for batch in batches:
+        data, off = flat_bytes(batch.column(1))
+        doc = batch.column(0).to_numpy(zero_copy_only=False)
+        for lo, hi in chunks(off):
+            yield doc[lo:hi], *shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
+
+
+def frequent_shingles(some: DataFrame, n: int, num: int, den: int) -> np.ndarray:
+    """The sorted shingles that more than ``FEW`` documents of (id, t) have among their first ones, ``FREQUENT`` at most."""
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def counted() -> pa.RecordBatch:
+            key, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times.astype(np.int32))], ["key", "c"])
+
+        for _, h, at in _sets(batches, n):
+            size = np.diff(at)
+            most = np.minimum(size, (prefix(size, num, den) * LOOK).astype(np.int64) + 1)
+            held.append(h[np.arange(len(h)) - np.repeat(at[:-1], size) < np.repeat(most, size)])
+            count += len(held[-1])
+            if count >= HELD:
+                yield counted()
+                held, count = [], 0
+        if held:
+            yield counted()
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key; the last key of a batch waits for the next one."""
+        key, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in _then_none(batches):
+            if batch is not None:
+                key, total = np.concatenate((key, batch.column(0).to_numpy())), np.concatenate((total, batch.column(1).to_numpy()))
+                if not len(key):
+                    continue
+            elif not len(key):
+                return
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sums, names = np.add.reduceat(total, first), key[first]
+            key, total = (names[-1:], sums[-1:]) if batch is not None else (names[:0], sums[:0])
+            if batch is not None:
+                names, sums = names[:-1], sums[:-1]
+            hot = sums > FEW
+            yield pa.RecordBatch.from_arrays([pa.array(names[hot]), pa.array(sums[hot])], ["key", "c"])
+
+    dealt = mapped(some, begin, "key long, c int").repartition("key").sortWithinPartitions("key")
+    found = settled(mapped(dealt, often, "key long, c long"))
+    # only as many as may be sent: those above the least count that leaves so many
+    by = found.groupBy(F.log2("c").cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("l").desc()).collect()
+    least, total = 0, 0
+    for r in by:
+        total += r["n"]
+        if total > FREQUENT:
+            least = 1 << (r["l"] + 1)
+            break
+    got = found.where(F.col("c") >= least).select("key").toArrow().column(0).to_numpy()
+    return np.sort(got.view(U))
+
+
+def _then_none(items: Iterator) -> Iterator:
+    yield from items
+    yield None
 
 
 def candidate_links(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """Distinct (a, b): ids that share a key, as stars.  Ids are 64-bit integers; rows with a null id are left out."""
-
-    def rows(k: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], ["key", "a", "b"])
+    """Distinct (a, b): ids that meet under a shingle of their prefixes.  Ids are 64-bit integers; rows with a null id are left out."""
+    some = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    late = some.sparkSession.sparkContext.broadcast(frequent_shingles(some, n, num, den))
 
-    def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, held, keys, ids = Keys(num, den), 0, [], []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         with np.errstate(over="ignore"):
-            for batch in batches:
-                data, off = flat_bytes(batch.column(1))
-                doc = batch.column(0).to_numpy(zero_copy_only=False)
-                for lo, hi in chunks(off):
-                    h, at = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-                    for x, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                        if z > a:
-                            keys.append(cut.of(h[a:z]))
-                            ids.append(np.full(len(keys[-1]), doc[lo + x], np.int64))
-                            held += len(keys[-1])
-                    if held >= HELD:
-                        yield from (rows(*p) for p in _pass_on(keys, ids))
-                        held, keys, ids = 0, [], []
-            yield from (rows(*p) for p in _pass_on(keys, ids))
+            for doc, h, at in _sets(batches, n):
+                key, who, place = prefixes(h, at, late.value, num, den)
+                held.append((key, doc[who], np.diff(at)[who], place))
+                count += len(key)
+                if count >= HELD:
+                    yield from _pass_on(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held, count = [], 0
+            if count:
+                yield from _pass_on(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in the order of key and id, so a group's first id is its smallest; only that is held."""
-        key, lead = None, None
-        for batch in batches:
-            edge = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            k, a, b = (c.fill_null(0).to_numpy(zero_copy_only=False) for c in batch.columns)
-            pairs = [np.stack((a[edge], b[edge]), 1)]
-            k, a = k[~edge], a[~edge]
-            if len(k):
-                first = np.concatenate(([k[0] != key], k[1:] != k[:-1]))
-                leads = np.concatenate(([lead if lead is not None else 0], a[first]))
-                own = leads[np.cumsum(first)]
-                pairs.append(np.stack((a[a != own], own[a != own]), 1))
-                key, lead = k[-1], own[-1]
-            pair = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-    some = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    dealt = some.mapInArrow(key_rows, "key long, a long, b long").repartition("key").sortWithinPartitions("key", "a")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+        """Rows come by key and id.  The last key of a batch waits for the next one, as its smallest id only if it has many rows."""
+        wait = [np.zeros(0, np.int64)] * 4
+        for batch in _then_none(batches):
+            p, q = [], []
+            if batch is None:
+                now, wait = wait, None
+            else:
+                edge = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+                a, b = batch.column(1).to_numpy(), batch.column(4).fill_null(0).to_numpy()
+                p.append(a[edge])
+                q.append(b[edge])
+                cols = [batch.column(c).fill_null(0).to_numpy().astype(np.int64)[~edge] for c in range(4)]
+                now = [np.concatenate(c) for c in zip(wait, cols, strict=True)]
+                last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+                wait, now = [c[last:] for c in now], [c[:last] for c in now]
+                if len(wait[0]) > FEW:  # one row stands for them
+                    far = wait[1] != wait[1][0]
+                    p.append(wait[1][far])
+                    q.append(np.full(int(far.sum()), wait[1][0]))
+                    wait = [*(c[:1] for c in wait[:3]), np.array([-1])]
+            if len(now[0]):
+                x, y = _meet(*now, num, den)
+                p.append(x)
+                q.append(y)
+            if sum(map(len, p)):
+                pair = np.unique(np.stack((np.concatenate(p), np.concatenate(q)), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    dealt = mapped(some, rows, ROW).repartition("key").sortWithinPartitions("key", "a")
+    return mapped(dealt, meet, "a long, b long").distinct()
 
 
 def _picking(ids: DataFrame) -> DataFrame:
@@ -258,11 +286,17 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     """(a, b): exact links as a forest; its components are those of the graph of all links."""
     near = settled(candidate_links(docs, n, num, den, id_col, text_col))
     group = settled(components(near, "a", "b"))
-    blocks = group.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = group.join(blocks, "component").withColumn("x", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t"))
+    one = texts.select("node", F.md5("t").alias("name"), F.octet_length("t").alias("bytes")).join(_picking(group), "node")
+    # of equal texts in a group the smallest id is compared; rows of one id stay together
+    kind = one.groupBy("component", "name").agg(F.min("node").alias("first"), F.max("bytes").alias("bytes"))
+    one = settled(one.select("component", "name", "node").join(kind, ["component", "name"]))
+    equal = one.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    apart = one.where("node = first").select("component", "node", "bytes").distinct()
+    size = apart.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("bytes") / block).cast("int").alias("blocks"))
+    placed = apart.join(size.where("n > 1"), "component").withColumn("x", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), "blocks")).cast("int"))
+    placed = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("blocks") - 1))))
     placed = placed.select("node", "component", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t"))
     unit = texts.join(_picking(settled(placed)), "node").select("component", "x", "y", "node", "t").repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "node")
 
     def solve(ids: list[np.ndarray], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +334,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
             p, q = solve(ids, sets)
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], ["a", "b"])
 
-    return unit.mapInArrow(links, "a long, b long")
+    return mapped(unit, links, "a long, b long").unionByName(equal)
 
 
 def shingle_counts(docs: DataFrame, n: int, text_col: str = "text", out: str = "n_shingles") -> DataFrame:
@@ -316,7 +350,7 @@ def shingle_counts(docs: DataFrame, n: int, text_col: str = "text", out: str = "
     from pyspark.sql.types import LongType, StructField, StructType
 
     df = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text_col))
-    return df.mapInArrow(run, StructType([*df.schema.fields[:-1], StructField(out, LongType())]))
+    return mapped(df, run, StructType([*df.schema.fields[:-1], StructField(out, LongType())]))
 
 
 def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

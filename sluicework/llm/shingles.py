@@ -59,6 +59,12 @@ def chunks(off: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def slices(batch: pa.RecordBatch, at: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices with about ``most`` bytes of text in column ``at``; a longer text is a slice of its own."""
+    for lo, hi in chunks(flat_bytes(batch.column(at))[1], most):
+        yield batch.slice(lo, hi - lo)
+
+
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct hashes of each text one after another, len + 1 offsets).
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tabled
+from .common import mapped, tabled
 from .shingles import U, chunks, flat_bytes
 from .suffix_sort import merge, repeated_windows
 
@@ -165,9 +165,9 @@ def occurrences(docs: DataFrame, width: int) -> DataFrame:
         if wait is not None:
             yield wait.select(list(range(9))).filter(wait.column(9))
 
-    rows = docs.mapInArrow(find, OCCURRENCE + ", known boolean, asks boolean, meet long")
+    rows = mapped(docs, find, OCCURRENCE + ", known boolean, asks boolean, meet long")
     dealt = rows.repartition("meet").sortWithinPartitions("meet", "asks")
-    return dealt.mapInArrow(meet, OCCURRENCE)
+    return mapped(dealt, meet, OCCURRENCE)
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def compressed(docs: DataFrame) -> DataFrame:
             z = [pack.compress(t.as_buffer()) if t.is_valid else pack.compress(b"") for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], ["doc", "th", "z"])
 
-    return docs.mapInArrow(run, "doc long, th long, z binary")
+    return mapped(docs, run, "doc long, th long, z binary")
 
 
 def repeated_ranges(docs: DataFrame, width: int, large: int) -> DataFrame:
@@ -210,7 +210,7 @@ def repeated_ranges(docs: DataFrame, width: int, large: int) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["unit", "anchor", "c1", "c2", "n", "w", "body"])
 
-    pieces = texts.select("cut", "z").mapInArrow(cut, "unit long, anchor long, c1 long, c2 long, n long, w int, body binary")
+    pieces = mapped(texts.select("cut", "z"), cut, "unit long, anchor long, c1 long, c2 long, n long, w int, body binary")
 
     def solve(rows: list[tuple]) -> list[tuple]:
         """Ranges of repeated windows of the contents of one unit that occur once (the others repeat as they are)."""
@@ -238,7 +238,7 @@ def repeated_ranges(docs: DataFrame, width: int, large: int) -> DataFrame:
         if len(group) > 1:
             yield _decided(solve(group))
 
-    decided = pieces.repartition("unit").sortWithinPartitions("unit").mapInArrow(sort, "anchor long, c1 long, c2 long, ranges array<int>")
+    decided = mapped(pieces.repartition("unit").sortWithinPartitions("unit"), sort, "anchor long, c1 long, c2 long, ranges array<int>")
     decided = decided.groupBy(*content).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     # collect_list above: a content has a row, or a row per window (fewer than width) if its anchor was split
     several = contents.where("n > 1").select(*content, F.array(F.lit(-1)).alias("ranges"))
@@ -304,4 +304,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names)
 
-    return all_.mapInArrow(apply, schema)
+    return mapped(all_, apply, schema)
