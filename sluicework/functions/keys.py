@@ -64,6 +64,82 @@ def generation_component(generation: Column) -> Column:
     return F.when(generation >= 0, generation.cast("string"))
 
 
+def json_bytes(value: Column) -> Column:
+    """Typed JSON of bytes: base64 in its URL-safe alphabet."""
+    return F.concat(F.lit('{"__bytes__":"'), F.translate(F.base64(value), "+/\r\n", "-_"), F.lit('"}'))
+
+
+def json_enum(value: Column) -> Column:
+    return F.concat(F.lit('{"__enum__":'), json_string(value), F.lit("}"))
+
+
+def json_datetime(value: Column) -> Column:
+    """Typed JSON of a timestamp in UTC: ISO 8601, microseconds only where there are any."""
+    seconds = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.unix_micros(value) % 1_000_000
+    parts = F.concat(seconds, F.when(micros == 0, "").otherwise(F.date_format(value, ".SSSSSS")))
+    return F.concat(F.lit('{"__datetime__":"'), parts, F.lit('+00:00"}'))
+
+
+def json_date(value: Column) -> Column:
+    return F.concat(F.lit('{"__datetime__":"'), F.date_format(value, "yyyy-MM-dd"), F.lit('"}'))
+
+
+def json_record(fields: dict[str, Column]) -> Column:
+    """Typed JSON of a record of JSON texts, by name."""
+    body = F.concat_ws(",", *(F.concat(json_string(F.lit(k)), F.lit(":"), fields[k]) for k in sorted(fields)))
+    return F.concat(F.lit('{"__dataclass__":{'), body, F.lit("}}"))
+
+
+# For each kind of id its components by namespace; a generation is readable.
+ID_PARTS = {
+    "store-controller": ("store",),
+    "store-sync": ("store", "generation", "sync-sequence"),
+    "failed-user-remediation": ("store", "generation", "sync-sequence"),
+    "user-sync": ("store", "generation", "sync-sequence", "user"),
+    "resource-sync": ("store", "generation", "sync-sequence", "user", "resource"),
+    "files-page": ("resource-workflow", "page"),
+    "document-ingest": ("store", "generation", "document", "source-version"),
+    "store-deactivation": ("store", "generation"),
+}
+
+
+def operation_id(kind: str, *values: Column) -> Column:
+    """Id of a kind from ``ID_PARTS``: JSON texts for its components, a number for a generation.  Null if any is null or the generation negative."""
+    names = ID_PARTS[kind]
+    if len(values) != len(names):
+        raise ValueError(f"{kind} takes {', '.join(names)}")
+    parts = [generation_component(v) if n == "generation" else F.when(v.isNotNull(), opaque_key(n, v)) for n, v in zip(names, values, strict=True)]
+    return composite_id(kind, *parts)
+
+
+def operation_id_py(kind: str, *values: object) -> str:
+    """The same id in Python, for the keyed folds."""
+    return "/".join([kind, *(str(v) if n == "generation" else opaque_key_py(n, v) for n, v in zip(ID_PARTS[kind], values, strict=True))])
+
+
+def quota_coordinator_id(provider: Column, credential: Column, quota_class: Column) -> Column:
+    return composite_id("user-quota", quota_scope_key(provider, credential, quota_class))
+
+
+def search_attributes(store: Column, generation: Column, operation_type: Column, phase: Column, sequence: Column, provider: Column, credential: Column, quota_class: Column, work_class: Column) -> dict[str, Column]:
+    """Attributes by which operations are found; what identifies a store, sequence or credential is opaque, absent parts are null.
+
+    Sequences and scopes have namespaces of their own, so these values join with no id.
+    """
+    scope = opaque_key("search-quota-scope", json_string(provider), json_string(credential), json_string(quota_class))
+    return {
+        "store_key_hash": component(store, "store"),
+        "lifecycle_generation": generation,
+        "operation_type": operation_type,
+        "current_phase": phase,
+        "sync_sequence_hash": F.when(sequence.isNotNull(), opaque_key("search-sync-sequence", json_string(sequence))),
+        "provider": provider,
+        "quota_scope_hash": F.when(provider.isNotNull(), scope),
+        "work_class": work_class,
+    }
+
+
 def quota_scope_key(provider: Column, credential: Column, quota_class: Column) -> Column:
     return opaque_key("quota-scope", json_string(provider), json_string(credential), json_string(quota_class))
 

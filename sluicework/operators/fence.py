@@ -86,22 +86,51 @@ def activate_users(active: DataFrame, requests: DataFrame, stores: DataFrame) ->
     return active.select("store_no", "user_key").unionByName(passed).distinct()
 
 
+def cleanup_fence(commands: DataFrame, stores: DataFrame) -> DataFrame:
+    """``commands`` (store_no, expected_generation, ...) with ``status``: only the generation that is being deactivated may be cleaned."""
+    s = stores.select("store_no", F.col("lifecycle_generation").alias("_g"), F.col("lifecycle_state").alias("_s"))
+    status = fence_status(F.col("_g").isNotNull(), F.col("_g"), F.col("_s"), F.col("expected_generation"), ("deactivating",))
+    return commands.join(s, "store_no", "left").withColumn("status", status).drop("_g", "_s")
+
+
 def deactivate_users(active: DataFrame, targets: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(survivors, affected count per store).  ``targets`` (store_no, user_key or null for all), only in stores that are deactivating."""
-    s = stores.where("lifecycle_state = 'deactivating'").select("store_no")
-    live = targets.join(s, "store_no", "left_semi")
+    """(survivors, affected count per store) of ``targets`` (store_no, user_key or null for all, expected_generation) that pass the cleanup fence."""
+    live = cleanup_fence(targets, stores).where("status = 'succeeded'")
     every = live.where("user_key is null").select("store_no").distinct()
     some = live.where("user_key is not null").select("store_no", "user_key").distinct()
     hit = active.join(every, "store_no", "left_semi").unionByName(active.join(some, ["store_no", "user_key"], "left_semi")).distinct()
     return active.join(hit, ["store_no", "user_key"], "left_anti"), hit.groupBy("store_no").agg(F.count(F.lit(1)).alias("affected"))
 
 
-def remove_objects(documents: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(surviving documents, removed count per store) for stores that are deactivating."""
-    s = stores.where("lifecycle_state = 'deactivating'").select("store_no")
+def remove_objects(documents: DataFrame, commands: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(surviving documents, removed count per store) of ``commands`` (store_no, expected_generation) that pass the cleanup fence."""
+    s = cleanup_fence(commands, stores).where("status = 'succeeded'").select("store_no").distinct()
     return documents.join(s, "store_no", "left_anti"), documents.join(s, "store_no", "left_semi").groupBy("store_no").agg(F.count(F.lit(1)).alias("affected"))
 
 
+def put_state(puts: DataFrame, stores: DataFrame) -> DataFrame:
+    """The store's key-value state after fenced puts (store_no, key, value, expected_generation, ordinal): the last that passes wins."""
+    s = stores.where(F.col("lifecycle_state").isin(*WRITABLE)).select("store_no", F.col("lifecycle_generation").alias("expected_generation"))
+    ok = puts.join(s, ["store_no", "expected_generation"], "left_semi")
+    return ok.groupBy("store_no", "key").agg(F.max_by("value", "ordinal").alias("value"))
+
+
+def mutation_results(ingested: DataFrame) -> DataFrame:
+    """One result row per mutation: it echoes the hash that was declared and the generation of the command, whatever the outcome."""
+    return ingested.select("store_no", "ordinal", "document_key", "source_version", F.coalesce("content_hash", F.lit("")).alias("content_hash"), F.col("expected_generation").alias("lifecycle_generation"), "mutation", "status")
+
+
+def result_counters(results: DataFrame) -> DataFrame:
+    """One count per mutation and status, and of stale generations."""
+    return results.groupBy("mutation", "status").agg(F.count(F.lit(1)).alias("results"), F.count_if(F.col("status") == "stale_generation").alias("stale"))
+
+
+def failure_of(kind: Column, outcome: Column) -> Column:
+    """How a refused lifecycle command ends: begin and resume fail for good; marking reports a stale generation as its status and lets a state rejection through."""
+    marks = kind.isin("mark_inactive", "mark_failed")
+    return F.when(outcome.isin("applied", "unchanged"), F.when(kind == "mark_failed", "failed").otherwise("succeeded")).when(marks & (outcome == "stale_generation"), "stale_generation").otherwise(F.concat(F.lit("error:"), outcome))
+
+
 def first_outcomes(commands: DataFrame, key: str = "command_id", ordinal: str = "ordinal", part: str = "store_no") -> DataFrame:
     """``commands`` with ``duplicate``: whether an earlier row of the partition has the same key."""
     n = F.row_number().over(W.partitionBy(part, key).orderBy(ordinal))

@@ -54,7 +54,7 @@ def grants(queue: DataFrame) -> DataFrame:
 
 def timer_micros(blocked_until: Column, reset_at: Column, now: Column) -> Column:
     """Microseconds to the earlier boundary, 0 if it is past, null without one."""
-    return F.greatest(F.lit(0), F.least(blocked_until, reset_at) - now)
+    return F.when(blocked_until.isNotNull() | reset_at.isNotNull(), F.greatest(F.lit(0), F.least(blocked_until, reset_at) - now))
 
 
 def recent_ids(rows: DataFrame, part: str, order: str, size: int) -> DataFrame:
@@ -63,6 +63,53 @@ def recent_ids(rows: DataFrame, part: str, order: str, size: int) -> DataFrame:
     return rows.withColumn("recency", n).where(F.col("recency") <= size)
 
 
+def repaired_order(order: DataFrame, members: DataFrame, part: str = "scope", key: str = "request_id") -> DataFrame:
+    """(part, key, place): members in the order of their first entry in ``order`` (part, key, ordinal); those without an entry follow by key.
+
+    Entries that are no members are dropped, repeats count once.
+    """
+    first = order.groupBy(part, key).agg(F.min("ordinal").alias("_at"))
+    j = members.select(part, key).distinct().join(first, [part, key], "left")
+    place = F.row_number().over(W.partitionBy(part).orderBy(F.col("_at").isNull(), "_at", key)).cast("long") - 1
+    return j.withColumn("place", place).drop("_at")
+
+
+def compacted_terminals(ended: DataFrame, size: int, part: str = "scope", key: str = "request_id") -> DataFrame:
+    """The ``size`` latest ended requests of each scope by their first end, with ``place`` from 0 for the latest."""
+    first = ended.groupBy(part, key).agg(F.min("ordinal").alias("ordinal"))
+    n = F.row_number().over(W.partitionBy(part).orderBy(F.col("ordinal").desc())).cast("long") - 1
+    return first.withColumn("place", n).where(F.col("place") < max(0, size))
+
+
+def observed(observations: DataFrame) -> DataFrame:
+    """Balance and boundaries of each scope after observations that don't close a window: (scope, limit, remaining, reset_us, blocked_us).
+
+    ``observations``: scope, own_scope, ordinal, at_us, limit, remaining, reset_us, retry_after_seconds, exhausted.
+    Only those of the own scope count.  The limit is the latest told; the balance never rises and is 0 once
+    exhausted; a reset never comes earlier; a block ends at the latest of each exhaustion's own reset and retry,
+    which is a minute later if it tells neither.
+    """
+    o = observations.where("scope <=> own_scope")
+    retry = F.when(F.col("retry_after_seconds").isNotNull(), F.col("at_us") + F.greatest(F.lit(0.0), F.col("retry_after_seconds")) * 1_000_000).when(F.col("reset_us").isNull(), F.col("at_us") + DEFAULT_RETRY_SECONDS * 1_000_000)
+    return o.groupBy("scope").agg(
+        F.max_by(F.greatest(F.lit(0), "limit"), F.when(F.col("limit").isNotNull(), F.col("ordinal"))).alias("limit"),
+        F.min(F.when(F.col("exhausted"), F.lit(0)).when(F.col("remaining").isNotNull(), F.greatest(F.lit(0), "remaining"))).cast("long").alias("remaining"),
+        F.max("reset_us").alias("reset_us"),
+        F.max(F.when(F.col("exhausted"), F.greatest(F.col("reset_us"), retry.cast("long")))).alias("blocked_us"),
+    )
+
+
+def canceled_by_generation(requests: DataFrame, cancellations: DataFrame) -> DataFrame:
+    """(scope, store_no, lifecycle_generation, canceled): requests, pending or granted, that each cancellation of a generation takes; empty ids are no requests."""
+    r = requests.where("request_id <> ''").select("scope", "request_id", "store_no", "lifecycle_generation").distinct()
+    return r.join(cancellations.select("store_no", "lifecycle_generation").distinct(), ["store_no", "lifecycle_generation"], "left_semi").groupBy("scope", "store_no", "lifecycle_generation").agg(F.count(F.lit(1)).alias("canceled"))
+
+
+def started_scopes(requests: DataFrame, limit: Column) -> DataFrame:
+    """One row for each scope that a request starts or finds: its first request, limit and balance, which begins at the limit."""
+    return requests.groupBy("scope").agg(F.min("ordinal").alias("started_by")).withColumn("configured_limit", limit.cast("long")).withColumn("remaining", limit.cast("long"))
+
+
 def utc(t: datetime | None) -> datetime | None:
     """Times without a zone are UTC."""
     return t.replace(tzinfo=UTC) if t is not None and t.tzinfo is None else t
@@ -71,7 +118,10 @@ def utc(t: datetime | None) -> datetime | None:
 class Ledger:
     """One scope's queue, balance, permits and recently ended requests."""
 
-    def __init__(self, scope: tuple[str, str, str], limit: int | None = None, max_in_flight: int = 4, max_pending: int = MAX_PENDING, remember: int = 2000, remaining: int | None = None):
+    def __init__(self, scope: tuple[str, str, str], limit: int | None = None, max_in_flight: int = 4, max_pending: int = MAX_PENDING, remember: int = 2000, remaining: int | None = None, roll_after: int = 10_000, started: bool = True):
+        self.roll_after, self.started = roll_after, started
+        self.deferred: list[dict] = []
+        self.rollovers = 0
         self.scope, self.limit, self.max_in_flight, self.max_pending, self.remember = scope, limit, max_in_flight, max_pending, remember
         self.remaining = limit if remaining is None else remaining
         self.window = "initial"
@@ -86,11 +136,54 @@ class Ledger:
     # -- messages: each returns (request id, outcome, permit id) rows
 
     def apply(self, m: dict) -> list[tuple[str | None, str, str | None]]:
-        """One message, then the grants that it makes possible at its time."""
-        at = utc(m["at"])
-        self.messages += 1
-        out = getattr(self, f"_{m['kind']}")(m, at)
-        return out + self.grant(at)
+        """One message, then the grants that it makes possible at its time.
+
+        Before the scope is started (message ``start``), messages wait; the start handles them in the order of
+        their arrival, each at its own time, and grants at the start's.
+        """
+        if not self.started:
+            if m["kind"] != "start":
+                self.deferred.append(m)
+                return [(m.get("request_id"), "deferred", None)]
+            self.started, waiting, self.deferred = True, self.deferred, []
+            self.compact()
+            out = [row for early in waiting for row in self._one(early)]
+            return out + self._settle(utc(m["at"]))
+        return self._one(m) + self._settle(utc(m["at"]))
+
+    def _one(self, m: dict) -> list:
+        self.messages += m["kind"] not in ("start", "tick", "undelivered")
+        return getattr(self, f"_{m['kind']}")(m, utc(m["at"]))
+
+    def _settle(self, now: datetime) -> list:
+        before = self.window
+        out = self.grant(now)
+        if self.window != before or self.messages >= self.roll_after:  # the state is carried over, compact
+            self.compact()
+            self.messages = 0
+            self.rollovers += 1
+        return out
+
+    def _start(self, m: dict, at: datetime) -> list:
+        return []
+
+    def _undelivered(self, m: dict, at: datetime) -> list:
+        """A grant that couldn't be delivered is canceled: its slot is free, its cost is spent."""
+        return [(r, "undelivered" if outcome == "canceled" else outcome, p) for r, outcome, p in self._cancel(m, at)]
+
+    def compact(self) -> None:
+        """Normal form of a state that was carried over: no more ended requests than are remembered, the earliest go."""
+        for r in [r for r in self.queue if r in self.held]:
+            del self.queue[r]
+        while len(self.ended) > max(0, self.remember):
+            self.ended.popitem(last=False)
+
+    def snapshot(self) -> dict:
+        """The scope in twelve fields."""
+        return {
+            "scope": self.scope, "configured_limit": self.limit, "remaining": self.remaining, "reset_at": self.reset, "blocked_until": self.blocked, "max_in_flight": self.max_in_flight,
+            "max_pending_requests": min(max(1, self.max_pending), MAX_PENDING), "in_flight": len(self.held), "disabled": self.disabled, "pending_count": len(self.queue), "reservation_count": len(self.held), "quota_window_id": self.window,
+        }
 
     def _end(self, request: str) -> None:
         if self.remember <= 0:
@@ -161,7 +254,7 @@ class Ledger:
             self.remaining = 0
             wait = m.get("retry_after_seconds")
             retry = at + timedelta(seconds=max(0, wait)) if wait is not None else None if reset is not None else at + timedelta(seconds=DEFAULT_RETRY_SECONDS)
-            self.blocked = later(later(self.blocked, self.reset), retry)
+            self.blocked = later(self.blocked, later(reset, retry))
         return [(m.get("request_id"), "observed", None)]
 
     def _disable(self, m: dict, at: datetime) -> list:
@@ -216,7 +309,7 @@ class Ledger:
 
     def dump(self) -> str:
         iso = lambda t: t.isoformat() if t else None
-        return json.dumps([self.scope, self.limit, self.max_in_flight, self.max_pending, self.remember, self.remaining, self.window, iso(self.blocked), iso(self.reset), self.disabled, self.messages, list(self.queue.items()), list(self.held.items()), list(self.ended)])
+        return json.dumps([self.scope, self.limit, self.max_in_flight, self.max_pending, self.remember, self.remaining, self.window, iso(self.blocked), iso(self.reset), self.disabled, self.messages, list(self.queue.items()), list(self.held.items()), list(self.ended), self.roll_after, self.started, [{k: iso(utc(v)) if k in ("at", "reset_at") else v for k, v in m.items()} for m in self.deferred], self.rollovers])
 
     @classmethod
     def load(cls, text: str) -> Ledger:
@@ -225,14 +318,20 @@ class Ledger:
         back = lambda t: datetime.fromisoformat(t) if t else None
         new.remaining, new.window, new.blocked, new.reset, new.disabled, new.messages = x[5], x[6], back(x[7]), back(x[8]), x[9], x[10]
         new.queue, new.held, new.ended = OrderedDict(map(tuple, x[11])), OrderedDict(map(tuple, x[12])), OrderedDict.fromkeys(x[13])
+        new.roll_after, new.started, new.deferred, new.rollovers = x[14], x[15], [{k: back(v) if k in ("at", "reset_at") else v for k, v in m.items()} for m in x[16]], x[17]
         return new
 
 
+#: In a log, the permit that has been held longest.
+OLDEST = "oldest"
 OUTCOME = "scope string, ordinal long, kind string, request_id string, outcome string, permit_id string, window_id string, remaining long, in_flight long"
 
 
 def outcome_rows(ledger: Ledger, name: str, messages: Iterator[dict]) -> Iterator[tuple]:
     for m in messages:
+        if m.get("permit_id") == OLDEST and ledger.held:
+            r, x = next(iter(ledger.held.items()))
+            m = m | {"request_id": r, "permit_id": x["permit"]}
         for r, outcome, permit in ledger.apply(m):
             yield name, int(m["ordinal"]), m["kind"], r, outcome, permit, ledger.window, ledger.remaining, len(ledger.held)
 
@@ -251,6 +350,7 @@ def clean(row: dict) -> dict:
 def replay(messages: DataFrame, **settings: int | None) -> DataFrame:
     """Folds each scope's messages in the order of ``ordinal`` into outcome rows.
 
+    A ``permit_id`` of ``OLDEST`` in a log stands for the request that holds the oldest permit.
     A scope is a serial log by nature: its messages go to one task, in batches of the sorted partition, and
     only its ledger is held.  Scopes run in parallel.
     """

@@ -74,7 +74,7 @@ def document_state(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {INGESTED} SELECT mutation, status, count(*) AS results, count(*) FILTER (status = 'stale_generation') AS stale FROM ingested GROUP BY ALL")
 def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
     """Counters per mutation and status."""
-    return _ingested(spark, d).groupBy("mutation", "status").agg(F.count(F.lit(1)).alias("results"), F.count_if(F.col("status") == "stale_generation").alias("stale"))
+    return fence.result_counters(fence.mutation_results(_ingested(spark, d)))
 
 
 @query(f"""WITH {C.STORES}, f AS (SELECT c_custkey AS fence_id, c_nationkey + (CASE WHEN c_custkey % 50 = 0 THEN 100 ELSE 0 END) AS store_no,
@@ -114,16 +114,18 @@ def lifecycle_transition(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {INGESTED}, {C.USERS}, w AS (SELECT *, row_number() OVER (PARTITION BY store_no, document_key ORDER BY ordinal DESC) AS r
   FROM ingested WHERE mutation = 'upsert'), docs AS (SELECT * FROM w WHERE r = 1)
-  SELECT s.store_no, (SELECT count(*) FROM docs x WHERE x.store_no = s.store_no) AS documents_removed,
-  (SELECT count(*) FROM users u WHERE u.store_no = s.store_no AND valid AND (s.store_no % 2 = 0 OR ordinal % 3 = 0)) AS users_removed
+  SELECT s.store_no, (SELECT count(*) FROM docs x WHERE x.store_no = s.store_no AND s.store_no % 10 <> 7) AS documents_removed,
+  (SELECT count(*) FROM users u WHERE u.store_no = s.store_no AND s.store_no % 10 <> 7 AND valid AND (s.store_no % 2 = 0 OR ordinal % 3 = 0)) AS users_removed
   FROM stores s WHERE lifecycle_state = 'deactivating'""")
 def deactivate_purge(spark: SparkSession, d: str) -> DataFrame:
-    """Purge of stores that are deactivating: even stores lose all users, odd ones every third."""
+    """Purge of the stores' deactivating generation: even stores lose all users, odd ones every third."""
     s = C.stores(spark, d)
     docs = C.mutations(spark, d).where("mutation = 'upsert'").select("store_no", "document_key").distinct()
     active = C.users(spark, d).where("valid").select("store_no", "user_key", "ordinal")
-    targets = s.where("store_no % 2 = 0").select("store_no", F.lit(None).cast("string").alias("user_key")).unionByName(active.where("store_no % 2 = 1 and ordinal % 3 = 0").select("store_no", "user_key"))
-    gone = fence.remove_objects(docs, s)[1].withColumnRenamed("affected", "documents_removed")
+    # the commands of every tenth store name the generation before
+    expected = s.select("store_no", (F.col("lifecycle_generation") - F.when(F.col("store_no") % 10 == 7, 1).otherwise(0)).alias("expected_generation"))
+    targets = s.where("store_no % 2 = 0").select("store_no", F.lit(None).cast("string").alias("user_key")).unionByName(active.where("store_no % 2 = 1 and ordinal % 3 = 0").select("store_no", "user_key")).join(expected, "store_no")
+    gone = fence.remove_objects(docs, expected, s)[1].withColumnRenamed("affected", "documents_removed")
     users = fence.deactivate_users(active.select("store_no", "user_key"), targets, s)[1].withColumnRenamed("affected", "users_removed")
     out = s.where("lifecycle_state = 'deactivating'").select("store_no").join(gone, "store_no", "left").join(users, "store_no", "left")
     return out.select("store_no", F.coalesce("documents_removed", F.lit(0)).cast("long").alias("documents_removed"), F.coalesce("users_removed", F.lit(0)).cast("long").alias("users_removed"))
@@ -160,12 +162,13 @@ def round_slices(spark: SparkSession, d: str) -> DataFrame:
     return C.pages(spark, d).groupBy("store_no", "user_key", F.expr("seq div 3").alias("round")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-@query("WITH m AS (SELECT doc_id // 250 AS page_no, doc_id FROM documents WHERE doc_id % 11 = 0) SELECT 'page-' || page_no AS page_key, 'doc-' || doc_id AS document_key, 'deleted:page-' || page_no AS source_version, '' AS staging_uri, '' AS content_hash FROM m")
+@query("SELECT 'page-' || (doc_id // 250) AS page_key, 'doc-' || doc_id AS document_key, 'deleted:page-' || (doc_id // 250) AS source_version, '' AS staging_uri, '' AS content_hash FROM documents")
 def deletion_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Deleted keys of each page as document references."""
-    m = C.table(spark, d, "documents").where("doc_id % 11 = 0")
+    """Deleted keys of each page as document references; a page without any has no rows."""
+    m = C.table(spark, d, "documents")
     pages = m.groupBy(F.expr("concat('page-', doc_id div 250)").alias("page_key")).agg(F.collect_list(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("deleted_document_keys"))
-    return rollup.deletion_refs(pages)
+    none = C.table(spark, d, "region").select(F.concat(F.lit("empty-"), "r_name").alias("page_key"), F.array().cast("array<string>").alias("deleted_document_keys"))
+    return rollup.deletion_refs(pages.unionByName(none))
 
 
 @query(f"""WITH {INGESTED}, e AS (SELECT *, status NOT IN ('succeeded', 'stale_generation') AS bad FROM ingested)
@@ -350,28 +353,34 @@ def quota_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("scope").agg(F.count_if(F.col("granted").isNull()).alias("pending"), F.count_if("granted").alias("in_flight"), (F.max("remaining") - spent).alias("remaining"))
 
 
-@query(f"WITH {C.QUOTA} SELECT scope, count(DISTINCT request_id) AS canceled FROM requests WHERE store_no = 7 AND lifecycle_generation = 1 AND request_id <> '' GROUP BY scope")
+@query(f"WITH {C.STORES}, {C.QUOTA} SELECT scope, r.store_no, r.lifecycle_generation, count(DISTINCT request_id) AS canceled FROM requests r JOIN stores s ON s.store_no = r.store_no AND s.lifecycle_generation = r.lifecycle_generation WHERE request_id <> '' GROUP BY ALL")
 def quota_cancel_generation(spark: SparkSession, d: str) -> DataFrame:
-    """Requests of one store generation that a cancellation takes."""
-    r = C.quota_requests(spark, d).where("store_no = 7 and lifecycle_generation = 1 and request_id <> ''")
-    return r.select("scope", "request_id").distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("canceled"))
+    """Requests that cancellations of every store's generation take."""
+    return quota.canceled_by_generation(C.quota_requests(spark, d), C.stores(spark, d))
 
 
-@query("""SELECT 'scope-' || user_id AS scope, max(event_id) AS last_event, min(greatest(0, floor(value)::BIGINT - 5)) FILTER (event_id % 3 = 0) AS remaining,
-  max(event_id * 10) FILTER (event_id % 4 = 0) AS reset_us FROM events GROUP BY user_id""")
+_SEEN = """o AS (SELECT 'scope-' || user_id AS scope, event_id, event_id % 7 <> 0 AS own, CASE WHEN event_id % 5 = 0 THEN event_id % 50 - 5 END AS lim, CASE WHEN event_id % 3 = 0 THEN floor(value)::BIGINT - 5 END AS remaining,
+  CASE WHEN event_id % 4 = 0 THEN event_id * 1000000 END AS reset_us, CASE WHEN event_id % 6 = 0 THEN (event_id % 90 - 10)::DOUBLE END AS wait, event_id % 10 = 2 AS exhausted FROM events)"""
+
+
+@query(f"""WITH {_SEEN} SELECT scope, arg_max(greatest(0, lim), event_id) FILTER (own AND lim IS NOT NULL) AS "limit", min(CASE WHEN exhausted THEN 0 ELSE greatest(0, remaining) END) FILTER (own AND (exhausted OR remaining IS NOT NULL)) AS remaining, max(reset_us) FILTER (own) AS reset_us,
+  max(greatest(reset_us, CASE WHEN wait IS NOT NULL THEN event_id * 500000 + (greatest(0, wait) * 1000000)::BIGINT WHEN reset_us IS NULL THEN event_id * 500000 + 60000000 END)) FILTER (own AND exhausted) AS blocked_us FROM o WHERE own GROUP BY scope""")
 def quota_observation_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Observations without a window's end: the balance never rises, the reset never comes earlier."""
-    e = C.table(spark, d, "events")
-    seen = F.greatest(F.lit(0), F.floor("value").cast("long") - 5)
-    return e.groupBy(F.concat(F.lit("scope-"), F.col("user_id").cast("string")).alias("scope")).agg(F.max("event_id").alias("last_event"), F.min(F.when(F.col("event_id") % 3 == 0, seen)).alias("remaining"), F.max(F.when(F.col("event_id") % 4 == 0, F.col("event_id") * 10)).alias("reset_us"))
+    """Observations without a window's end: the balance never rises, boundaries never come earlier."""
+    i = F.col("event_id")
+    scope = F.concat(F.lit("scope-"), F.col("user_id").cast("string"))
+    e = C.table(spark, d, "events").select(
+        scope.alias("scope"), F.when(i % 7 != 0, scope).otherwise("other").alias("own_scope"), i.alias("ordinal"), (i * 500_000).alias("at_us"), F.when(i % 5 == 0, i % 50 - 5).alias("limit"), F.when(i % 3 == 0, F.floor("value").cast("long") - 5).alias("remaining"),
+        F.when(i % 4 == 0, i * 1_000_000).alias("reset_us"), F.when(i % 6 == 0, (i % 90 - 10).cast("double")).alias("retry_after_seconds"), (i % 10 == 2).alias("exhausted"),
+    )
+    return quota.observed(e)
 
 
-@query("SELECT event_id, greatest(0, least(CASE WHEN event_id % 3 = 0 THEN event_id * 10 END, CASE WHEN event_id % 4 = 0 THEN event_id * 7 END) - 20000) AS delay_us FROM events WHERE event_id % 3 = 0 OR event_id % 4 = 0")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 4 = 0 THEN greatest(0, least(CASE WHEN event_id % 3 = 0 THEN event_id * 10 END, CASE WHEN event_id % 4 = 0 THEN event_id * 7 END) - 20000) END AS delay_us FROM events")
 def quota_next_timer(spark: SparkSession, d: str) -> DataFrame:
-    """Time to the earlier of block and reset."""
-    e = C.table(spark, d, "events").where("event_id % 3 = 0 or event_id % 4 = 0")
+    """Time to the earlier of block and reset; none without a boundary."""
     i = F.col("event_id")
-    return e.select("event_id", quota.timer_micros(F.when(i % 3 == 0, i * 10), F.when(i % 4 == 0, i * 7), F.lit(20000)).alias("delay_us"))
+    return C.table(spark, d, "events").select("event_id", quota.timer_micros(F.when(i % 3 == 0, i * 10), F.when(i % 4 == 0, i * 7), F.lit(20000)).alias("delay_us"))
 
 
 @query("WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS recency FROM events) SELECT user_id, event_id, recency FROM r WHERE recency <= 20")
@@ -381,14 +390,15 @@ def quota_dedup_recent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quota_messages(spark: SparkSession, d: str) -> DataFrame:
-    """A log of messages: requests, completions by guess, cancellations, observations."""
+    """A log of messages of every kind: requests, cancellations, observations, completions and failed deliveries of granted permits, an end of the scope."""
     e = C.table(spark, d, "events")
     i = F.col("event_id")
-    kind = F.when(i % 10 < 6, "request").when(i % 10 == 6, "cancel").when(i % 10 == 7, "observe").when(i % 10 == 8, "cancel_generation").otherwise("tick")
+    kinds = ("request", "request", "request", "request", "complete", "undelivered", "cancel", "observe", "cancel_generation", "tick")
+    kind = F.when((i % 970 == 969) & (F.col("user_id") % 3 == 0), "disable").otherwise(F.element_at(F.array(*map(F.lit, kinds)), (i % 10 + 1).cast("int")))
     return e.select(
-        F.concat(F.lit("scope-"), F.col("user_id").cast("string")).alias("scope_key"), i.alias("ordinal"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"),
+        F.concat(F.lit("scope-"), (F.col("user_id") % 12).cast("string")).alias("scope_key"), i.alias("ordinal"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + i * 2_000_000).alias("at"), kind.alias("kind"),
         F.concat(F.lit("r"), (i - F.when(i % 10 == 6, 6).otherwise(0)).cast("string")).alias("request_id"), F.lit("worker").alias("requester"), (i % 3).cast("string").alias("store_key"), (i % 2).alias("lifecycle_generation"),
-        (1 + F.floor("value") % 3).cast("long").alias("cost"), F.lit(None).cast("long").alias("limit"), F.when(i % 20 == 7, F.lit(5)).cast("long").alias("remaining"), (i % 30 == 17).alias("exhausted"), F.lit(None).cast("timestamp").alias("reset_at"), F.when(i % 60 == 17, F.lit(30.0)).alias("retry_after_seconds"), F.lit(None).cast("string").alias("permit_id"),
+        (1 + F.floor("value") % 3).cast("long").alias("cost"), F.when(i % 50 == 27, F.lit(9)).cast("long").alias("limit"), F.when(i % 20 == 7, F.lit(5)).cast("long").alias("remaining"), (i % 30 == 17).alias("exhausted"), F.when(i % 90 == 47, F.timestamp_micros(F.lit(1_704_067_200_000_000) + (i + 40) * 2_000_000)).alias("reset_at"), F.when(i % 60 == 17, F.lit(30.0)).alias("retry_after_seconds"), F.when(i % 10 == 4, quota.OLDEST).when((i % 10 == 5) & (i % 4 == 1), quota.OLDEST).alias("permit_id"),
     )
 
 
@@ -409,12 +419,15 @@ def command_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def commands(spark: SparkSession, d: str) -> DataFrame:
+    """A log of commands and events of every kind; ``latest`` stands for the operation that the store accepted last."""
     e = C.table(spark, d, "events")
     i = F.col("event_id")
-    kind = F.when(i % 5 < 2, "request_sync").when(i % 5 == 2, "operation_status").when(i % 5 == 3, "cancel_sync").otherwise(F.when(i % 45 == 4, "start_deactivation").otherwise("remediation_started"))
+    kinds = ("request_sync", "operation_status", "remediation_started", "request_sync", "cancel_sync", "remediation_finished", "operation_status", "request_sync", "deactivation_fenced", "operation_status")
+    kind = F.when(i % 110 == 44, "start_deactivation").otherwise(F.element_at(F.array(*map(F.lit, kinds)), (i % 10 + 1).cast("int")))
     return e.select(
-        F.concat(F.lit("store-"), (F.col("user_id") % 25).cast("string")).alias("store_key"), i.alias("ordinal"), kind.alias("kind"), F.concat(F.lit("cmd-"), (i % 3000).cast("string")).alias("command_id"), F.lit(0).cast("long").alias("expected_generation"),
-        F.concat(F.lit("seq-"), i.cast("string")).alias("sync_sequence"), F.concat(F.lit("op-"), (i % 7).cast("string")).alias("operation_id"), F.lit(1).cast("long").alias("lifecycle_generation"), F.lit("completed").alias("status"), F.lit("succeeded").alias("result_status"), F.lit(None).cast("string").alias("quota_id"), F.lit("active").alias("state"), F.lit(0).cast("long").alias("generation"),
+        F.concat(F.lit("store-"), (F.col("user_id") % 25).cast("string")).alias("store_key"), i.alias("ordinal"), kind.alias("kind"), F.concat(F.lit("cmd-"), (i % 3000).cast("string")).alias("command_id"), (i % 7 % 2).cast("long").alias("expected_generation"),
+        F.concat(F.lit("seq-"), i.cast("string")).alias("sync_sequence"), F.when(i % 10 == 2, F.concat(F.lit("rem-"), (i % 4).cast("string"))).when(i % 10 == 5, F.concat(F.lit("rem-"), (i % 4).cast("string"))).otherwise(controller.LATEST).alias("operation_id"), (i % 3).cast("long").alias("lifecycle_generation"),
+        F.when(i % 4 == 0, "running").otherwise("completed").alias("status"), F.when(i % 11 == 0, "failed").otherwise("succeeded").alias("result_status"), F.when(i % 6 == 0, "q").alias("quota_id"), F.lit("active").alias("state"), F.lit(0).cast("long").alias("generation"),
     )
 
 
@@ -563,3 +576,6 @@ def completion_rank(spark: SparkSession, d: str) -> DataFrame:
 def max_run(spark: SparkSession, d: str) -> DataFrame:
     """Longest run of dispatches of one key."""
     return analytics.longest_runs(_dispatches(spark, d), ["queue"])
+
+
+from . import flow_queries  # noqa: E402, F401  adds its queries

@@ -72,10 +72,3 @@ def read_histories(spark: SparkSession, path: str) -> DataFrame:
     schema = "events array<struct<eventId: string, eventTime: timestamp, eventType: string>>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path).select(F.input_file_name().alias("workflow_id"), F.posexplode("events").alias("place", "e"))
     return raw.select("workflow_id", "place", F.col("e.eventId").cast("long").alias("event_id"), F.col("e.eventTime").alias("event_time"), F.col("e.eventType").alias("event_type"), F.octet_length(F.to_json("e")).cast("long").alias("byte_size"))
-
-
-def exhaustion(calls: DataFrame) -> DataFrame:
-    """Outcome of provider calls: exhausted calls with a scope are empty pages with an observation (balance 0
-    unless told); without a scope, and with bad credentials, they fail for good."""
-    status = F.when(F.col("kind") == "success", "page").when(F.col("kind") == "auth_failure", "failed").when(F.col("scope").isNull(), "failed").otherwise("exhausted")
-    return calls.withColumn("status", status).withColumn("observed_remaining", F.when(F.col("status") == "exhausted", F.coalesce("remaining", F.lit(0))))
