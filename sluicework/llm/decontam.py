@@ -6,8 +6,8 @@ verified upwards: of two neighbouring groups of j pieces in all, matched with at
 matched within its own budget, so a hit goes on only while the group above it matches within budget.  Each
 step, up to the whole item, is Myers' bit-parallel distance, ending anywhere in the text around the hit.
 
-The benchmark is the query set: it goes to the tasks in blocks of bounded size, and every document is held
-against every block in one pass without a shuffle.
+The benchmark is the query set: it is cut into blocks of bounded size, and all documents are held against one
+block in a pass without a shuffle.  A worker holds the automaton of one block.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+from .shingles import slices
+
 #: Edits that an item may have, as a share of its characters.
 RATE = 0.1
 #: Characters of items that go to the tasks at once.
@@ -29,18 +32,19 @@ def normalised(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """(id, normalised text) in blocks; null and blank items are left out, equal items are kept by id."""
-    blocks, size = [[]], 0
-    for r in benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
-        t = normalised(r[1])
-        if t:
-            if size and size + len(t) > most:
-                blocks.append([])
-                size = 0
-            blocks[-1].append((r[0], t))
-            size += len(t)
-    return blocks
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_CHARS) -> list[list[tuple[object, str]]]:
+    """(id, normalised text) in blocks of about ``most`` characters; null and blank items are left out, equal items are kept by id.
+
+    Items are dealt to blocks by a hash of their text, so that a block is collected by itself.
+    """
+    some = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
+    count = max(1, -(-(some.agg(F.sum(F.length("t"))).first()[0] or 0) // most))
+    dealt = some.withColumn("block", F.pmod(F.xxhash64("t"), F.lit(count)))
+    blocks = []
+    for k in range(count):
+        rows = dealt.where(F.col("block") == k).orderBy("id", "t").toLocalIterator()
+        blocks.append([(r[0], t) for r in rows if (t := normalised(r[1]))])
+    return [b for b in blocks if b] or [[]]
 
 
 def myers(pattern: str, text: str, most: int) -> tuple[int, int]:
@@ -127,48 +131,57 @@ class Pieces:
 _built: dict[tuple, Pieces] = {}
 
 
-def _pieces(block: list[tuple[int, str]], rate: float) -> Pieces:
+def _pieces(block: list[tuple[object, str]], rate: float) -> Pieces:
+    """The automaton of the block that this worker serves; an earlier block's is dropped."""
     key = (rate, tuple(block))
     if key not in _built:
-        if len(_built) > 4:
-            _built.clear()
+        _built.clear()
         _built[key] = Pieces(block, rate)
     return _built[key]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", most: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item in it: doc_id, item_id, distance, end (a character of the normalised text).
 
     Whole texts are searched.  Null and blank texts and items match nothing; an item shorter than 1 / rate
-    characters must occur unchanged; equal documents give equal rows.
+    characters must occur unchanged; equal documents give equal rows, equal items a row each.  Ids may be of
+    any type and null.
     """
-    blocks = item_blocks(benchmark)
-    kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)["item_id"]
+    from functools import reduce
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            texts = [normalised(t) if t else "" for t in b.column(1).to_pylist()]
-            for block in blocks:
-                p = _pieces(block, rate)
-                for i, t in enumerate(texts):
-                    rows.extend((i, *m) for m in p.find(t))
-            who = pa.array([r[0] for r in rows], pa.int64())
-            cols = [b.column(0).take(who), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "distance", "end"])
+    who, item = docs.schema[id_col].dataType, benchmark.schema["item_id"].dataType
+    schema = StructType([StructField("doc_id", who), StructField("item_id", item), StructField("distance", IntegerType()), StructField("end", LongType())])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kinds[0]}, item_id long, distance int, end long")
+    def search(block: list[tuple[object, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces = _pieces(block, rate)
+            for whole in batches:
+                for b in slices(whole, 1):
+                    found = [(i, *m) for i, t in enumerate(b.column(1).to_pylist()) if t for m in pieces.find(normalised(t))]
+                    cols = list(zip(*found, strict=True)) or [()] * 4
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], to_arrow_type(item)), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["doc_id", "item_id", "distance", "end"])
 
+        return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), run, schema)
 
-def without_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
+    return reduce(DataFrame.unionAll, (search(b) for b in item_blocks(benchmark, most=most)))
+
+
+def without_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", most: int = BLOCK_CHARS) -> DataFrame:
     """The documents in which no item occurs, with all their columns; null texts stay."""
-    blocks = item_blocks(benchmark)
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [normalised(t) if t else "" for t in b.column(at).to_pylist()]
-            clean = [not any(_pieces(block, rate).find(t) for block in blocks) for t in texts]
-            yield b.filter(pa.array(clean, pa.bool_()))
+    def kept(docs: DataFrame, block: list[tuple[object, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces = _pieces(block, rate)
+            for whole in batches:
+                for b in slices(whole, at):
+                    yield b.filter(pa.array([not t or not pieces.find(normalised(t)) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        return mapped(docs, run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    for block in item_blocks(benchmark, most=most):
+        docs = kept(docs, block)
+    return docs

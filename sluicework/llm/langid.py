@@ -6,7 +6,9 @@ sample of N symbols estimate the cross entropy c * log2(N) / n, and the language
 
 The automaton is only stepped forward (a missing transition ends the phrase and starts anew at the root),
 so it is kept as a dense table, and all segments of a batch of texts are parsed in step by array lookups.
-Texts are cut into segments of ``SEGMENT`` symbols; a phrase ends with its segment.
+Segments only let long texts be parsed in parallel: each is parsed from the root at first, and then once more
+from the state in which the segment before it ends, up to the symbol at which both parses are in one state.
+So the phrases are those of whole texts.
 """
 
 from __future__ import annotations
@@ -19,31 +21,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key60
+from .common import key60, mapped
+from .shingles import slices
 
-#: The sample: at most so many documents per language, characters of each, and characters in all.
-SAMPLE_DOCS, SAMPLE_PER_DOC, SAMPLE_CHARS = 64, 1500, 40_000
+#: The sample: at most so many documents of each language, and characters in all.
+SAMPLE_DOCS, SAMPLE_CHARS = 64, 40_000
+#: Symbols that are parsed in one lane.
 SEGMENT = 1024
+#: A text is foreign if it costs more than so many times the bits a symbol that this share of known texts stays under ...
+MARGIN, QUANTILE = 1.5, 0.99
+#: ... and so many phrases on top.
+SLACK = 4
 #: Lanes that are parsed at once.
-LANES = 16384
+LANES = 4096
 UNDETERMINED = "und"
 
 
-def training_sample(docs: DataFrame, id_col: str = "doc_id", seed: int = 42) -> list[tuple[str, str]]:
-    """(language, text) of the sample: the labelled rows with the smallest seeded hashes of each language.
+def labelled_sample(docs: DataFrame, id_col: str = "doc_id", seed: int = 42) -> list[tuple[str, str]]:
+    """(language, text) of the labelled rows with the smallest seeded hashes, at most ``SAMPLE_DOCS`` of each language.
 
-    The rows are bounded per language before they are shuffled (a limit on row_number), and what reaches
-    the driver is bounded by SAMPLE_DOCS * SAMPLE_PER_DOC characters per language.
+    Texts are whole; those longer than ``SAMPLE_CHARS`` are not sampled.  The rows are bounded per language
+    before they are shuffled (a limit on row_number), and so is what reaches the driver.  Null languages
+    and null or empty texts are no labelled rows; ties go by the text.
     """
     from pyspark.sql import Window as W
 
-    known = docs.where("lang is not null and text is not null and length(text) > 0")
-    cut = known.select("lang", F.substring("text", 1, SAMPLE_PER_DOC).alias("text"), key60(F.lit(seed), F.col(id_col)).alias("h"))
-    best = cut.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= SAMPLE_DOCS)
+    known = docs.where(f"lang is not null and length(text) between 1 and {SAMPLE_CHARS}")
+    row = known.select("lang", "text", key60(F.lit(seed), F.col(id_col)).alias("h"))
+    best = row.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= SAMPLE_DOCS)
+    return [(x["lang"], x["text"]) for x in best.orderBy("lang", "r").collect()]
+
+
+def joined(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """One text per language that has a letter: whole texts in their order, as many as ``SAMPLE_CHARS`` holds."""
     texts: dict[str, list[str]] = {}
-    for x in best.orderBy("lang", "r").collect():
-        texts.setdefault(x["lang"], []).append(x["text"])
-    return [(lang, " ".join(t)[:SAMPLE_CHARS]) for lang, t in sorted(texts.items()) if any(map(str.isalpha, "".join(t)))]
+    size: dict[str, int] = {}
+    for lang, t in rows:
+        if size.get(lang, 0) + len(t) <= SAMPLE_CHARS:
+            texts.setdefault(lang, []).append(t)
+            size[lang] = size.get(lang, 0) + len(t)
+    return [(lang, " ".join(t)) for lang, t in sorted(texts.items()) if any(map(str.isalpha, "".join(t)))]
+
+
+def training_sample(docs: DataFrame, id_col: str = "doc_id", seed: int = 42) -> list[tuple[str, str]]:
+    """(language, sample) of the languages that are learned."""
+    return joined(labelled_sample(docs, id_col, seed))
+
+
+def foreign_limit(rows: list[tuple[str, str]]) -> tuple[float, float]:
+    """(bits a symbol, bits on top) beyond which a text is in none of the sampled languages.
+
+    Every other text of the sample is held out and parsed with what the rest of it teaches: ``MARGIN`` times
+    the ``QUANTILE`` of its costs, and ``SLACK`` phrases, so that a few odd words make no text foreign.
+    Infinite if there is nothing to hold out.
+    """
+    known = Automata(joined(rows[::2]))
+    size = np.array([len(normalised(t)) for _, t in rows[1::2]])
+    if not known.langs or not (size > 0).any():
+        return float("inf"), 0.0
+    bits = np.array(known.predict([t for _, t in rows[1::2]])[2])
+    extra = SLACK * float(known.cost.max())
+    rate = np.maximum(bits[size > 0] * size[size > 0] - extra, 0) / size[size > 0]
+    return MARGIN * float(np.quantile(rate, QUANTILE)), extra
 
 
 def normalised(text: str) -> np.ndarray:
@@ -110,7 +149,7 @@ class Automata:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(texts, languages): how many phrases each text needs."""
-        size = np.array([len(t) for t in texts])
+        size = np.array([len(t) for t in texts], np.int64)
         segments = -(-size // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), segments)
         flat = self.symbol[np.concatenate(texts)] if len(texts) else np.zeros(0, np.int16)
@@ -118,39 +157,70 @@ class Automata:
         rank = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(segments)))[:-1], segments)
         start = first[owner] + rank * SEGMENT
         length = np.minimum(SEGMENT, first[owner] + size[owner] - start)
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        # the phrase that the text's end cuts off counts too
+        out = np.repeat((size > 0).astype(np.int64)[:, None], len(self.langs), 1)
+        for k, (table, (ends, last)) in enumerate(zip(self.tables, self._parse(flat, start, length), strict=True)):
+            came = np.zeros(len(owner), np.int32)
+            todo = np.flatnonzero(rank > 0)
+            while len(todo):
+                new = last[todo - 1]
+                todo, new = todo[new != came[todo]], new[new != came[todo]]
+                before = last[todo]
+                self._correct(table, flat, start, length, todo, came[todo], new, ends, last)
+                came[todo] = new
+                # a segment that ends in another state than before leaves the next one to be put right
+                todo = todo[last[todo] != before] + 1
+                todo = todo[todo < len(owner)]
+                todo = todo[rank[todo] > 0]
+            np.add.at(out[:, k], owner, ends)
+        return out
+
+    def _parse(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each language (phrases that end in each segment, state at its end), from the root."""
+        out = [(np.zeros(len(start), np.int64), np.zeros(len(start), np.int32)) for _ in self.tables]
         order = np.argsort(-length, kind="stable")
         for lo in range(0, len(order), LANES):
             lane = order[lo : lo + LANES]
-            n, s = length[lane], start[lane]
+            n, at = length[lane], start[lane]
             alive = len(lane) - np.searchsorted(n[::-1], np.arange(n[0]), side="right")
-            # symbols by step, so that each step reads one row
-            grid = flat[np.minimum(s[None, :] + np.arange(n[0])[:, None], len(flat) - 1)] if len(flat) else None
-            for k, table in enumerate(self.tables):
-                state = np.zeros(len(lane), np.int32)
-                ends = np.zeros(len(lane), np.int32)
-                for step in range(n[0]):
-                    a = alive[step]
-                    v = table[state[:a] * self.width + grid[step, :a]]
-                    ends[:a] += v & 1
-                    state[:a] = v >> 1
-                # the phrase that the segment's end cuts off counts too
-                np.add.at(out[:, k], owner[lane], ends + 1)
+            state = [np.zeros(len(lane), np.int32) for _ in self.tables]
+            count = [np.zeros(len(lane), np.int32) for _ in self.tables]
+            for step, a in enumerate(alive.tolist()):
+                c = flat[at[:a] + step]
+                for table, s, e in zip(self.tables, state, count, strict=True):
+                    v = table[s[:a] * self.width + c]
+                    e[:a] += v & 1
+                    s[:a] = v >> 1
+            for (ends, last), s, e in zip(out, state, count, strict=True):
+                ends[lane], last[lane] = e, s
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score (0 to 1: how far the next language is behind) and bits a symbol of the winner."""
+    def _correct(self, table: np.ndarray, flat: np.ndarray, start: np.ndarray, length: np.ndarray, lane: np.ndarray, old: np.ndarray, new: np.ndarray, ends: np.ndarray, last: np.ndarray) -> None:
+        """Puts right ``ends`` and ``last`` of the segments ``lane``, which were parsed from ``old`` and begin in ``new``."""
+        step = 0
+        while len(lane):
+            c = flat[start[lane] + step]
+            v, w = table[old * self.width + c], table[new * self.width + c]
+            ends[lane] += (w & 1) - (v & 1)
+            old, new, step = v >> 1, w >> 1, step + 1
+            over = (length[lane] == step) & (old != new)
+            last[lane[over]] = new[over]
+            more = (old != new) & ~over
+            lane, old, new = lane[more], old[more], new[more]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
+        """Language, score (0 to 1: how far the next language is behind), bits a symbol of the winner, and symbols."""
         codes = [normalised(t) if t else np.zeros(0, np.uint32) for t in texts]
         size = np.array([len(c) for c in codes])
         if not self.langs:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts), size.tolist()
         bits = self.phrases(codes) * self.cost / np.maximum(size, 1)[:, None]
         best = np.argmin(bits, axis=1)
         least = bits[np.arange(len(texts)), best]
         second = np.partition(bits, 1, axis=1)[:, 1] if len(self.langs) > 1 else np.full(len(texts), np.inf)
         score = np.where(second > 0, 1 - least / np.maximum(second, 1e-12), 0.0).clip(0, 1)
         lang = [self.langs[b] if n else UNDETERMINED for b, n in zip(best.tolist(), size.tolist(), strict=True)]
-        return lang, np.where(size > 0, score, 0.0).tolist(), np.where(size > 0, least, 0.0).tolist()
+        return lang, np.where(size > 0, score, 0.0).tolist(), np.where(size > 0, least, 0.0).tolist(), size.tolist()
 
 
 _built: dict[tuple, Automata] = {}
@@ -166,25 +236,23 @@ def automata(sample: list[tuple[str, str]]) -> Automata:
 
 
 def identify(docs: DataFrame, sample: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_bits`` (replaced if there already).
+    """``docs`` with ``lang_pred``, ``lang_score``, ``lang_bits`` and ``lang_symbols`` (replaced if there already).
 
     Null texts and texts without a letter are ``und`` with score 0; so is every text if nothing was learned.
     Ties go to the language that comes first by code point.  Whole texts are parsed; equal texts get equal values.
     """
-    added = ("lang_pred", "lang_score", "lang_bits")
+    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+    added = {"lang_pred": StringType(), "lang_score": DoubleType(), "lang_bits": DoubleType(), "lang_symbols": LongType()}
     base = docs.drop(*added)
     at = base.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = automata(sample)
         for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
-                lang, score, bits = known.predict(part.column(at).to_pylist())
-                new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *added])
-
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+            for part in slices(b, at):
+                new = known.predict(part.column(at).to_pylist())
+                types = (pa.string(), pa.float64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, t) for v, t in zip(new, types, strict=True))], [*part.schema.names, *added])
 
-    schema = StructType([*base.schema.fields, StructField(added[0], StringType()), StructField(added[1], DoubleType()), StructField(added[2], DoubleType())])
-    return base.mapInArrow(run, schema)
+    return mapped(base, run, StructType([*base.schema.fields, *(StructField(n, t) for n, t in added.items())]))

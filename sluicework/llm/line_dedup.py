@@ -1,42 +1,47 @@
 """Fuzzy line deduplication: MinHash signatures, banding, exact Jaccard, union-find; DataFrame operations only.
 
-A line's shingles are the ``K``-character strings of its normalised form, taken on its UTF-8 bytes (a line
-of fewer bytes is one shingle).  A line is named by a 64-bit hash of its normalised form.  Equal lines are
-one row from the first aggregation on, which also takes the minima that make up the signature, so a line
-repeated in a third of all documents is a row per task.
-
-Lines that agree in a band and in ``AGREE`` minima altogether are candidates.  Small buckets are expanded into
-pairs.  A large one is first linked by each member's pairs with the bucket's first line and two others; then it
-is divided by every further minimum, and what is still large again, until ``AGREE`` minima are shared.  A pair
-that agrees in so many stays together on one of these ways, so dividing loses none.  The parts are compared
-block by block, except blocks that are linked already.  Pairs are verified by exact Jaccard similarity of the
-shingle sets; verified pairs are links of a distributed union-find.
+A line's shingles are the ``K``-character strings of its normalised form (characters are UTF-16 units; a line
+of fewer is one shingle).  A line is named by a 64-bit hash of its normalised form.  Equal lines are one row
+from the first aggregation on, which also takes the minima that make up the signature, so a line repeated in
+a third of all documents is a row per task.
+
+Lines that agree in a band are candidates.  What a pair can share at most is read off two bitmaps of shingles:
+a bit that only one line has set is a shingle that the other lacks.  This bound is worked out inside the join
+that pairs the lines of a bucket, so pairs that can't reach the threshold are never rows, and none that can
+is lost.  What is left is verified by exact Jaccard similarity of the shingle sets; verified pairs are links
+of a distributed union-find.
+
+A bucket of more than ``LARGE`` lines is first linked to ``LEADS`` of its lines.  Then its lines are compared
+block by block, but only those of different classes: a large group of near copies is one class by then, and
+pairs of lines that merely share a template stay within the join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settled, tabled
+from .common import setting, settled, tabled
 from .graph import components
 
 K = 8
 THRESHOLD = 0.8
-#: Two minima to a band: a pair of similarity 0.8 shares one of six bands with probability 0.998, one of 0.9 with 0.99995.
-BANDS, ROWS = 6, 2
-#: Of twelve minima a pair of similarity 0.8 agrees in fewer than five once in 1,700 times.
-AGREE = 5
-#: Buckets of more lines are divided by further minima.
-LARGE = 64
-#: Neighbours in a large bucket's order that a line is linked with first, besides the bucket's first line.
-NEIGHBOURS = 2
-#: Lines to a block of what can't be divided further.
-BLOCK = 256
+#: Three minima to a band: a pair of similarity 0.8 shares one of nine bands with probability 0.998, one of 0.9 with 0.99999.
+BANDS, ROWS = 9, 3
+#: Shingles to a row that is aggregated.
+STEP = 2
+#: 64-bit words of a bitmap; a power of two.
+WORDS = 8
+#: Buckets of more lines are linked to leads first, and what is left is compared in blocks of about so many lines.
+LARGE, LEADS, BLOCK = 64, 8, 1024
 #: So many names of lines (8 bytes each) are sent to all tasks to pick texts by; more are joined by a shuffle.
 BROADCAST_NAMES = 1_000_000
 
+_MINIMA = [f"m{i}" for i in range(BANDS * ROWS)]
+_BITS = [f"b{i}" for i in range(WORDS)]
+
 
 def normal_text(text: Column) -> Column:
     """Lower case; other white space than line ends is one blank.  Plain searches spare most texts the pattern."""
@@ -51,119 +56,135 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return norm.select("doc_id", "at", "line", F.xxhash64("line").alias("h"))
 
 
+def shingles(rows: DataFrame) -> DataFrame:
+    """(h, n, x0, x1, ...): hashes of the shingles of each (h, line), ``STEP`` to a row, the last one repeated; n is their number, in the first row."""
+    wide = rows.select("h", F.encode("line", "UTF-16BE").alias("b"))
+    place = wide.select("h", "b", F.expr(f"greatest(1, octet_length(b) div 2 - {K - 1})").alias("last"))
+    place = place.select("h", "b", "last", F.explode(F.sequence(F.lit(1), "last", F.lit(STEP))).alias("p"))
+    hashed = lambda i: F.xxhash64(F.substring("b", F.least(F.col("p") + i, F.col("last")) * 2 - 1, F.lit(2 * K)))
+    return place.select("h", F.when(F.col("p") == 1, F.col("last")).otherwise(0).alias("n"), *(hashed(i).alias(f"x{i}") for i in range(STEP)))
+
+
 def signatures(rows: DataFrame) -> DataFrame:
     """(h, m0, m1, ...): the minima of each distinct line."""
-    place = F.expr(f"sequence(1, greatest(1, octet_length(line) - {K - 1}))")
-    shingle = rows.select("h", F.col("line").cast("binary").alias("b"), F.explode(place).alias("p"))
     # the order of hashes XOR a constant is another permutation
     masks = [(0x9E3779B1 * (2 * i + 1) & (1 << 32) - 1) - (1 << 31) for i in range(BANDS * ROWS)]
-    return shingle.select("h", F.shiftright(F.xxhash64(F.substring("b", F.col("p"), F.lit(K))), 32).cast("int").alias("x")).groupBy("h").agg(*(F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)))
+    short = shingles(rows).select("h", *(F.shiftright(f"x{i}", 32).cast("int").alias(f"x{i}") for i in range(STEP)))
+    return short.groupBy("h").agg(*(F.min(F.least(*(F.col(f"x{i}").bitwiseXOR(F.lit(m)) for i in range(STEP)))).alias(name) for name, m in zip(_MINIMA, masks, strict=True)))
+
+
+def bitmaps(text: DataFrame) -> DataFrame:
+    """(h, n, b0, b1, ...) of (h, line), a row each: the number of shingles, repeats included, and the bits that they set."""
+    one = shingles(text).select("h", "n", *(F.col(f"x{i}").bitwiseAND(F.lit(WORDS - 1)).cast("int").alias(f"w{i}") for i in range(STEP)), *(F.expr(f"shiftleft(1L, cast(shiftright(x{i}, {WORDS.bit_length() - 1}) & 63 as int))").alias(f"s{i}") for i in range(STEP)))
+    word = lambda k: reduce(Column.bitwiseOR, (F.when(F.col(f"w{i}") == k, F.col(f"s{i}")).otherwise(F.lit(0).cast("long")) for i in range(STEP)))
+    return one.groupBy("h").agg(F.sum("n").alias("n"), *(F.bit_or(word(k)).alias(b) for k, b in enumerate(_BITS)))
 
 
-def shared_keys(member: DataFrame) -> DataFrame:
-    """``member`` (h, key, ...) with ``n``, the lines of its key; lines alone go no further."""
-    # counting combines before the shuffle
-    size = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def shared_keys(sig: DataFrame) -> DataFrame:
+    """(key, h, size) of the buckets of two lines and more, ``size`` being the lines of the key."""
+    keys = F.array(*(F.xxhash64(F.lit(i), *(f"m{i * ROWS + r}" for r in range(ROWS))) for i in range(BANDS)))
+    # dealt out once: counted and joined where they are
+    member = sig.select("h", F.explode(keys).alias("key")).repartition("key")
+    size = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return tabled(member.join(size, "key"))
 
 
-def first_pairs(shared: DataFrame) -> DataFrame:
-    """Distinct (a, b): all pairs of small buckets; of large ones each line with the first and its neighbours."""
-    few = shared.where(F.col("n") <= LARGE).select("key", "h")
-    small = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "key").where("a < b").select("a", "b")
-    many = shared.where(F.col("n") > LARGE)
-    first = many.groupBy("key").agg(F.min("h").alias("lead"))
-    # a bucket is ordered in slices, so no task orders a whole bucket
-    order = W.partitionBy("key", F.pmod("o", F.lit(64))).orderBy("o", "h")
-    near = many.join(first, "key").select("h", "lead", *(F.lag("h", k).over(order).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)))
-    pair = near.select("h", F.explode(F.array("lead", *(f"l{k}" for k in range(1, NEIGHBOURS + 1)))).alias("g")).where("g is not null and g <> h")
-    return small.union(pair.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"))).distinct()
-
-
-def block_pairs(part: DataFrame) -> DataFrame:
-    """(a, b) of lines of one ``key`` that are in different classes ``c``, from (key, h, c); blocks of one class aren't opened."""
-    at = F.row_number().over(W.partitionBy("key").orderBy("c", "h")) - 1
-    part = settled(part.select("key", "h", "c", F.floor(at / BLOCK).cast("int").alias("i")))
-    block = part.groupBy("key", "i").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    two = block.toDF("key", "i", "lo", "hi").join(block.toDF("key", "j", "lo2", "hi2"), "key").where("i <= j and not (lo = hi2 and hi = lo2)").select("key", "i", "j")
-    left = part.select("key", "i", F.col("h").alias("x"), F.col("c").alias("cx"))
-    right = part.select("key", F.col("i").alias("j"), F.col("h").alias("y"), F.col("c").alias("cy"))
-    both = two.join(left, ["key", "i"]).join(right, ["key", "j"]).where("cx <> cy and (i < j or x < y)")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def divided_pairs(shared: DataFrame, sig: DataFrame, comp: DataFrame) -> DataFrame | None:
-    """Distinct (a, b) of the large buckets' lines that aren't in one class of ``comp`` yet; None without large buckets."""
-    many = shared.where(F.col("n") > LARGE).select("key", "h", "i")
-    # buckets that are one class are done
-    c = F.coalesce("component", "h").alias("c")
-    part = many.join(comp, "h", "left").select("key", "h", "i", c)
-    mixed = lambda p: p.join(p.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "key", "left_semi")
-    part = mixed(settled(part))
-    minima = F.array(*(f"m{i}" for i in range(BANDS * ROWS)))
-    part = settled(part.join(sig.select("h", minima.alias("m")), "h").select("key", "h", "c", "m", F.array(*(F.col("i") * ROWS + r for r in range(ROWS))).alias("band"), F.lit(-1).alias("last")))
-    found = None
-    for level in range(AGREE - ROWS):
-        if part.isEmpty():
-            break
-        # further minima in rising order, so that a set of them is one way
-        j = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), lambda x: (x > F.col("last")) & ~F.array_contains("band", x))).alias("j")
-        sub = part.select("key", "h", "c", "m", "band", j)
-        sub = sub.select(F.xxhash64("key", "j", F.get("m", F.col("j"))).alias("key"), "h", "c", "m", "band", F.col("j").alias("last"))
-        size = sub.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "n")
-        sub = tabled(sub.join(size, "key"))
-        end = level == AGREE - ROWS - 1
-        pairs = block_pairs(sub if end else sub.where(F.col("n") <= LARGE))
-        found = pairs if found is None else found.union(pairs)
-        part = sub.where(F.col("n") > LARGE)
-    return None if found is None else found.distinct()
-
-
-def agreeing(pair: DataFrame, sig: DataFrame) -> DataFrame:
-    """The pairs (a, b) that agree in ``AGREE`` minima."""
-    minima = F.array(*(f"m{i}" for i in range(BANDS * ROWS)))
-    both = pair.join(sig.select(F.col("h").alias("a"), minima.alias("ma")), "a").join(sig.select(F.col("h").alias("b"), minima.alias("mb")), "b")
-    agree = sum((F.get("ma", F.lit(i)) == F.get("mb", F.lit(i))).cast("int") for i in range(BANDS * ROWS))
-    return both.where(agree >= AGREE).select("a", "b")
-
-
-def similar_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, jaccard): links between distinct lines whose components are the classes."""
-    sig = tabled(signatures(rows))
-    member = sig.select("h", F.xxhash64(*(f"m{i * ROWS}" for i in range(BANDS))).alias("o"), F.posexplode(F.array(*(F.xxhash64(F.lit(i), *(f"m{i * ROWS + r}" for r in range(ROWS))) for i in range(BANDS)))).alias("i", "key"))
-    shared = shared_keys(member)
-    links = verified(settled(agreeing(first_pairs(shared), sig)), rows)
-    if shared.where(F.col("n") > LARGE).isEmpty():
-        return links
-    more = divided_pairs(shared, sig, components(links, "a", "b").withColumnRenamed("node", "h"))
-    if more is None:
-        return links
-    return links.union(verified(settled(agreeing(more, sig)), rows))
-
-
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def renamed(df: DataFrame, mark: str, *keep: str) -> DataFrame:
+    return df.select(*(F.col(c) if c in keep else F.col(c).alias(f"{c}_{mark}") for c in df.columns))
+
+
+def can_be_similar() -> Column:
+    """Whether the bitmaps of (n_x, b*_x) and (n_y, b*_y) leave room for the threshold; never false for a similar pair."""
+    only = lambda p, q: sum(F.bit_count(F.col(f"{b}_{p}").bitwiseAND(F.bitwise_not(f"{b}_{q}"))) for b in _BITS)
+    x, y = only("x", "y"), only("y", "x")
+    return (x + y) * THRESHOLD <= F.least(F.col("n_x") - x, F.col("n_y") - y) * (1 - THRESHOLD) + 1e-6
+
+
+def as_pairs(both: DataFrame) -> DataFrame:
+    return both.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
+
+
+def small_pairs(few: DataFrame) -> DataFrame:
+    """Distinct (a, b) of the buckets of (key, h, n, bits) that may be similar."""
+    return as_pairs(renamed(few, "x", "key").join(renamed(few, "y", "key"), "key").where((F.col("h_x") < F.col("h_y")) & can_be_similar()))
+
+
+def lead_pairs(many: DataFrame) -> DataFrame:
+    """Distinct (a, b): each line of a large bucket with the bucket's leads, the first line by name of each slice of names."""
+    first = many.groupBy("key", F.pmod("h", F.lit(LEADS))).agg(F.min("h").alias("h")).select("key", "h")
+    lead = first.join(many, ["key", "h"])
+    return as_pairs(renamed(many, "x", "key").join(renamed(lead, "y", "key"), "key").where((F.col("h_x") != F.col("h_y")) & can_be_similar()))
+
+
+def block_pairs(many: DataFrame, comp: DataFrame) -> DataFrame:
+    """Distinct (a, b) of lines of one large bucket that may be similar and aren't in one class of ``comp`` yet.
+
+    Lines of small classes are dealt to blocks together, a large class has blocks of its own, and no two
+    blocks of one large class are compared.
+    """
+    part = many.join(comp.withColumnsRenamed({"node": "h", "component": "c"}), "h", "left").withColumn("c", F.coalesce("c", "h"))
+    mixed = part.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    part = settled(part.join(mixed, "key", "left_semi"))
+    kind = part.groupBy("key", "c").agg(F.count(F.lit(1)).alias("members"))
+    # a large class is a group of its own; all others are group null
+    part = part.join(kind, ["key", "c"]).withColumn("own", F.when(F.col("members") > BLOCK, F.col("c")))
+    slices = F.ceil(F.when(F.col("own").isNull(), F.col("size")).otherwise(F.col("members")) / BLOCK)
+    dealt = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("c")).otherwise(F.col("h"))), slices)
+    part = settled(part.withColumn("block", F.xxhash64(F.coalesce("own", F.lit(0)), F.col("own").isNull(), dealt)).drop("members", "size"))
+    block = part.select("key", "block", "own").distinct()
+    i, j = renamed(block, "x", "key"), renamed(block, "y", "key")
+    two = i.join(j, "key").where("block_x <= block_y and not (own_x <=> own_y and own_x is not null)").select("key", "block_x", "block_y")
+    part = part.drop("own")
+    both = two.join(renamed(part, "x", "key"), ["key", "block_x"]).join(renamed(part, "y", "key"), ["key", "block_y"])
+    return as_pairs(both.where((F.col("c_x") != F.col("c_y")) & ((F.col("block_x") < F.col("block_y")) | (F.col("h_x") < F.col("h_y"))) & can_be_similar()))
+
+
+def verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
     """(a, b, jaccard) of the pairs that reach the threshold."""
-    asked = settled(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    pick = F.broadcast(asked) if asked.count() <= BROADCAST_NAMES else asked
-    text = settled(rows.select("h", "line").join(pick, "h", "left_semi").groupBy("h").agg(F.min("line").cast("binary").alias("line")))
     both = pairs.join(text.toDF("a", "la"), "a").join(text.toDF("b", "lb"), "b")
-    shingles = lambda c: F.array_distinct(F.transform(F.expr(f"sequence(1, greatest(1, octet_length({c}) - {K - 1}))"), lambda p: F.xxhash64(F.substring(c, p, F.lit(K)))))
+    both = both.select("a", "b", F.encode("la", "UTF-16BE").alias("la"), F.encode("lb", "UTF-16BE").alias("lb"))
+    places = lambda c: F.expr(f"sequence(1, greatest(1, octet_length({c}) div 2 - {K - 1}))")
+    hashes = lambda c: F.array_distinct(F.transform(places(c), lambda p: F.xxhash64(F.substring(c, p * 2 - 1, F.lit(2 * K)))))
     # one-element arrays hold what is used twice, which a projection would work out twice
-    sets = F.array(F.struct(shingles("la").alias("x"), shingles("lb").alias("y")))
+    sets = F.array(F.struct(hashes("la").alias("x"), hashes("lb").alias("y")))
     sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("n"), (F.size(s["x"]) + F.size(s["y"])).alias("m")))
     jaccard = F.get(F.transform(sizes, lambda c: c["n"] / (c["m"] - c["n"])), F.lit(0))
     return settled(both.select("a", "b", jaccard.alias("jaccard"))).where(F.col("jaccard") >= THRESHOLD)
 
 
+def similar_lines(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((doc_id, at, h) of all lines; links (a, b, jaccard); (node, component) of the linked lines)."""
+    rows = tabled(lines(docs, id_col, text_col))  # split once
+    # aggregation buffers are wide here: a second, smaller table before Spark's hash table costs more than it saves
+    with setting(docs.sparkSession, "spark.sql.codegen.aggregate.map.twolevel.enabled", "false"):
+        shared = shared_keys(signatures(rows))
+    asked = settled(shared.select("h").distinct())
+    pick = F.broadcast(asked) if asked.count() <= BROADCAST_NAMES else asked
+    text = tabled(rows.select("h", "line").join(pick, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
+    narrow = rows.drop("line")
+    member = shared.join(tabled(bitmaps(text)), "h")
+    pairs = small_pairs(member.where(F.col("size") <= LARGE).drop("size"))
+    many = shared.where(F.col("size") > LARGE)
+    if many.isEmpty():
+        links = verified(settled(pairs), text)
+        return narrow, links, components(links, "a", "b")
+    many = settled(member.where(F.col("size") > LARGE))
+    links = verified(settled(pairs.union(lead_pairs(many.drop("size"))).distinct()), text)
+    comp = settled(components(links, "a", "b"))
+    more = verified(settled(block_pairs(many, comp)), text)
+    links = links.union(more)
+    return narrow, links, components(links, "a", "b")
+
+
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lines without their text, with ``kept``; links (a, b, jaccard) between distinct lines)."""
-    rows = lines(docs, id_col, text_col)
-    links = similar_pairs(rows)
-    comp = components(links, "a", "b").where("node <> component").withColumnRenamed("node", "h")
-    narrow = tabled(rows.select("doc_id", "at", "h").join(comp, "h", "left").select("doc_id", "at", F.coalesce("component", "h").alias("class")))
-    keeper = narrow.groupBy("class").agg(F.min(F.struct("doc_id", "at")).alias("keep"))
-    kept = F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.at") == F.col("at"))
-    return narrow.join(keeper, "class").select("doc_id", "at", "class", kept.alias("kept")), links
+    narrow, links, comp = similar_lines(docs, id_col, text_col)
+    comp = comp.where("node <> component").withColumnRenamed("node", "h")
+    classed = tabled(narrow.join(comp, "h", "left").select("doc_id", "at", F.coalesce("component", "h").alias("class")))
+    # written first, so that the join below deals out both its sides anew and can split a hot class
+    keeper = settled(classed.groupBy("class").agg(F.min(F.struct("doc_id", "at")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    kept = F.col("keep").isNull() | (F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.at") == F.col("at")))
+    return classed.join(keeper, "class", "left").select("doc_id", "at", "class", kept.alias("kept")), links
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

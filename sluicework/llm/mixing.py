@@ -8,8 +8,8 @@
    the few seats that rounding leaves open are ranked: fewer than 16 rows for each source and shard.  No
    source is off its target by more than rounding moves, whatever the other sources hold.
 3. Blocks: each source's documents, in seeded order, are one stream of tokens, cut into blocks of equally
-   many.  A quota takes whole passes over the stream, then whole blocks by seeded rank, the short last block
-   by its tokens, and the rest from the beginning of the next block: exactly the quota.
+   many.  The blocks in another seeded order, turn after turn, are a line off which every shard cuts its
+   quota: whole blocks, but for the two that it shares with its neighbours.
 
 A document is taken as often as the blocks that it lies in; that is read off the running sum of copies at
 its two ends, so no row is made per block and document.  Everything is DataFrame operations.
@@ -77,19 +77,37 @@ def seat_quotas(targets: DataFrame, shards: int = SHARDS, limit: int = LIMIT) ->
     return ends.select("g", (F.col("end") - 1).alias("shard"), (F.col("n") - before).alias("quota")).where("quota > 0")
 
 
+def shard_blocks(quotas: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
+    """(g, shard, j, tokens, turn, lo, hi): the tokens lo to hi of block j of a source that a shard takes in a turn.
+
+    A source's blocks in seeded order (the short last block at the end), turn after turn, are one line of tokens;
+    the shards cut their quotas off it one after the other.
+    """
+    cut = W.partitionBy("g").orderBy("shard")
+    end = F.sum("quota").over(cut.rowsBetween(W.unboundedPreceding, 0))
+    s = quotas.withColumn("z", end).withColumn("a", F.col("z") - F.col("quota")).join(targets.select("g", "size", "block"), "g")
+    s = s.withColumn("turn", F.explode(F.expr("sequence(a div size, (z - 1) div size)")))
+    s = s.select("g", "shard", "turn", F.greatest(F.lit(0), F.expr("a - turn * size")).alias("a"), F.expr("least(size, z - turn * size)").alias("z"))
+    b = targets.withColumn("j", F.explode(F.expr("sequence(0L, greatest(0L, (size - 1) div block))")))
+    b = b.withColumn("tokens", F.least(F.col("block"), F.col("size") - F.col("j") * F.col("block"))).where("tokens > 0")
+    seeded = W.partitionBy("g").orderBy(F.col("tokens") < F.col("block"), key60(F.lit(seed), F.col("g"), F.col("j")), "j")
+    b = b.withColumn("r", F.row_number().over(seeded).cast("long") - 1).select("g", "j", "tokens", "block", "r")
+    # block number r of the line begins at r * block, so a shard's blocks are a range of numbers
+    s = s.join(targets.select("g", "block"), "g").withColumn("r", F.explode(F.expr("sequence(a div block, (z - 1) div block)")))
+    got = s.drop("block").join(b, ["g", "r"])
+    lo, hi = F.greatest(F.lit(0), F.col("a") - F.col("r") * F.col("block")), F.least(F.col("tokens"), F.col("z") - F.col("r") * F.col("block"))
+    return got.select("g", "shard", "j", "tokens", "turn", lo.alias("lo"), hi.alias("hi"))
+
+
 def block_copies(quotas: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
-    """(g, j, copies, part, cum): how often block j of a source is taken whole, how many tokens of its beginning
-    are taken once more, and the tokens taken from the blocks before it.  A last row stands for the end."""
-    q = targets.select("g", "size", "block").join(quotas.groupBy("g").agg(F.sum("quota").alias("quota")), "g")
-    q = q.withColumn("blocks", F.expr("(size + block - 1) div block"))
-    b = q.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
-    b = b.withColumn("tokens", F.greatest(F.lit(0), F.least(F.col("block"), F.col("size") - F.col("j") * F.col("block"))))
-    short = F.col("tokens") < F.col("block")
-    filled = W.partitionBy("g").orderBy(short, key60(F.lit(seed), F.col("g"), F.col("j")), "j").rowsBetween(W.unboundedPreceding, -1)
-    rest = F.expr("quota % size") - F.coalesce(F.sum("tokens").over(filled), F.lit(0))
-    b = b.withColumn("copies", F.expr("quota div size")).withColumn("part", F.least(F.col("tokens"), F.greatest(F.lit(0), rest)))
+    """(g, j, copies, part, cum): how often block j of a source is taken whole by all shards together, how many tokens of its
+    beginning are taken once more, and the tokens taken from the blocks before it.  A last row stands for the end."""
+    taken = shard_blocks(quotas, targets, seed).groupBy("g", "j").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.first("tokens").alias("tokens"))
+    every = targets.select("g", F.explode(F.expr("sequence(0L, (size + block - 1) div block)")).alias("j"))
+    b = every.join(taken, ["g", "j"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     before = W.partitionBy("g").orderBy("j").rowsBetween(W.unboundedPreceding, -1)
-    return b.select("g", "j", "copies", "part", F.coalesce(F.sum(F.col("copies") * F.col("tokens") + F.col("part")).over(before), F.lit(0)).alias("cum"))
+    whole = F.coalesce(F.expr("taken div tokens"), F.lit(0))
+    return b.select("g", "j", whole.alias("copies"), (F.col("taken") - whole * F.coalesce("tokens", F.lit(0))).alias("part"), F.coalesce(F.sum("taken").over(before), F.lit(0)).alias("cum"))
 
 
 def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", source: str = "source", size_col: str | None = None, shards: int = SHARDS, seats: int = SEATS) -> DataFrame:

@@ -2,13 +2,14 @@
 
 A unigram model over a public vocabulary splits each pre-token (a blank-separated word with the word-start
 mark in front) into the pieces with the greatest sum of scores.  The best score of a prefix depends on the
-prefix alone, so the distinct pre-tokens of a batch are put in a trie and each of its nodes is solved once;
-the node at which a pre-token ends keeps its count of pieces.  The trie is walked in sorted order, where the
-path from the root is all that must be held.
-
-Scores: the vocabulary file orders pieces by rank and holds no probabilities, and tokenizers are not trained
-here, so piece number r has the Zipf probability 1 / (r + 1) / H, in whole micro-nats (ties are then exact;
-they go to fewer pieces).  Characters outside the vocabulary fall back to their UTF-8 bytes.
+prefix alone, so the distinct pre-tokens are inserted in a trie: a node is solved when it is made, from the
+nodes above it, and holds the best score of its prefix and the pieces that it takes.  The node at which a
+pre-token ends is its count.  A worker's trie serves all its batches until it has ``NODES`` nodes.
+
+Scores are a parameter (a score for each piece).  Without one the vocabulary file's order is used: it holds no
+probabilities, and tokenizers are not trained here, so piece number r has the Zipf probability
+1 / (r + 1) / H, in whole micro-nats (ties are then exact; they go to fewer pieces).  Characters outside the
+vocabulary fall back to their UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+from .shingles import slices
+
 MARK = "▁"
-#: Counts that a worker remembers before it starts anew; this bounds memory and changes no result.
-REMEMBER = 400_000
+#: Nodes of a trie before it begins anew, and counts that a worker remembers; they bound memory and change no result.
+NODES, REMEMBER = 300_000, 200_000
 
 
 def default_vocabulary() -> str:
@@ -49,65 +53,77 @@ def load_scores(path: str) -> tuple[dict[str, int], list[int], frozenset[str], i
     return pieces, octets, ends, max(map(len, pieces))
 
 
-def trie_counts(words: list[str], pieces: dict[str, int], octets: list[int], ends: frozenset[str]) -> dict[str, int]:
-    """Pieces in the best split of each of the distinct ``words``."""
-    out: dict[str, int] = {}
-    best, count, path = [0], [0], ""
-    get = pieces.get
-    for w in sorted(words):
-        same = 0
-        for a, b in zip(w, path):  # noqa: B905
-            if a != b:
-                break
-            same += 1
-        del best[same + 1 :], count[same + 1 :]
-        for d in range(same + 1, len(w) + 1):
-            raw = w[d - 1].encode("utf-8", "surrogatepass")
-            if w[d - 1] in pieces:
-                s, c = -(1 << 62), 0
-            else:
-                s, c = best[d - 1] + sum(octets[x] for x in raw), count[d - 1] + len(raw)
-            a = d - 1
-            while a >= 0:
-                p = w[a:d]
-                if p not in ends:
-                    break
-                v = get(p)
-                if v is not None:
-                    t = best[a] + v
-                    if t > s or (t == s and count[a] + 1 < c):
-                        s, c = t, count[a] + 1
-                a -= 1
-            best.append(s)
-            count.append(c)
-        out[w] = count[-1]
-        path = w
-    return out
-
-
-def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Trie:
+    """Prefixes of the words inserted so far, each solved once."""
+
+    def __init__(self, pieces: dict[str, int], octets: list[int], ends: frozenset[str]):
+        self.pieces, self.octets, self.ends = pieces, octets, ends
+        self.below: dict[tuple[int, str], int] = {}
+        self.best, self.count = [0], [0]
+
+    def insert(self, word: str) -> int:
+        """Pieces in the best split of ``word``: the count that its last node holds."""
+        below, node = self.below, 0
+        path = [0]
+        for d, c in enumerate(word):
+            nxt = below.get((node, c))
+            if nxt is None:
+                nxt = below[(node, c)] = self._solve(word, d + 1, path)
+            path.append(nxt)
+            node = nxt
+        return self.count[node]
+
+    def _solve(self, word: str, d: int, path: list[int]) -> int:
+        """A node for word[:d], from the nodes of its prefixes."""
+        best, count, get = self.best, self.count, self.pieces.get
+        raw = word[d - 1].encode("utf-8", "surrogatepass")
+        if word[d - 1] in self.pieces:
+            s, n = -(1 << 62), 0
+        else:
+            s, n = best[path[d - 1]] + sum(self.octets[x] for x in raw), count[path[d - 1]] + len(raw)
+        a = d - 1
+        while a >= 0 and (p := word[a:d]) in self.ends:  # beyond that no piece ends here
+            v = get(p)
+            if v is not None:
+                t, k = best[path[a]] + v, count[path[a]] + 1
+                if t > s or (t == s and k < n):
+                    s, n = t, k
+            a -= 1
+        best.append(s)
+        count.append(n)
+        return len(best) - 1
+
+
+def scored(scores: dict[str, int]) -> tuple[dict[str, int], list[int], frozenset[str], int]:
+    """A parameter table of piece scores as ``load_scores`` returns it; bytes score below every piece."""
+    least = min(scores.values(), default=0)
+    ends = frozenset(p[k:] for p in scores for k in range(len(p)))
+    return dict(scores), [least - 1_000_000] * 256, ends, max(map(len, scores), default=0)
+
+
+def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", scores: dict[str, int] | None = None) -> DataFrame:
     """``docs``' ids with n_words and n_tokens.  Null texts have null counts, texts without words 0.
 
-    Nothing is shuffled: each task shares its own tries, and a pre-token is solved once in a batch however
-    often it occurs.  Texts are read whole; words of any length are one path of the trie.
+    Nothing is shuffled: each worker has its own trie, and a pre-token is solved once however often it
+    occurs.  Texts are read whole; words of any length are one path of the trie.  ``scores``: pieces (with the
+    word-start mark) and their scores as whole numbers, in place of those of the vocabulary file.
     """
-    path = vocabulary or default_vocabulary()
+    path = None if scores is not None else vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, octets, ends, _ = load_scores(path)
-        known: dict[bytes, int] = {}
+        pieces, octets, ends, _ = scored(scores) if path is None else load_scores(path)
+        trie, known = Trie(pieces, octets, ends), {}
         for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
+            for part in slices(b, 1):
                 words = [t.as_buffer().to_pybytes().split() if t.is_valid else None for t in part.column(1)]
-                new = set().union(*(w for w in words if w)).difference(known)
-                if len(known) + len(new) > REMEMBER:
+                if len(known) > REMEMBER:
                     known.clear()
-                    new = set().union(*(w for w in words if w))
-                solved = trie_counts([MARK + w.decode("utf-8", "replace") for w in new], pieces, octets, ends)
-                known.update((w, solved[MARK + w.decode("utf-8", "replace")]) for w in new)
+                for w in set().union(*(w for w in words if w)).difference(known):
+                    if len(trie.best) > NODES:
+                        trie = Trie(pieces, octets, ends)
+                    known[w] = trie.insert(MARK + w.decode("utf-8", "replace"))
                 n = [None if w is None else len(w) for w in words]
                 t = [None if w is None else sum(map(known.__getitem__, w)) for w in words]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(t, pa.int64())], [id_col, "n_words", "n_tokens"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_words long, n_tokens long")
+    return mapped(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_words long, n_tokens long")

@@ -138,6 +138,146 @@ def test_media_round_trip_and_clips(spark, docs):
         media.riff_index(b"nothing")
 
 
+def plain_cuts(frames):
+    """The shot rule once more, frame by frame."""
+    hist = [[sum(int(x) >> 4 == k for x in f.ravel()) for k in range(16)] for f in frames]
+    d = [sum(abs(x - y) for x, y in zip(a, b, strict=True)) for a, b in zip(hist, hist[1:], strict=False)]
+    cuts = []
+    for i, x in enumerate(d):
+        near = [d[j] for j in range(max(0, i - 8), min(len(d), i + 9)) if j != i]
+        if not near:
+            continue
+        mean = sum(near) / len(near)
+        spread = (sum((y - mean) ** 2 for y in near) / len(near)) ** 0.5
+        if x >= 0.25 * frames[0].size and x > mean + 2 * spread and (i == 0 or x >= d[i - 1]) and (i + 1 == len(d) or x > d[i + 1]):
+            cuts.append(i + 1)
+    return cuts
+
+
+def test_shots_equal_the_rule_frame_by_frame():
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        frames = []
+        for _ in range(r.integers(1, 6)):
+            base, noise = r.integers(0, 256), r.integers(1, 90)
+            frames += [np.clip(base + r.integers(-noise, noise, (12, 16)), 0, 255).astype(np.uint8) for _ in range(r.integers(1, 15))]
+        got = media.find_cuts(media.histograms(np.stack(frames)))
+        assert got == plain_cuts(frames)
+
+
+def segment(marker, body):
+    return bytes([255, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def coded(values):
+    """Bits of (code, length) pairs as entropy-coded data."""
+    bits = "".join(f"{v:0{n}b}" for v, n in values if n)
+    bits += "1" * (-len(bits) % 8)
+    return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+
+# one code of eight bits for each of these symbols, in order
+SYMBOLS = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 0x11, 0x12, 0x21, 0xF0, 0x13, 0x31]
+PLAIN = bytes([0] * 7 + [len(SYMBOLS)] + [0] * 8) + bytes(SYMBOLS)
+
+
+def number(v):
+    n = abs(v).bit_length()
+    return n, (v if v >= 0 else v + (1 << n) - 1)
+
+
+def put(out, run, v):
+    n, extra = number(v)
+    out += [(SYMBOLS.index(run << 4 | n), 8), (extra, n)]
+
+
+def baseline(blocks, wide, high, restart=0, tables=True, colour=False):
+    """A baseline frame of 8 x 8 blocks of (dc, [(run, value)]) in rows; ``colour`` adds two quarter-size components, all zero."""
+    quant = bytes(range(1, 65))
+    parts = bytes([1, 0x22 if colour else 0x11, 0]) + (bytes([2, 0x11, 0, 3, 0x11, 0]) if colour else b"")
+    head = b"\xff\xd8" + segment(0xDB, b"\0" + quant) + (segment(0xC4, b"\x00" + PLAIN) + segment(0xC4, b"\x10" + PLAIN) if tables else b"")
+    head += (segment(0xDD, restart.to_bytes(2, "big")) if restart else b"") + segment(0xC0, bytes([8]) + high.to_bytes(2, "big") + wide.to_bytes(2, "big") + bytes([len(parts) // 3]) + parts)
+    head += segment(0xDA, bytes([len(parts) // 3]) + (b"\1\0\2\0\3\0" if colour else b"\1\0") + b"\0\x3f\0")
+    runs, out, before = [], [], 0
+    per = 4 if colour else 1
+    for k, (dc, ac) in enumerate(blocks):
+        if restart and k and k % restart == 0:
+            runs.append(coded(out))
+            out, before = [], 0
+        put(out, 0, dc - before)
+        before = dc
+        for run, v in ac:
+            put(out, run, v)
+        out.append((SYMBOLS.index(0), 8))
+        if colour and k % per == per - 1:
+            out += [(SYMBOLS.index(0), 8)] * 4  # dc 0 and end of block, twice
+    runs.append(coded(out))
+    body = runs[0] + b"".join(bytes([255, 0xD0 + k % 8]) + x for k, x in enumerate(runs[1:]))
+    return head + body + b"\xff\xd9"
+
+
+def plain_block(dc, ac):
+    """Samples of a block by the definition of the transform."""
+    order = [(0, 0), (0, 1), (1, 0), (2, 0), (1, 1), (0, 2), (0, 3), (1, 2), (2, 1), (3, 0)]
+    f, i = {(0, 0): dc * 1}, 0
+    for run, v in ac:
+        i += run + 1
+        f[order[i]] = v * (i + 1)
+    c = lambda u: 0.5**0.5 if u == 0 else 1.0
+    return np.array([[128 + sum(c(u) * c(v) / 4 * x * np.cos((2 * j + 1) * v * np.pi / 16) * np.cos((2 * i + 1) * u * np.pi / 16) for (u, v), x in f.items()) for j in range(8)] for i in range(8)])
+
+
+def as_avi(frames, fps=10):
+    """An AVI of given frames, its index counted from the beginning of the file."""
+    movi, index, at = b"movi", b"", 12 + 8 + 4 + 8 + 56 + 8
+    for f in frames:
+        index += b"00dc" + (16).to_bytes(4, "little") + (at + len(movi)).to_bytes(4, "little") + len(f).to_bytes(4, "little")
+        movi += media._chunk(b"00dc", f)
+    head = media._list(b"hdrl", media._chunk(b"avih", (1_000_000 // fps).to_bytes(4, "little") + bytes(52)))
+    return media._chunk(b"RIFF", b"AVI " + head + media._chunk(b"LIST", movi) + media._chunk(b"idx1", index))
+
+
+def test_baseline_frames(spark):
+    r = random.Random(8)
+    some = lambda: (r.randint(-500, 500), [(r.choice((0, 0, 1)), r.choice((-3, -2, -1, 1, 2, 3))) for _ in range(r.randint(0, 4))])
+    for wide, high, restart in ((16, 8, 0), (24, 16, 2), (13, 11, 1)):
+        across, down = -(-wide // 8), -(-high // 8)
+        blocks = [some() for _ in range(across * down)]
+        want = np.block([[plain_block(*blocks[y * across + x]) for x in range(across)] for y in range(down)])[:high, :wide]
+        got = next(media.read_frames(frame := baseline(blocks, wide, high, restart), [(0, len(frame))]))[0]
+        assert got.shape == (high, wide) and np.abs(got - np.clip(want, 0, 255)).max() <= 0.51
+    blocks = [some() for _ in range(8)]  # two units of four luma blocks
+    frame = baseline(blocks, 32, 16, colour=True)
+    want = np.block([[plain_block(*blocks[0]), plain_block(*blocks[1]), plain_block(*blocks[4]), plain_block(*blocks[5])], [plain_block(*blocks[2]), plain_block(*blocks[3]), plain_block(*blocks[6]), plain_block(*blocks[7])]])
+    assert np.abs(next(media.read_frames(frame, [(0, len(frame))]))[0] - np.clip(want, 0, 255)).max() <= 0.51
+    dark, light = baseline([(-800, [])] * 2, 16, 8), baseline([(800, [])] * 2, 16, 8)
+    film = as_avi([dark] * 20 + [light] * 15)
+    bare = as_avi([baseline([(-800, [])] * 2, 16, 8, tables=False)])
+    tables = segment(0xC4, b"\x00" + PLAIN) + segment(0xC4, b"\x10" + PLAIN)
+    good = media.write_avi(b"abc" * 300)
+    rows = [(1, film), (2, None), (3, b""), (4, b"RIFF nonsense"), (5, good[:-40]), (6, bare), (7, as_avi([dark, baseline([(0, [])], 8, 8)])), (8, as_avi([])), (9, good), (10, as_avi([b"\xff\xd8\xff\xd9"]))]
+    got = {}
+    for x in media.clip_rows(spark.createDataFrame(rows, "doc_id long, media binary")).collect():
+        got.setdefault(x["doc_id"], []).append(x)
+    assert [(x["first_frame"], x["end_frame"], x["start_ms"], x["end_ms"]) for x in got[1]] == [(0, 20, 0, 2000), (20, 35, 2000, 3500)]
+    assert set(got) == {1, 3, 4, 5, 6, 7, 9, 10} and all(got[k][0]["error"] and got[k][0]["clip"] is None for k in (3, 4, 5, 6, 7, 10)) and got[9][0]["error"] is None
+    assert media.clip_rows(spark.createDataFrame([(6, bare)], "doc_id long, media binary"), tables=tables).first()["error"] is None
+
+
+def test_lossless_frames_with_any_table():
+    """The same samples by a table of eight-bit codes, bit by bit."""
+    r = np.random.default_rng(3)
+    x = r.integers(0, 256, (5, 7)).astype(np.int64)
+    out, counts = [], bytes([0] * 7 + [9] + [0] * 8) + bytes(range(9))
+    for i in range(5):
+        for j in range(7):
+            d = int(x[i, j] - (x[i, j - 1] if j else x[i - 1, 0] if i else 128))
+            n, extra = number(d)
+            out += [(n, 8), (extra, n)]
+    frame = b"\xff\xd8" + segment(0xC4, b"\0" + counts) + segment(0xC3, bytes([8, 0, 5, 0, 7, 1, 1, 0x11, 0])) + segment(0xDA, bytes([1, 1, 0, 1, 0, 0])) + coded(out) + b"\xff\xd9"
+    assert (next(media.read_frames(frame, [(0, len(frame))]))[0] == x).all()
+
+
 def test_token_counts(docs):
     pieces, octets, ends, longest = tokens.load_scores(tokens.default_vocabulary())
 
@@ -155,6 +295,15 @@ def test_token_counts(docs):
     got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs).collect()}
     assert {i: n for i, n in got.items() if i in want} == want
     assert got[120] is None and got[121] == 0
+    # another table of scores, with a trie that begins anew for every word
+    table = {tokens.MARK: -5, **{c: -3 for c in "abcdefghijklmnopqrstuvwxyz0123456789"}, "in": -4, "edit": -7, "gest": -6, tokens.MARK + "the": -4}
+    pieces, octets, ends, longest = tokens.scored(table)
+    want = {i: sum(brute(tokens.MARK + w) for w in t.split()) for i, t, *_ in corpus() if t is not None and i is not None}
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs, scores=table).collect()}
+    assert {i: n for i, n in got.items() if i in want} == want
+    one, many = tokens.Trie(pieces, octets, ends), ["ingest", "in", "inge", "", "édit", "edited"] * 2
+    assert [one.insert(w) for w in many] == [tokens.Trie(pieces, octets, ends).insert(w) for w in many]
+    assert len(one.best) == 1 + len({w[:k] for w in many for k in range(1, len(w) + 1)})
 
 
 def test_deep_shallow_sorts():
@@ -310,14 +459,16 @@ def test_cross_parsing_equals_brute_force():
     sample = [("x", "".join(r.choice("abc ") for _ in range(300)).strip()), ("y", "".join(r.choice("cde ") for _ in range(300)).strip())]
     known = langid.Automata(sample)
     plain = ["".join(map(chr, langid.normalised(t))) for _, t in sample]
-    texts = ["".join(r.choice("abcde ") for _ in range(n)).strip() for n in (1, 7, 60, 200)]
+    texts = ["".join(r.choice("abcde ") for _ in range(n)).strip() for n in (1, 7, 60, 200, 1023, 1024, 1025, 2500, 10_000)]
+    texts += [sample[0][1], sample[0][1] * 9, "z" * 3000, plain[0][:1] + plain[1] * 12]
     got = known.phrases([langid.normalised(t) for t in texts])
+    assert got[-4].tolist()[0] == 1
     for t, row in zip(texts, got.tolist(), strict=True):
         t = "".join(map(chr, langid.normalised(t)))
         assert row == [phrases(t, s) for s in plain]
 
 
-@pytest.mark.parametrize(("n", "num", "den", "block"), [(4, 85, 100, 2048), (5, 80, 100, 3)])
+@pytest.mark.parametrize(("n", "num", "den", "block"), [(4, 85, 100, 4 << 20), (5, 80, 100, 3)])
 def test_ngram_join(spark, docs, empty, n, num, den, block):
     sets = {}
     for i, t, *_ in corpus():
@@ -344,27 +495,76 @@ def test_ngram_join(spark, docs, empty, n, num, den, block):
     assert ngram_join.similar_groups(empty, n, num, den).count() == 0
 
 
-@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100)])
-def test_pairs_at_the_threshold_share_a_key(num, den):
-    """Sets of all sizes, around the seams between ranges above all, with the smaller one inside the larger or of equal size."""
-    r, keys = np.random.default_rng(7), ngram_join.Keys(num, den)
-    seams = [x for s in (64, 128, 256, 1024) for x in (s * num // den - 1, s * num // den, s * num // den + 1, s - 1, s, s + 1, s * den // num)]
-    with np.errstate(over="ignore"):
-        for size in [*range(1, 90), *seams, 700, 5000] * 3:
-            pool = r.integers(0, 2**64, 3 * size + 3, np.uint64)
-            a = pool[:size]
-            inside = pool[: -(-size * num // den)]  # |a & b| / |a | b| is at the threshold or just above
-            common = -(-2 * size * num // (num + den))
-            equal = np.concatenate((pool[:common], pool[2 * size : 3 * size - common]))
-            for b in (inside, equal):
-                assert len(np.intersect1d(a, b)) * den >= num * len(np.union1d(a, b))
-                assert np.intersect1d(keys.of(np.sort(a)), keys.of(np.sort(b))).size
-        # sets that share a quarter of their members, as by a common passage, hardly ever meet
-        met = 0
-        for _ in range(200):
-            pool = r.integers(0, 2**64, 280, np.uint64)
-            met += bool(np.intersect1d(keys.of(np.sort(pool[:160])), keys.of(np.sort(pool[120:]))).size)
-        assert met <= 10
+def brute_components(sets, num, den):
+    root = list(range(len(sets)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(a) for a in root]
+
+
+@pytest.mark.parametrize(("n", "num", "den", "block"), [(4, 85, 100, 4 << 20), (5, 80, 100, 4 << 20), (5, 80, 100, 20_000)])
+def test_ngram_join_finds_all_of_large_sets_and_chains(spark, n, num, den, block):
+    """Sets of 1 to 900 shingles: families around the threshold, chains, one passage shared by most, a large group of near copies."""
+    r = random.Random(num + block)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    passage, texts = [word() for _ in range(50)], []
+    for size in [3, 5, 8, 20, 60, 70, 130, 260, 900]:
+        base = [word() for _ in range(size)]
+        for _ in range(14):  # each edits as many words as move it about to the threshold
+            w = list(base)
+            for _ in range(r.randint(0, max(1, size * (den - num) // den // n))):
+                w[r.randrange(len(w))] = word()
+            texts.append(w)
+        chain = list(base)  # each link is similar to its neighbours, not to the whole chain
+        for _ in range(12):
+            for _ in range(max(1, size * (den - num) // den // n // 2)):
+                chain[r.randrange(len(chain))] = word()
+            texts.append(list(chain))
+    for _ in range(150):
+        own = [word() for _ in range(r.randint(30, 120))]
+        texts.append(own[:20] + passage + own[20:])
+    base = [word() for _ in range(200)]
+    for _ in range(120):
+        w = list(base)
+        for _ in range(r.randint(1, 6)):
+            w[r.randrange(len(w))] = word()
+        texts.append(w)
+    texts += texts[:30]
+    sets = [{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} for w in texts]
+    want = brute_components(sets, num, den)
+    assert max(Counter(want).values()) > 60
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(docs, n, num, den, block=block).collect()}
+    assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, want, strict=True))}
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100), (1, 2)])
+def test_similar_sets_meet_in_their_prefixes(num, den):
+    """Pairs exactly at the threshold, whatever shingles count as frequent, and through batches of any size."""
+    r = np.random.default_rng(7)
+    for size in [*range(1, 70), 128, 700]:
+        pool = r.integers(0, 2**63, 3 * size + 3).astype(np.uint64)
+        common = -(-2 * size * num // (num + den))
+        sets = [np.sort(pool[:size]), np.sort(pool[: -(-size * num // den)]), np.sort(np.concatenate((pool[:common], pool[2 * size : 3 * size - common])))]
+        h, at = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+        for frequent in (np.zeros(0, np.uint64), np.sort(pool[: size // 2]), np.sort(pool)):
+            key, who, place = ngram_join.prefixes(h, at, frequent, num, den)
+            for x in range(3):
+                ranked = sorted(sets[x].tolist(), key=lambda s: (s in set(frequent.tolist()), s))
+                mine = who == x
+                assert key[mine][np.argsort(place[mine])].tolist() == ranked[: mine.sum()]
+            o = np.lexsort((who, key))
+            p, q = ngram_join._meet(key[o].view(np.int64), who[o], np.diff(at)[who][o], place[o], num, den)
+            assert {(0, 1), (0, 2)} <= {(min(x, y), max(x, y)) for x, y in zip(p.tolist(), q.tolist(), strict=True)}
 
 
 def test_empty_tables(empty):
