@@ -1,9 +1,8 @@
-"""Fuzzy line deduplication: MinHash signatures, banding, exact Jaccard, union-find; DataFrame operations only.
+"""Fuzzy line deduplication: MinHash signatures, banding, exact Jaccard, union-find.
 
-A line's shingles are the ``K``-character strings of its normalised form (characters are UTF-16 units; a line
-of fewer is one shingle).  A line is named by a 64-bit hash of its normalised form.  Equal lines are one row
-from the first aggregation on, which also takes the minima that make up the signature, so a line repeated in
-a third of all documents is a row per task.
+A line's shingles are the ``K``-character strings of its normalised form (a line of fewer is one shingle).  A
+line is named by a 64-bit hash of its normalised form; equal lines are one row from the signatures on, first
+within a batch and a task, so a line repeated in a third of all documents is a row per task.
 
 Lines that agree in a band are candidates.  What a pair can share at most is read off two bitmaps of shingles:
 a bit that only one line has set is a shingle that the other lacks.  This bound is worked out inside the join
@@ -13,33 +12,44 @@ of a distributed union-find.
 
 A bucket of more than ``LARGE`` lines is first linked to ``LEADS`` of its lines.  Then its lines are compared
 block by block, but only those of different classes: a large group of near copies is one class by then, and
-pairs of lines that merely share a template stay within the join.
+pairs of lines that merely share a template are counted where their blocks meet and never become rows.
+
+Hashing shingles and comparing their sets is vectorised Python on Arrow batches; the rest is DataFrame
+operations.  The form without Python took three times the CPU time it may take (README).
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import setting, settled, tabled
+from .common import mapped, settled, tabled
 from .graph import components
+from .shingles import mix
 
 K = 8
 THRESHOLD = 0.8
 #: Three minima to a band: a pair of similarity 0.8 shares one of nine bands with probability 0.998, one of 0.9 with 0.99999.
 BANDS, ROWS = 9, 3
-#: Shingles to a row that is aggregated.
-STEP = 2
 #: 64-bit words of a bitmap; a power of two.
-WORDS = 8
-#: Buckets of more lines are linked to leads first, and what is left is compared in blocks of about so many lines.
-LARGE, LEADS, BLOCK = 64, 8, 1024
+WORDS = 16
+#: Buckets of more lines are linked to leads first, and what is left is compared in blocks of about so many bytes of lines.
+LARGE, LEADS, BLOCK = 64, 8, 1 << 20
 #: So many names of lines (8 bytes each) are sent to all tasks to pick texts by; more are joined by a shuffle.
 BROADCAST_NAMES = 1_000_000
-
-_MINIMA = [f"m{i}" for i in range(BANDS * ROWS)]
+#: Characters whose shingles are hashed at once.
+CHUNK = 1 << 19
+
+U = np.uint64
+#: Odd multipliers of a shingle's characters, of its length if it is short, and of a band's minima and number.
+_ODD = mix(np.arange(1, K + ROWS + 3, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+# the order of hashes XOR a constant is another permutation
+_MASKS = np.array([0x9E3779B1 * (2 * i + 1) & (1 << 32) - 1 for i in range(BANDS * ROWS)], np.uint32)
+_KEYS = [f"k{i}" for i in range(BANDS)]
 _BITS = [f"b{i}" for i in range(WORDS)]
 
 
@@ -56,35 +66,70 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return norm.select("doc_id", "at", "line", F.xxhash64("line").alias("h"))
 
 
-def shingles(rows: DataFrame) -> DataFrame:
-    """(h, n, x0, x1, ...): hashes of the shingles of each (h, line), ``STEP`` to a row, the last one repeated; n is their number, in the first row."""
-    wide = rows.select("h", F.encode("line", "UTF-16BE").alias("b"))
-    place = wide.select("h", "b", F.expr(f"greatest(1, octet_length(b) div 2 - {K - 1})").alias("last"))
-    place = place.select("h", "b", "last", F.explode(F.sequence(F.lit(1), "last", F.lit(STEP))).alias("p"))
-    hashed = lambda i: F.xxhash64(F.substring("b", F.least(F.col("p") + i, F.col("last")) * 2 - 1, F.lit(2 * K)))
-    return place.select("h", F.when(F.col("p") == 1, F.col("last")).otherwise(0).alias("n"), *(hashed(i).alias(f"x{i}") for i in range(STEP)))
+def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of each line one after another, len + 1 offsets); no line is empty or has a line end."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    # lines have no line ends, so these fill up short ones without making them like others
+    wide = "".join(t if len(t) >= K else t.ljust(K, "\n") for t in texts)
+    c = np.frombuffer(wide.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    start = np.concatenate(([0], np.cumsum(np.maximum(size, K))))[:-1]
+    count = np.maximum(size - K + 1, 1)
+    with np.errstate(over="ignore"):
+        h = c[: len(c) - K + 1] * _ODD[0]
+        for k in range(1, K):
+            h += c[k : len(c) - K + 1 + k] * _ODD[k]
+        h = mix(h)
+    off = np.concatenate(([0], np.cumsum(count)))
+    return h[np.arange(off[-1]) + np.repeat(start - off[:-1], count)], off
+
+
+def in_chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of lines with about ``CHUNK`` characters each; a longer line is a range of its own."""
+    lo, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and held + len(t) > CHUNK:
+            yield lo, i
+            lo, held = i, 0
+        held += max(len(t), K)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def signature_columns(texts: list[str]) -> list[np.ndarray]:
+    """n, the keys of the bands and the words of the bitmap of each line."""
+    h, off = shingle_hashes(texts)
+    top = (h >> U(32)).astype(np.uint32)
+    least = np.stack([np.minimum.reduceat(top ^ m, off[:-1]) for m in _MASKS]).astype(U)
+    with np.errstate(over="ignore"):
+        keys = [mix(sum(least[i * ROWS + r] * _ODD[K + r] for r in range(ROWS)) + U(i + 1) * _ODD[K + ROWS]) for i in range(BANDS)]
+    count = np.diff(off)
+    bits = np.zeros((len(texts), 64 * WORDS), bool)
+    bits[np.repeat(np.arange(len(texts)), count), (h & U(64 * WORDS - 1)).astype(np.int64)] = True
+    words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    return [count, *(k.view(np.int64) for k in keys), *words.T]
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(h, m0, m1, ...): the minima of each distinct line."""
-    # the order of hashes XOR a constant is another permutation
-    masks = [(0x9E3779B1 * (2 * i + 1) & (1 << 32) - 1) - (1 << 31) for i in range(BANDS * ROWS)]
-    short = shingles(rows).select("h", *(F.shiftright(f"x{i}", 32).cast("int").alias(f"x{i}") for i in range(STEP)))
-    return short.groupBy("h").agg(*(F.min(F.least(*(F.col(f"x{i}").bitwiseXOR(F.lit(m)) for i in range(STEP)))).alias(name) for name, m in zip(_MINIMA, masks, strict=True)))
+    """(h, n, k0, k1, ..., b0, b1, ...) of each distinct line: its number of shingles, repeats included, the keys of its bands, and the bits that its shingles set."""
+    names = ["h", "n", *_KEYS, *_BITS]
 
+    def run(batches):
+        for batch in batches:
+            h, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            texts = batch.column(1).take(pa.array(first)).to_pylist()
+            for lo, hi in in_chunks(texts):
+                cols = signature_columns(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[lo:hi], *map(np.ascontiguousarray, cols))], names)
 
-def bitmaps(text: DataFrame) -> DataFrame:
-    """(h, n, b0, b1, ...) of (h, line), a row each: the number of shingles, repeats included, and the bits that they set."""
-    one = shingles(text).select("h", "n", *(F.col(f"x{i}").bitwiseAND(F.lit(WORDS - 1)).cast("int").alias(f"w{i}") for i in range(STEP)), *(F.expr(f"shiftleft(1L, cast(shiftright(x{i}, {WORDS.bit_length() - 1}) & 63 as int))").alias(f"s{i}") for i in range(STEP)))
-    word = lambda k: reduce(Column.bitwiseOR, (F.when(F.col(f"w{i}") == k, F.col(f"s{i}")).otherwise(F.lit(0).cast("long")) for i in range(STEP)))
-    return one.groupBy("h").agg(F.sum("n").alias("n"), *(F.bit_or(word(k)).alias(b) for k, b in enumerate(_BITS)))
+    one = mapped(rows.select("h", "line"), run, ", ".join(f"{c} long" for c in names))
+    # equal lines have equal columns
+    return one.groupBy("h").agg(*(F.min(c).alias(c) for c in names[1:]))
 
 
 def shared_keys(sig: DataFrame) -> DataFrame:
     """(key, h, size) of the buckets of two lines and more, ``size`` being the lines of the key."""
-    keys = F.array(*(F.xxhash64(F.lit(i), *(f"m{i * ROWS + r}" for r in range(ROWS))) for i in range(BANDS)))
     # dealt out once: counted and joined where they are
-    member = sig.select("h", F.explode(keys).alias("key")).repartition("key")
+    member = sig.select("h", F.explode(F.array(*_KEYS)).alias("key")).repartition("key")
     size = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return tabled(member.join(size, "key"))
 
@@ -116,63 +161,134 @@ def lead_pairs(many: DataFrame) -> DataFrame:
     return as_pairs(renamed(many, "x", "key").join(renamed(lead, "y", "key"), "key").where((F.col("h_x") != F.col("h_y")) & can_be_similar()))
 
 
-def block_pairs(many: DataFrame, comp: DataFrame) -> DataFrame:
-    """Distinct (a, b) of lines of one large bucket that may be similar and aren't in one class of ``comp`` yet.
+def line_sets(texts: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line."""
+    sets = []
+    for lo, hi in in_chunks(texts):
+        h, off = shingle_hashes(texts[lo:hi])
+        sets += [np.unique(h[a:z]) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    return sets
+
+
+def verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of the pairs that reach the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, la, lb = (c.to_pylist() for c in batch.columns)
+            known = dict(zip(a, la, strict=True)) | dict(zip(b, lb, strict=True))
+            sets = dict(zip(known, line_sets(list(known.values())), strict=True))
+            found = []
+            for x, y in zip(a, b, strict=True):
+                p, q = sets[x], sets[y]
+                if min(len(p), len(q)) < THRESHOLD * max(len(p), len(q)):
+                    continue
+                both = np.concatenate((p, q))
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                j = common / (len(both) - common)
+                if j >= THRESHOLD:
+                    found.append((x, y, j))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["a", "b", "jaccard"])
+
+    both = pairs.join(text.toDF("a", "la"), "a").join(text.toDF("b", "lb"), "b").select("a", "b", "la", "lb")
+    return settled(mapped(both, run, "a long, b long, jaccard double"))
+
+
+def class_links(h: np.ndarray, c: np.ndarray, side: np.ndarray, texts: list[str]) -> list[tuple[int, int, float]]:
+    """(a, b, jaccard): links between lines of two blocks (``side`` 0 and 1; 2 is a block with itself), enough to join all classes ``c`` that links join.
+
+    For each line of the first block the shingles it shares with all lines of the other are counted at
+    once, by lists of the lines that have a shingle.
+    """
+    sets = line_sets(texts)
+    size = np.array([len(s) for s in sets])
+    xs, ys = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    flat, col = np.unique(np.concatenate([sets[i] for i in ys]), return_inverse=True)
+    owner = np.repeat(np.arange(len(ys)), size[ys])[np.argsort(col, kind="stable")]
+    start = np.concatenate(([0], np.cumsum(np.bincount(col, minlength=len(flat)))))
+    root = {k: k for k in np.unique(c).tolist()}
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for x in xs.tolist():
+        at = np.searchsorted(flat, sets[x])
+        at = at[at < len(flat)]
+        at = at[flat[at] == sets[x][: len(at)]]
+        n = start[at + 1] - start[at]
+        if not len(n):
+            continue
+        hit = owner[np.repeat(start[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))]
+        both = np.bincount(hit, minlength=len(ys))
+        j = both / (size[x] + size[ys] - both)
+        for y in np.flatnonzero((j >= THRESHOLD) & (c[ys] != c[x])).tolist():
+            p, q = top(int(c[x])), top(int(c[ys[y]]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                u, v = int(h[x]), int(h[ys[y]])
+                out.append((min(u, v), max(u, v), float(j[y])))
+    return out
+
+
+def block_links(many: DataFrame, comp: DataFrame, text: DataFrame) -> DataFrame:
+    """(a, b, jaccard) between lines of one large bucket that aren't in one class of ``comp`` yet; not all links, but all classes that links join.
 
     Lines of small classes are dealt to blocks together, a large class has blocks of its own, and no two
-    blocks of one large class are compared.
+    blocks of one large class are compared.  Blocks hold about ``BLOCK`` bytes of lines at any size.
     """
     part = many.join(comp.withColumnsRenamed({"node": "h", "component": "c"}), "h", "left").withColumn("c", F.coalesce("c", "h"))
     mixed = part.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     part = settled(part.join(mixed, "key", "left_semi"))
-    kind = part.groupBy("key", "c").agg(F.count(F.lit(1)).alias("members"))
+    if part.isEmpty():
+        return many.select(F.col("h").alias("a"), F.col("h").alias("b"), F.lit(1.0).alias("jaccard")).limit(0)
+    # what a line weighs here: its characters, and what its arrays take even if it is short
+    weight = F.col("n") + 64
+    kind = part.groupBy("key", "c").agg(F.sum(weight).alias("members"))
     # a large class is a group of its own; all others are group null
     part = part.join(kind, ["key", "c"]).withColumn("own", F.when(F.col("members") > BLOCK, F.col("c")))
-    slices = F.ceil(F.when(F.col("own").isNull(), F.col("size")).otherwise(F.col("members")) / BLOCK)
-    dealt = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("c")).otherwise(F.col("h"))), slices)
-    part = settled(part.withColumn("block", F.xxhash64(F.coalesce("own", F.lit(0)), F.col("own").isNull(), dealt)).drop("members", "size"))
+    total = part.groupBy("key", "own").agg(F.sum(weight).alias("total")).withColumnsRenamed({"key": "_key", "own": "_own"})
+    part = part.join(total, (F.col("key") == F.col("_key")) & F.col("own").eqNullSafe(F.col("_own")))
+    dealt = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("c")).otherwise(F.col("h"))), F.ceil(F.col("total") / BLOCK))
+    part = settled(part.select("key", "h", "c", "own", F.xxhash64(F.coalesce("own", F.lit(0)), F.col("own").isNull(), dealt).alias("block")))
     block = part.select("key", "block", "own").distinct()
     i, j = renamed(block, "x", "key"), renamed(block, "y", "key")
-    two = i.join(j, "key").where("block_x <= block_y and not (own_x <=> own_y and own_x is not null)").select("key", "block_x", "block_y")
-    part = part.drop("own")
-    both = two.join(renamed(part, "x", "key"), ["key", "block_x"]).join(renamed(part, "y", "key"), ["key", "block_y"])
-    return as_pairs(both.where((F.col("c_x") != F.col("c_y")) & ((F.col("block_x") < F.col("block_y")) | (F.col("h_x") < F.col("h_y"))) & can_be_similar()))
+    two = settled(i.join(j, "key").where("block_x <= block_y and not (own_x <=> own_y and own_x is not null)").select("key", "block_x", "block_y"))
+    row = part.select("key", "block", "h", "c").join(text, "h")
+    side = lambda mark, value, where: two.where(where).withColumn("block", F.col(f"block_{mark}")).withColumn("side", F.lit(value))
+    sides = side("x", 0, "block_x < block_y").union(side("y", 1, "block_x < block_y")).union(side("x", 2, "block_x = block_y"))
 
+    def run(group: pa.Table) -> pa.Table:
+        found = class_links(*(group.column(c).to_numpy() for c in ("h", "c", "side")), group.column("line").to_pylist())
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64()), "jaccard": pa.array([f[2] for f in found], pa.float64())})
 
-def verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
-    """(a, b, jaccard) of the pairs that reach the threshold."""
-    both = pairs.join(text.toDF("a", "la"), "a").join(text.toDF("b", "lb"), "b")
-    both = both.select("a", "b", F.encode("la", "UTF-16BE").alias("la"), F.encode("lb", "UTF-16BE").alias("lb"))
-    places = lambda c: F.expr(f"sequence(1, greatest(1, octet_length({c}) div 2 - {K - 1}))")
-    hashes = lambda c: F.array_distinct(F.transform(places(c), lambda p: F.xxhash64(F.substring(c, p * 2 - 1, F.lit(2 * K)))))
-    # one-element arrays hold what is used twice, which a projection would work out twice
-    sets = F.array(F.struct(hashes("la").alias("x"), hashes("lb").alias("y")))
-    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("n"), (F.size(s["x"]) + F.size(s["y"])).alias("m")))
-    jaccard = F.get(F.transform(sizes, lambda c: c["n"] / (c["m"] - c["n"])), F.lit(0))
-    return settled(both.select("a", "b", jaccard.alias("jaccard"))).where(F.col("jaccard") >= THRESHOLD)
+    both = row.join(sides, ["key", "block"]).select("key", "block_x", "block_y", "side", "h", "c", "line")
+    return settled(both.groupBy("key", "block_x", "block_y").applyInArrow(run, "a long, b long, jaccard double"))
 
 
 def similar_lines(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((doc_id, at, h) of all lines; links (a, b, jaccard); (node, component) of the linked lines)."""
     rows = tabled(lines(docs, id_col, text_col))  # split once
-    # aggregation buffers are wide here: a second, smaller table before Spark's hash table costs more than it saves
-    with setting(docs.sparkSession, "spark.sql.codegen.aggregate.map.twolevel.enabled", "false"):
-        shared = shared_keys(signatures(rows))
+    sig = tabled(signatures(rows))
+    shared = shared_keys(sig)
     asked = settled(shared.select("h").distinct())
     pick = F.broadcast(asked) if asked.count() <= BROADCAST_NAMES else asked
     text = tabled(rows.select("h", "line").join(pick, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
     narrow = rows.drop("line")
-    member = shared.join(tabled(bitmaps(text)), "h")
+    member = shared.join(sig.drop(*_KEYS), "h")
     pairs = small_pairs(member.where(F.col("size") <= LARGE).drop("size"))
-    many = shared.where(F.col("size") > LARGE)
-    if many.isEmpty():
+    if shared.where(F.col("size") > LARGE).isEmpty():
         links = verified(settled(pairs), text)
         return narrow, links, components(links, "a", "b")
-    many = settled(member.where(F.col("size") > LARGE))
-    links = verified(settled(pairs.union(lead_pairs(many.drop("size"))).distinct()), text)
+    many = settled(member.where(F.col("size") > LARGE).drop("size"))
+    links = verified(settled(pairs.union(lead_pairs(many)).distinct()), text)
     comp = settled(components(links, "a", "b"))
-    more = verified(settled(block_pairs(many, comp)), text)
-    links = links.union(more)
+    links = links.union(block_links(many.select("key", "h", "n"), comp, text))
     return narrow, links, components(links, "a", "b")
 
 
