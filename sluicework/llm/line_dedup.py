@@ -95,6 +95,18 @@ def in_chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def bitmaps(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The words of each line's bitmap, a row a line."""
+    out = np.zeros((len(off) - 1, WORDS), U)
+    most = 4096  # lines whose bits are spread out at once
+    for lo in range(0, len(out), most):
+        cut = off[lo : lo + most + 1]
+        bits = np.zeros((len(cut) - 1, 64 * WORDS), bool)
+        bits[np.repeat(np.arange(len(cut) - 1), np.diff(cut)), (h[cut[0] : cut[-1]] & U(64 * WORDS - 1)).astype(np.int64)] = True
+        out[lo : lo + most] = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    return out
+
+
 def signature_columns(texts: list[str]) -> list[np.ndarray]:
     """n, the keys of the bands and the words of the bitmap of each line."""
     h, off = shingle_hashes(texts)
@@ -102,11 +114,7 @@ def signature_columns(texts: list[str]) -> list[np.ndarray]:
     least = np.stack([np.minimum.reduceat(top ^ m, off[:-1]) for m in _MASKS]).astype(U)
     with np.errstate(over="ignore"):
         keys = [mix(sum(least[i * ROWS + r] * _ODD[K + r] for r in range(ROWS)) + U(i + 1) * _ODD[K + ROWS]) for i in range(BANDS)]
-    count = np.diff(off)
-    bits = np.zeros((len(texts), 64 * WORDS), bool)
-    bits[np.repeat(np.arange(len(texts)), count), (h & U(64 * WORDS - 1)).astype(np.int64)] = True
-    words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-    return [count, *(k.view(np.int64) for k in keys), *words.T]
+    return [np.diff(off), *(k.view(np.int64) for k in keys), *bitmaps(h, off).view(np.int64).T]
 
 
 def signatures(rows: DataFrame) -> DataFrame:
@@ -199,43 +207,55 @@ def verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
 def class_links(h: np.ndarray, c: np.ndarray, side: np.ndarray, texts: list[str]) -> list[tuple[int, int, float]]:
     """(a, b, jaccard): links between lines of two blocks (``side`` 0 and 1; 2 is a block with itself), enough to join all classes ``c`` that links join.
 
-    For each line of the first block the shingles it shares with all lines of the other are counted at
-    once, by lists of the lines that have a shingle.
+    Shingles are ordered by the number of lines that have them, rarest first.  Similar lines share one of
+    the first ``n - ceil(THRESHOLD * n) + 1`` shingles of both, so a line is compared, by whole sets, with
+    those lines of other classes that such a list names and whose bitmaps leave room for the threshold;
+    shingles of a common template come last.
     """
     sets = line_sets(texts)
     size = np.array([len(s) for s in sets])
-    xs, ys = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    flat, col = np.unique(np.concatenate([sets[i] for i in ys]), return_inverse=True)
-    owner = np.repeat(np.arange(len(ys)), size[ys])[np.argsort(col, kind="stable")]
-    start = np.concatenate(([0], np.cumsum(np.bincount(col, minlength=len(flat)))))
-    root = {k: k for k in np.unique(c).tolist()}
-
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    out = []
-    for x in xs.tolist():
-        at = np.searchsorted(flat, sets[x])
-        at = at[at < len(flat)]
-        at = at[flat[at] == sets[x][: len(at)]]
-        n = start[at + 1] - start[at]
-        if not len(n):
+    at = np.concatenate(([0], np.cumsum(size)))
+    flat = np.concatenate(sets)
+    _, col, lines_with = np.unique(flat, return_inverse=True, return_counts=True)
+    bits = bitmaps(flat, at)
+    rank = np.empty(len(lines_with), np.int64)
+    rank[np.argsort(lines_with, kind="stable")] = np.arange(len(lines_with))
+    ids = rank[col]
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        ids[lo:hi].sort()
+    prefix = size - np.ceil(THRESHOLD * size - 1e-9).astype(np.int64) + 1
+    ys = np.flatnonzero(side != 0)
+    first = ids[np.repeat(at[ys], prefix[ys]) + _within(prefix[ys])]
+    owner = np.repeat(ys, prefix[ys])[np.argsort(first, kind="stable")]
+    start = np.concatenate(([0], np.cumsum(np.bincount(first, minlength=len(rank)))))
+    kind, has, out = c.copy(), np.zeros(len(rank), bool), []
+    for x in np.flatnonzero(side != 1).tolist():
+        own = ids[at[x] : at[x + 1]]
+        lead = own[: prefix[x]]
+        n = start[lead + 1] - start[lead]
+        near = np.unique(owner[np.repeat(start[lead], n) + _within(n)])
+        near = near[(kind[near] != kind[x]) & ((side[near] != 2) | (near > x))]
+        p, q = (np.bitwise_count(b).sum(1, dtype=np.int64) for b in (bits[x] & ~bits[near], bits[near] & ~bits[x]))
+        near = near[(p + q) * THRESHOLD <= np.minimum(size[x] - p, size[near] - q) * (1 - THRESHOLD) + 1e-6]
+        if not len(near):
             continue
-        hit = owner[np.repeat(start[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))]
-        both = np.bincount(hit, minlength=len(ys))
-        j = both / (size[x] + size[ys] - both)
-        for y in np.flatnonzero((j >= THRESHOLD) & (c[ys] != c[x])).tolist():
-            p, q = top(int(c[x])), top(int(c[ys[y]]))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                u, v = int(h[x]), int(h[ys[y]])
-                out.append((min(u, v), max(u, v), float(j[y])))
+        has[own] = True
+        common = np.add.reduceat(has[ids[np.repeat(at[near], size[near]) + _within(size[near])]], np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
+        has[own] = False
+        j = common / (size[x] + size[near] - common)
+        for y, value in zip(near[j >= THRESHOLD].tolist(), j[j >= THRESHOLD].tolist(), strict=True):
+            if kind[y] != kind[x]:
+                kind[kind == kind[y]] = kind[x]
+                u, v = int(h[x]), int(h[y])
+                out.append((min(u, v), max(u, v), value))
     return out
 
 
+def _within(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... n[0] - 1, 0, 1, ... n[1] - 1, ..."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
 def block_links(many: DataFrame, comp: DataFrame, text: DataFrame) -> DataFrame:
     """(a, b, jaccard) between lines of one large bucket that aren't in one class of ``comp`` yet; not all links, but all classes that links join.
 

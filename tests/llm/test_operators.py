@@ -433,6 +433,46 @@ def test_similar_lines_that_share_a_template(spark):
     assert links.where("jaccard < 0.8").count() == 0
 
 
+@pytest.mark.parametrize("two_blocks", [False, True])
+def test_links_between_blocks_join_what_all_links_join(two_blocks):
+    """Short, repeated and edited lines, some in one class before: components against brute force."""
+    for seed in range(12):
+        r = random.Random(seed)
+        base = ["".join(r.choice("abcd é") for _ in range(r.randint(1, 60))) for _ in range(6)]
+        texts = []
+        for _ in range(60):
+            t = list(r.choice(base))
+            for _ in range(r.randint(0, 3)):
+                t[r.randrange(len(t))] = r.choice("abcdxyz")
+            texts.append("".join(t))
+        m = len(texts)
+        sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in texts]
+        jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])  # noqa: B023, E731
+        side = np.array([r.randint(0, 1) if two_blocks else 2 for _ in texts])
+        c = np.array([r.randint(0, m) for _ in texts])
+        got = line_dedup.class_links(np.arange(m), c, side, texts)
+        assert all(abs(jaccard(a, b) - j) < 1e-12 and j >= 0.8 for a, b, j in got)
+
+        def joined(pairs):
+            name = c.copy()  # noqa: B023
+            for a, b in pairs:
+                name[name == name[a]] = name[b]
+            return {frozenset(np.flatnonzero(name == k).tolist()) for k in set(name.tolist())}
+
+        every = [(a, b) for a in range(m) for b in range(a) if (side[a] != side[b] or not two_blocks) and jaccard(a, b) >= 0.8]
+        assert joined(every) == joined([(a, b) for a, b, _ in got])
+
+
+def test_long_lines_extra_columns_and_repeated_ids(spark):
+    """One line of 40,000 characters and its near copy; columns named like the operator's own; two rows of one id."""
+    r = random.Random(5)
+    long_ = "".join(r.choice("abcdefgh ") for _ in range(40_000)).strip()
+    rows = [(1, long_, 1, "x", 0), (2, long_[:20_000] + "zz" + long_[20_000:], 2, "y", 1), (3, "short", 3, "z", 2), (3, "other\nshort", 4, "z", 2), (None, "no id", 5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long, line string, `at` long")
+    got = {x["doc_id"]: (x["n_lines"], x["n_kept"]) for x in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 0), 3: (3, 2), None: (1, 1)}
+
+
 def test_language(spark, sf):
     from sluicework.llm import queries
 
