@@ -136,9 +136,9 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 def shared_keys(sig: DataFrame) -> DataFrame:
     """(key, h, size) of the buckets of two lines and more, ``size`` being the lines of the key."""
-    # dealt out once: counted and joined where they are
+    # dealt out once: counted and joined where they are; a count that left h unread would deal out anew
     member = sig.select("h", F.explode(F.array(*_KEYS)).alias("key")).repartition("key")
-    size = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    size = member.groupBy("key").agg(F.count("h").alias("size")).where("size > 1")
     return tabled(member.join(size, "key"))
 
 
