@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -38,3 +38,23 @@ def local_session(cpus: int | str | None = None, **conf: str) -> SparkSession:
         **conf,
     }
     return SparkSession.builder.master(f"local[{n}]").appName("sluicework").config(map=settings).getOrCreate()
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names; a local session, whose tasks all run here, gets one of its own where it is unset."""
+    context = spark.sparkContext
+    if not (held := context._jsc.sc().getCheckpointDir()).isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="sluicework-")
+        context.setCheckpointDir(named)
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder: later reads neither recompute it nor lose it with an executor."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
