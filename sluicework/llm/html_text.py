@@ -160,7 +160,7 @@ class Lines(HTMLParser):
         if not self.open[-1].silent:
             self.parts.append(data)
             if not self.links:
-                self.plain += len(data)
+                self.plain += len(data.strip())
 
 
 def page_lines(html: str) -> tuple[list[Line], list[int], list[str]]:
@@ -226,11 +226,11 @@ def main_text(html: str | None) -> tuple[str, int, int]:
     ratios = [0.0 if x.out else x.plain / x.tags for x in lines]
     found = region(lines, dense(smoothed(ratios)), parents, tags)
     root = found or 0  # no line stands out where all text is links: then what isn't boilerplate
-    menus = found is not None and tags[root] not in ("article", "main")  # without an article, lines of links alone are menus
+    menus = found is not None and tags[root] not in ("article", "main")  # without an article, lines that are mostly links are menus
     inside = [False] * len(parents)
     for k in range(len(parents)):
         inside[k] = k == root or (k > 0 and inside[parents[k]])
-    kept = [x.text for x in lines if inside[x.node] and not x.out and (x.plain or not menus or tags[x.node] in HEADINGS)]
+    kept = [x.text for x in lines if inside[x.node] and not x.out and (4 * x.plain >= len(x.text) or not menus or tags[x.node] in HEADINGS)]
     return "\n".join(kept), len(kept), len(lines)
 
 
