@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from . import ordered
 from .rollup import incomplete, warning_text
 
 RESOURCE = ["store_no", "user_key", "resource_key"]
@@ -138,8 +138,7 @@ def batch_join(inputs: DataFrame, results: DataFrame, key: list[str], missing: s
 
 def ordinary_pages(users: DataFrame, page_size: int) -> DataFrame:
     """``users`` (store_no, ordinal, ...) with ``user_page``: the listing's page that each is on, valid or not."""
-    n = F.row_number().over(W.partitionBy("store_no").orderBy("ordinal")).cast("long") - 1
-    return users.withColumn("_n", n).withColumn("user_page", F.expr(f"_n div {max(1, page_size)}")).drop("_n")
+    return ordered.numbered(users, ["store_no"], ["ordinal"], "_n").withColumn("user_page", F.expr(f"_n div {max(1, page_size)}")).drop("_n")
 
 
 def remediation_starts(users: DataFrame, mode: str, partition: str, generation: Column, sequence: Column) -> DataFrame:
@@ -222,7 +221,7 @@ def throttled(starts: DataFrame, part: str = "store_no", order: str = "ordinal",
 
 def wait_order(handles: DataFrame, part: str, key: str) -> DataFrame:
     """``handles`` with ``place``: handles that end together are taken by id."""
-    return handles.withColumn("place", F.row_number().over(W.partitionBy(part).orderBy(key)).cast("long") - 1)
+    return ordered.numbered(handles, [part], [key], "place")
 
 
 # ---- ends
@@ -296,8 +295,7 @@ def deactivation(stores: DataFrame) -> DataFrame:
 def cleanup_batches(keys_: DataFrame, concurrency: int) -> DataFrame:
     """Users to clean, each once at its first mention, in batches that wait for each other; a store without any takes all its users in one."""
     first = keys_.groupBy("store_no", "user_key").agg(F.min("ordinal").alias("ordinal"))
-    n = F.row_number().over(W.partitionBy("store_no").orderBy("ordinal", "user_key")).cast("long") - 1
-    return first.withColumn("_n", n).withColumn("batch", F.expr(f"_n div {max(1, concurrency)}")).drop("_n")
+    return ordered.numbered(first, ["store_no"], ["ordinal", "user_key"], "_n").withColumn("batch", F.expr(f"_n div {max(1, concurrency)}")).drop("_n")
 
 
 # ---- reports

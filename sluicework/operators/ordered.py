@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..session import settled
 
-#: The column that numbers buckets; it ascends in the order of (group, order).
-BUCKET = "_bucket"
+#: The columns that number buckets and rows; both ascend in the order of (group, order).
+BUCKET, PLACE = "_bucket", "_place_in_all"
 Order = list[str | Column]
 
 
@@ -55,6 +55,19 @@ def _joined(rows: DataFrame, part: list[str], starts: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(s), on, "left").drop(*names.values())
 
 
+def matched(rows: DataFrame, table: DataFrame, part: list[str]) -> DataFrame:
+    """Inner join on ``part``, in which null groups are groups; the planner chooses its kind."""
+    names = {c: f"_{c}_of_table" for c in part}
+    t = table.withColumnsRenamed(names)
+    t = t.select(*names.values(), *(c for c in t.columns if c not in rows.columns and c not in names.values()))
+    if not part:
+        return rows.crossJoin(F.broadcast(t))  # one group: a row for each of its few targets
+    on = rows[part[0]].eqNullSafe(t[names[part[0]]])
+    for c in part[1:]:
+        on = on & rows[c].eqNullSafe(t[names[c]])
+    return rows.join(t, on).drop(*names.values())
+
+
 def running(rows: DataFrame, part: list[str], order: Order, buckets: int | None = None, **sums: Column | str) -> DataFrame:
     """``rows`` with, for each of ``sums`` (name=value), the sum of the value over the earlier rows of the group: 0 for the first.
 
@@ -82,12 +95,49 @@ def neighbour(rows: DataFrame, part: list[str], order: Order, buckets: int | Non
 
     A bucket that has none passes on what it got, so a value may come from far.
     """
-    d = dealt(rows.withColumns({f"_v_{n}": v for n, v in values.items()}), part, order, buckets, place="_at")
+    d = dealt(rows.withColumns({f"_v_{n}": v for n, v in values.items()}), part, order, buckets, place=PLACE)
     take = F.min_by if after else F.max_by
-    per = _across(d, part, **{n: take(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("_at"))) for n in values})
+    per = _across(d, part, **{n: take(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(PLACE))) for n in values})
     w = W.partitionBy(*part).orderBy(F.col(BUCKET).desc() if after else F.col(BUCKET)).rowsBetween(W.unboundedPreceding, -1)
     starts = per.select(*part, BUCKET, *(F.last(n, ignorenulls=True).over(w).alias(f"_s_{n}") for n in values))
-    inside = W.partitionBy(*part, BUCKET).orderBy(F.col("_at").desc() if after else F.col("_at")).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*part, BUCKET).orderBy(F.col(PLACE).desc() if after else F.col(PLACE)).rowsBetween(W.unboundedPreceding, -1)
     out = _joined(d, part, starts)
     out = out.withColumns({n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_s_{n}")) for n in values})
-    return out.drop(BUCKET, "_at", *(f"_{k}_{n}" for n in values for k in "vs"))
+    return out.drop(BUCKET, PLACE, *(f"_{k}_{n}" for n in values for k in "vs"))
+
+
+def runs(rows: DataFrame, part: list[str], order: Order, key: str, buckets: int | None = None) -> DataFrame:
+    """(part, key, length): the maximal runs of rows with one key in the order of their group; null is a key.
+
+    Buckets are summed up by their runs, of which only the first and the last can go on in another bucket: they
+    are merged where they meet with one key, a bucket of a single run with both its neighbours.
+    """
+    d = dealt(rows.select(*part, key, *order), part, order, buckets, place=PLACE)
+    inside = W.partitionBy(*part, BUCKET).orderBy(PLACE)
+    # within a bucket, places less the places among rows of the same key are constant in a run
+    island = F.row_number().over(inside) - F.row_number().over(W.partitionBy(*part, BUCKET, key).orderBy(PLACE))
+    found = d.withColumn("_island", island).groupBy(*part, BUCKET, key, "_island").agg(F.count(F.lit(1)).alias("length"), F.min(PLACE).alias("_from"))
+    ends = W.partitionBy(*part, BUCKET)
+    found = found.withColumns({"_first": F.col("_from") == F.min("_from").over(ends), "_last": F.col("_from") == F.max("_from").over(ends)}).drop("_island")
+    found = settled(found)
+    outer = found.where("_first or _last")
+    several = found.groupBy(*part).agg(F.min(BUCKET).alias("_lo"), F.max(BUCKET).alias("_hi")).where("_lo < _hi")
+    # at most two runs of each bucket are joined here
+    border = _semi(outer, several)
+    along = W.partitionBy(*part).orderBy(BUCKET, "_from")
+    before = lambda c: F.lag(c).over(along)
+    joins = (before(BUCKET) < F.col(BUCKET)) & F.col("_first") & before("_last") & before(key).eqNullSafe(F.col(key))
+    merged = border.withColumn("_new", (~F.coalesce(joins, F.lit(False))).cast("long")).withColumn("_run", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    merged = merged.groupBy(*part, key, "_run").agg(F.sum("length").alias("length")).drop("_run")
+    rest = found.where("not (_first or _last)").select(*part, key, "length").unionByName(_semi(outer, several, "left_anti").select(*part, key, "length"))
+    return rest.unionByName(merged)
+
+
+def _semi(rows: DataFrame, groups: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose group is (or isn't) among ``groups``, null groups included; ``groups`` has no more rows than there are buckets."""
+    names = {c: f"_{c}_of_group" for c in groups.columns if not c.startswith("_")}
+    g = groups.select(*(F.col(c).alias(n) for c, n in names.items()), F.lit(1).alias("_some"))
+    on = g["_some"] == 1
+    for c, n in names.items():
+        on = on & rows[c].eqNullSafe(g[n])
+    return rows.join(F.broadcast(g), on, how)

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import opaque_key_py
+from . import ordered
 
 # The ceiling of a scope's queue; seconds of block for an exhaustion that tells neither when nor how long.
 MAX_PENDING = 350
@@ -36,9 +37,8 @@ def denial(requests: DataFrame, max_pending: int = MAX_PENDING) -> DataFrame:
         .when(F.col("requester") == "", NO_REQUESTER)
         .when(F.col("disabled"), DISABLED)
     )
-    ahead = F.sum(F.col("_early").isNull().cast("int")).over(W.partitionBy("scope").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1))
     cap = min(max(1, max_pending), MAX_PENDING)
-    out = requests.withColumn("_early", early).withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
+    out = ordered.running(requests.withColumn("_early", early), ["scope"], ["ordinal"], _ahead=F.col("_early").isNull().cast("long"))
     return out.withColumn("denial", F.when(F.col("_early").isNotNull(), F.col("_early")).when(F.col("_ahead") >= cap, FULL)).drop("_early", "_ahead")
 
 
@@ -47,8 +47,8 @@ def grants(queue: DataFrame) -> DataFrame:
 
     Costs are positive, so rank and running cost only grow and a filter is the prefix.
     """
-    w = W.partitionBy("scope").orderBy("ordinal")
-    placed = queue.withColumn("queue_rank", F.row_number().over(w).cast("long")).withColumn("running_cost", F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    placed = ordered.running(queue, ["scope"], ["ordinal"], queue_rank=F.lit(1).cast("long"), running_cost="cost")
+    placed = placed.withColumns({"queue_rank": F.col("queue_rank") + 1, "running_cost": F.col("running_cost") + F.col("cost")})
     return placed.where((F.col("queue_rank") <= F.col("free_slots")) & (F.col("remaining").isNull() | (F.col("running_cost") <= F.col("remaining"))))
 
 
@@ -70,8 +70,7 @@ def repaired_order(order: DataFrame, members: DataFrame, part: str = "scope", ke
     """
     first = order.groupBy(part, key).agg(F.min("ordinal").alias("_at"))
     j = members.select(part, key).distinct().join(first, [part, key], "left")
-    place = F.row_number().over(W.partitionBy(part).orderBy(F.col("_at").isNull(), "_at", key)).cast("long") - 1
-    return j.withColumn("place", place).drop("_at")
+    return ordered.numbered(j, [part], [F.col("_at").asc_nulls_last(), key], "place").drop("_at")
 
 
 def compacted_terminals(ended: DataFrame, size: int, part: str = "scope", key: str = "request_id") -> DataFrame:

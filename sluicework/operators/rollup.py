@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def paged(rows: DataFrame, part: list[str], order: list[str], page_size: int) -> DataFrame:
     """``rows`` with ``page_no`` (from 0) and ``page_ordinal`` within each partition."""
-    n = F.row_number().over(W.partitionBy(*part).orderBy(*order)).cast("long") - 1
-    return rows.withColumn("_n", n).withColumn("page_no", F.expr(f"_n div {page_size}")).withColumn("page_ordinal", F.expr(f"_n % {page_size}")).drop("_n")
+    return ordered.numbered(rows, part, order, "_n").withColumn("page_no", F.expr(f"_n div {page_size}")).withColumn("page_ordinal", F.expr(f"_n % {page_size}")).drop("_n")
 
 
 def deletion_refs(pages: DataFrame) -> DataFrame:
@@ -81,9 +82,8 @@ def uniform_rounds(users: DataFrame, window: int, pages: int, page_slice: int) -
     ``pages_reported`` adds a whole slice per round, as the roll-up of round mode does.
     """
     rounds = max(1, -(-pages // page_slice))
-    n = F.row_number().over(W.partitionBy("store_no").orderBy("ordinal")).cast("long") - 1
-    first = F.floor(n / window).cast("long") * rounds
-    return users.withColumn("first_round", first).withColumn("last_round", F.col("first_round") + rounds - 1).withColumn("pages_reported", F.lit(rounds * page_slice).cast("long"))
+    first = F.floor(F.col("_n") / window).cast("long") * rounds
+    return ordered.numbered(users, ["store_no"], ["ordinal"], "_n").withColumn("first_round", first).drop("_n").withColumn("last_round", F.col("first_round") + rounds - 1).withColumn("pages_reported", F.lit(rounds * page_slice).cast("long"))
 
 
 def bounded_sample(rows: DataFrame, part: list[str], value: str, order: list[str], limit: int) -> DataFrame:
@@ -124,9 +124,9 @@ def activation_stage(recent_clean: Column, fence: Column, backfill_clean: Column
 
 def cleanup_rollup(batches: DataFrame) -> DataFrame:
     """Per store: affected rows up to and with the first failing batch, its status and message."""
-    until = W.partitionBy("store_no").orderBy("batch").rowsBetween(W.unboundedPreceding, -1)
-    ran = batches.withColumn("_before", F.coalesce(F.sum((F.col("status") != "succeeded").cast("int")).over(until), F.lit(0))).where("_before = 0")
-    bad = F.min(F.when(F.col("status") != "succeeded", F.struct("batch", "status", "message")))
+    failed = F.col("status") != "succeeded"
+    ran = ordered.running(batches, ["store_no"], ["batch"], _before=failed.cast("long")).where("_before = 0")
+    bad = F.min(F.when(failed, F.struct("batch", "status", "message")))
     return ran.groupBy("store_no").agg(F.sum("affected").alias("affected"), F.count(F.lit(1)).alias("batches_run"), bad.alias("b")).select("store_no", "affected", "batches_run", F.coalesce("b.status", F.lit("succeeded")).alias("status"), F.col("b.message").alias("message"))
 
 
@@ -136,8 +136,8 @@ def outstanding(expected: DataFrame, drained: DataFrame, key: list[str]) -> Data
 
 def order_violations(actions: DataFrame) -> DataFrame:
     """Actions whose place in the plan isn't the one after their predecessor's (the first: 0)."""
-    before = F.lag("action_index").over(W.partitionBy("store_no").orderBy("ordinal"))
-    return actions.withColumn("_due", F.coalesce(before + 1, F.lit(0))).where("action_index <> _due").drop("_due")
+    told = ordered.neighbour(actions, ["store_no"], ["ordinal"], _before=F.col("action_index"))
+    return told.withColumn("_due", F.coalesce(F.col("_before") + 1, F.lit(0))).drop("_before").where("action_index <> _due").drop("_due")
 
 
 def warning_text(warnings: Column) -> Column:

@@ -578,4 +578,4 @@ def max_run(spark: SparkSession, d: str) -> DataFrame:
     return analytics.longest_runs(_dispatches(spark, d), ["queue"])
 
 
-from . import flow_queries  # noqa: E402, F401  adds its queries
+from . import flow_queries, store_queries  # noqa: E402, F401  add their queries
