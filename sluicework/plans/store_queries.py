@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics, authority, staging
+from ..session import checkpoint_dir
+from ..streaming.repository import Repository
 from . import carriers as C
 from .registry import query
 
@@ -90,6 +94,53 @@ def staged_ingest(spark: SparkSession, d: str) -> DataFrame:
     return manifest_ingest(spark, d).select("store_no", "ordinal", "document_key", "mutation", "status", "body_bytes", "message")
 
 
+# ---- the repository
+
+
+def repository_log(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest's entries and the lifecycle commands, activations and settings from ``orders``, removals from ``supplier``."""
+    s = C.stores(spark, d).select("store_no", F.col("lifecycle_generation").alias("_g"), F.col("lifecycle_state").isin("active", "syncing").cast("int").alias("_open"))
+    m = staging.checked(manifest(spark, d), staged_bodies(spark, d)).join(s, "store_no").withColumn("expected_generation", F.col("_g") + F.when(F.col("_late") == 0, 1).otherwise(0))
+    o = C.table(spark, d, "orders").select((F.col("o_custkey") % 25).alias("store_no"), F.expr("o_orderkey div 10").alias("ordinal"), "o_custkey", "o_orderpriority", "o_orderkey", "o_orderstatus").join(s, "store_no")
+    late = F.col("_g") + F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
+    acts = o.select("store_no", "ordinal", F.lit("activate_user").alias("kind"), late.alias("expected_generation"), F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("user_key"))
+    # the last of an instant's settings is the one of the greatest order
+    puts = o.groupBy("store_no", "ordinal", F.col("o_orderpriority").alias("key"), late.alias("expected_generation")).agg(F.max("o_orderkey").cast("string").alias("value")).withColumn("kind", F.lit("put_state"))
+    removals = C.table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("store_no"), (F.col("s_suppkey") * 9).alias("ordinal"), F.lit("remove_objects").alias("kind")).join(s, "store_no").withColumn("expected_generation", F.col("_g") + F.col("_open"))
+    out = lifecycle_log(spark, d)
+    for x in (m.withColumn("kind", F.col("mutation")), acts, puts, removals):
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out
+
+
+@query(f"""WITH RECURSIVE {MANIFEST}, ends AS (SELECT store_no, arg_max(state, n) AS lifecycle_state, arg_max(gen, n) AS lifecycle_generation FROM (SELECT * FROM run WHERE state IS NOT NULL) GROUP BY store_no),
+ w AS (SELECT o_custkey % 25 AS store_no, o_orderkey // 10 AS ordinal, o_custkey, o_orderpriority, o_orderkey, lifecycle_generation + (o_orderstatus = 'F')::INT AS e FROM orders JOIN stores ON stores.store_no = o_custkey % 25),
+ ok AS (SELECT w.* FROM w ASOF JOIN run ON run.store_no = w.store_no AND w.ordinal >= run.ordinal WHERE gen = e AND state IN ('active', 'syncing')),
+ rem AS (SELECT s_nationkey::BIGINT AS store_no, s_suppkey * 9 AS ordinal, lifecycle_generation + (lifecycle_state IN ('active', 'syncing'))::INT AS e FROM supplier JOIN stores ON store_no = s_nationkey),
+ purge AS (SELECT rem.store_no, max(rem.ordinal) AS p FROM rem ASOF JOIN run ON run.store_no = rem.store_no AND rem.ordinal >= run.ordinal WHERE gen = e AND state = 'deactivating' GROUP BY rem.store_no),
+ own AS (SELECT *, CASE WHEN again AND status = 'duplicate' THEN CASE WHEN mutation = 'upsert' AND (body IS NULL OR sha256(body) <> content_hash) THEN 'bad' WHEN state IS NULL OR gen <> e OR state NOT IN ('active', 'syncing') THEN 'bad' ELSE 'succeeded' END ELSE status END AS judged FROM m3),
+ docs AS (SELECT store_no, document_key, max(ordinal) AS last, arg_max(mutation, ordinal) AS mutation FROM own WHERE judged = 'succeeded' GROUP BY ALL),
+ kept AS (SELECT docs.store_no, count(*) AS documents FROM docs LEFT JOIN purge USING (store_no) WHERE mutation = 'upsert' AND (p IS NULL OR last > p) GROUP BY docs.store_no),
+ puts AS (SELECT store_no, o_orderpriority AS key, max(ordinal) AS last FROM ok GROUP BY ALL), held AS (SELECT puts.store_no, count(*) AS settings FROM puts LEFT JOIN purge USING (store_no) WHERE p IS NULL OR last > p GROUP BY puts.store_no)
+ SELECT ends.*, coalesce(documents, 0) AS documents, coalesce(settings, 0) AS settings, (SELECT count(DISTINCT o_custkey) FROM ok WHERE ok.store_no = ends.store_no) AS users
+ FROM ends LEFT JOIN kept USING (store_no) LEFT JOIN held USING (store_no)""")
+def repository_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, settings and users of each store after two batches and a compaction between them."""
+    log = repository_log(spark, d)
+    half = C.table(spark, d, "documents").agg(F.max("doc_id") / 2).first()[0]
+    repo = Repository(spark, f"{checkpoint_dir(spark).rstrip('/')}/repository-{uuid.uuid4().hex}")
+    known = known_stores(spark, d).select("store_no", F.lit(-1).cast("long").alias("ordinal"), F.lit("ensure").alias("kind"), F.col("lifecycle_state").alias("ensured_state"), F.col("lifecycle_generation").alias("ensured_generation"))
+    repo.apply(known.unionByName(log.where(F.col("ordinal") < half), allowMissingColumns=True), 0)
+    repo.compact()
+    repo.apply(log.where(F.col("ordinal") >= half), 1)
+    held = repo.commits()
+    count = lambda rows, name: rows.groupBy("store_no").agg(F.count(F.lit(1)).alias(name))
+    out = repo.stores(held).drop("version")
+    for rows, name in ((repo.documents(held), "documents"), (repo.state(held), "settings"), (repo.users(held), "users")):
+        out = out.join(count(rows, name), "store_no", "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in ("documents", "settings", "users")})
+
+
 # ---- measures
 
 
