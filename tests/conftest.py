@@ -1,9 +1,12 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+# the process that runs a streaming source beside the driver imports providers by name
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parent), sys.path[0], os.environ.get("PYTHONPATH", "")])
 
 from sluicework.session import local_session, ship  # noqa: E402
 
