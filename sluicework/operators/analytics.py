@@ -136,3 +136,12 @@ def concurrency(intervals: DataFrame, part: list[str], start: str, end: str) ->
     peak = open_.groupBy(*part).agg(F.max(F.struct("open", (-F.col("at")).alias("_at"))).alias("p"))
     sizes = known.groupBy(*part).agg(F.count(F.lit(1)).alias("intervals"), F.sum(F.col(end) - F.col(start)).alias("busy"))
     return ordered.matched(sizes, peak, part).select(*part, "intervals", F.col("p.open").alias("peak"), (-F.col("p._at")).alias("peak_at"), "busy")
+
+
+def history_totals(log: DataFrame) -> DataFrame:
+    """Per history of ``log`` (workflow_id, event_type, byte_size, malformed): events, bytes, signals and damaged records.
+
+    Damaged records belong to no history: they are the row whose ``workflow_id`` is null.
+    """
+    good = F.col("malformed").isNull()
+    return log.groupBy("workflow_id").agg(F.count_if(good).alias("events"), F.coalesce(F.sum(F.when(good, F.col("byte_size"))), F.lit(0)).alias("bytes"), F.count_if(good & (F.col("event_type") == "signaled")).alias("signals"), F.count_if(~good).alias("damaged"))

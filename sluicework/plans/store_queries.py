@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics, authority, staging
 from ..session import checkpoint_dir
+from ..sources import histories
 from ..streaming.repository import Repository
 from . import carriers as C
 from .registry import query
@@ -170,3 +171,22 @@ def fairness_refused(spark: SparkSession, d: str) -> DataFrame:
     """Weights by what their counts leave over by seven: queues that hold a key of weight 0 have no index."""
     c = C.table(spark, d, "events").groupBy((F.col("user_id") % 16).alias("queue"), "event_type").agg(F.count(F.lit(1)).alias("count")).withColumn("weight", (F.col("count") % 7).cast("double"))
     return analytics.jain_index(c, ["queue"]).select("queue", F.round("jain", 9).alias("jain"), "error")
+
+
+_KIND = "CASE event_type WHEN 'click' THEN 'signaled' WHEN 'purchase' THEN 'task_started' WHEN 'view' THEN 'scheduled' ELSE 'started' END"
+_LINE = f"""'{{"workflowId":"' || user_id || '","eventId":' || event_id || ',"eventType":"' || {_KIND} || '","eventMicros":' || epoch_us(ts) || '}}'"""
+
+
+@query(f"""WITH l AS (SELECT user_id, event_id, {_KIND} AS kind, value < 2 AS damaged, {_LINE} AS line FROM events)
+ SELECT user_id::VARCHAR AS workflow_id, count(*) AS events, sum(strlen(line))::BIGINT AS bytes, count(*) FILTER (kind = 'signaled') AS signals, 0::BIGINT AS damaged FROM l WHERE NOT damaged GROUP BY user_id
+ UNION ALL SELECT NULL, 0, 0, 0, count(*) FROM l WHERE damaged HAVING count(*) > 0""")
+def history_totals(spark: SparkSession, d: str) -> DataFrame:
+    """``events`` written as a JSON log, those of small value cut off, read back and summed up by history."""
+    kind = F.when(F.col("event_type") == "click", "signaled").when(F.col("event_type") == "purchase", "task_started").when(F.col("event_type") == "view", "scheduled").otherwise("started")
+    e = C.table(spark, d, "events").select(F.col("user_id").cast("string").alias("workflow_id"), "event_id", kind.alias("event_type"), F.unix_micros(F.col("ts").cast("timestamp")).alias("event_us"), F.lit(None).cast("long").alias("scheduled_event_id"), "value")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/histories-{uuid.uuid4().hex}"
+    histories.write_log(e.where("value is null or value >= 2"), f"{path}/whole")
+    histories.write_log(e.where("value < 2"), f"{path}/cut")
+    cut = spark.read.text(f"{path}/cut").select(F.expr("substring(value, 1, length(value) - 9)").alias("value"))
+    cut.write.text(f"{path}/damaged")
+    return analytics.history_totals(histories.read_log(spark, [f"{path}/whole", f"{path}/damaged"]))

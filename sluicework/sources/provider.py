@@ -1,34 +1,33 @@
-"""Sources: pages behind a cursor, staged bodies and exported event histories."""
+"""A store's users behind a cursor, a page for each micro-batch; pages of resources are read by partitions, see ``pages``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 
 class PagedReader(SimpleDataSourceStreamReader):
-    """One page per micro-batch; the offset is the page's cursor.  A page that is exhausted is asked for again."""
+    """One page per micro-batch; the offset is the page's cursor and the attempt at it, as a page whose quota is exhausted is asked for again."""
 
     def __init__(self, fetch: Callable[[str | None, int], tuple[list[tuple], str | None, bool]], size: int):
         self.fetch, self.size = fetch, size
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"cursor": None, "done": False}
+        return {"cursor": None, "attempt": 1, "done": False}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         if start["done"]:
             return iter(()), start
         rows, cursor, exhausted = self.fetch(start["cursor"], self.size)
         if exhausted:
-            return iter(()), start
-        return iter(rows), {"cursor": cursor, "done": cursor is None}
+            return iter(()), start | {"attempt": start["attempt"] + 1}
+        return iter(rows), {"cursor": cursor, "attempt": 1, "done": cursor is None}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter(()) if start == end else iter(self.fetch(start["cursor"], self.size)[0])
+        away = start["cursor"] == end["cursor"] and not end["done"]
+        return iter(()) if away else iter(self.fetch(start["cursor"], self.size)[0])
 
     def commit(self, end: dict) -> None:
         pass
@@ -55,20 +54,3 @@ class UserPages(DataSource):
         if not module or not function:
             raise ValueError("option provider must be module:function")
         return PagedReader(getattr(importlib.import_module(module), function), int(self.options.get("page_size", "100")))
-
-
-def no_users(cursor: str | None, size: int) -> tuple[list[tuple], None, bool]:
-    """The empty provider."""
-    return [], None, False
-
-
-def with_bodies(manifest: DataFrame, staged: DataFrame) -> DataFrame:
-    """Manifest rows with their staged body; a missing body is null and ``lookup_failed``."""
-    return manifest.join(staged.select("staging_uri", "body"), "staging_uri", "left").withColumn("lookup_failed", F.col("body").isNull())
-
-
-def read_histories(spark: SparkSession, path: str) -> DataFrame:
-    """Exported JSON event logs (an object with ``events``) as one row per event, with its place and size."""
-    schema = "events array<struct<eventId: string, eventTime: timestamp, eventType: string>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path).select(F.input_file_name().alias("workflow_id"), F.posexplode("events").alias("place", "e"))
-    return raw.select("workflow_id", "place", F.col("e.eventId").cast("long").alias("event_id"), F.col("e.eventTime").alias("event_time"), F.col("e.eventType").alias("event_type"), F.octet_length(F.to_json("e")).cast("long").alias("byte_size"))
