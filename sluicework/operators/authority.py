@@ -70,8 +70,14 @@ def command_outcomes(log: DataFrame, stores: DataFrame) -> DataFrame:
     return out.withColumns({"outcome": F.when(known, F.col("outcome")).otherwise("failed"), "new_state": F.when(known, F.col("new_state")), "new_generation": F.when(known, F.col("new_generation"))})
 
 
+def fence_message(status: Column, state: Column, generation: Column, expected: Column) -> Column:
+    """What a refusal says; null where nothing was refused."""
+    said = F.when(status == "stale_generation", F.format_string("expected generation %d, found %d", expected, generation))
+    return said.when(status == "rejected", F.format_string("store state %s rejects retrieval writes", state)).when(status == "failed", "KeyError")
+
+
 def fenced_as_of(rows: DataFrame, commands: DataFrame, stores: DataFrame, allowed: tuple[str, ...] = WRITABLE) -> DataFrame:
-    """``rows`` (store_no, ordinal, expected_generation, ...) with ``status``: their fence at their own place in the log of ``commands``."""
+    """``rows`` (store_no, ordinal, expected_generation, ...) with ``status`` and ``message``: their fence at their own place in the log of ``commands``."""
     empty = lambda t: F.lit(None).cast(t)
     names = [c for c in rows.columns if c not in ("store_no", "ordinal", "expected_generation")]
     carried = F.struct(*names) if names else F.struct(F.lit(0).alias("_"))
@@ -80,15 +86,17 @@ def fenced_as_of(rows: DataFrame, commands: DataFrame, stores: DataFrame, allowe
     log = commands.select("store_no", "ordinal", "kind", "expected_generation", *((F.col(c) if c in commands.columns else empty(t)).alias(c) for c, t in given.items()))
     held = authority(log.unionByName(asks, allowMissingColumns=True), stores).where("kind = 'write'")
     status = fence_status(F.col("lifecycle_generation").isNotNull(), F.col("lifecycle_generation"), F.col("lifecycle_state"), F.col("expected_generation"), allowed)
-    return held.select("store_no", "ordinal", "expected_generation", *(["_row.*"] if names else []), status.alias("status"))
+    out = held.withColumn("status", status)
+    return out.select("store_no", "ordinal", "expected_generation", *(["_row.*"] if names else []), "status", fence_message(F.col("status"), F.col("lifecycle_state"), F.col("lifecycle_generation"), F.col("expected_generation")).alias("message"))
 
 
 def ingest_as_of(mutations: DataFrame, commands: DataFrame, stores: DataFrame) -> DataFrame:
     """``mutations`` with ``status``: deletions are only fenced; an upsert first needs its body and its hash.
 
-    ``mutations``: store_no, ordinal, mutation, expected_generation, body_status (null where body and hash are
-    right, else how the upsert ends); see ``staging.checked``.  No body takes part in the order.
+    ``mutations``: store_no, ordinal, mutation, expected_generation, body_status and body_message (null where body
+    and hash are right, else how the upsert ends); see ``staging.checked``.  No body takes part in the order.
     """
     fenced = fenced_as_of(mutations, commands, stores)
-    own: Column = F.when((F.col("mutation") == "upsert") & F.col("body_status").isNotNull(), F.col("body_status"))
-    return fenced.withColumn("status", F.coalesce(own, F.col("status"))).drop("body_status")
+    bad = (F.col("mutation") == "upsert") & F.col("body_status").isNotNull()
+    out = fenced.withColumn("message", F.when(bad, F.col("body_message")).otherwise(F.col("message")))
+    return out.withColumn("status", F.when(bad, F.col("body_status")).otherwise(F.col("status"))).drop("body_status", "body_message")

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from . import ordered
-from .rollup import incomplete, warning_text
+from . import authority, ordered
+from .rollup import activation_stage, cleanup_rollup, incomplete, warning_text
 
 RESOURCE = ["store_no", "user_key", "resource_key"]
 #: Users, errors and remediation ids that a result names.
@@ -298,9 +298,130 @@ def cleanup_batches(keys_: DataFrame, concurrency: int) -> DataFrame:
     return ordered.numbered(first, ["store_no"], ["ordinal", "user_key"], "_n").withColumn("batch", F.expr(f"_n div {max(1, concurrency)}")).drop("_n")
 
 
+def cleanup_tree(active: DataFrame, targets: DataFrame, commands: DataFrame, stores: DataFrame, concurrency: int) -> DataFrame:
+    """Per store: users whose cleanup took something, batches run, status and message of the first failure in order.
+
+    ``targets`` (store_no, ordinal, user_key, expected_generation) are taken each once, at the first mention, in
+    batches that wait for each other; every one is fenced as of its own place among the lifecycle ``commands``.
+    The first batch with a failure is finished and is the last.
+    """
+    first = targets.groupBy("store_no", "user_key").agg(F.min(F.struct("ordinal", "expected_generation")).alias("_f")).select("store_no", "user_key", "_f.*")
+    told = authority.fenced_as_of(cleanup_batches(first, concurrency).drop("ordinal").join(first, ["store_no", "user_key"]), commands, stores, ("deactivating",))
+    had = active.select("store_no", "user_key").distinct().withColumn("_had", F.lit(1))
+    j = told.join(had, ["store_no", "user_key"], "left")
+    fine = F.col("status") == "succeeded"
+    per = j.groupBy("store_no", "batch").agg(F.count_if(fine & F.col("_had").isNotNull()).alias("affected"), F.min(F.when(~fine, F.struct("ordinal", "user_key", "status", "message"))).alias("_bad"))
+    return cleanup_rollup(per.select("store_no", "batch", "affected", F.coalesce("_bad.status", F.lit("succeeded")).alias("status"), F.col("_bad.message").alias("message")))
+
+
+# ---- activation in two waves
+
+
+def activation(pages: DataFrame, fences: DataFrame, recent_cap: int, window: int) -> DataFrame:
+    """Per user: stage, pages and errors of both waves, and the cursors that the recent one leaves, ``resource=cursor`` by ``|``.
+
+    ``pages``: store, user, resource, seq, cursor, next_cursor, failed, errors; ``fences``: store_no, status.  The
+    recent wave takes ``max(1, recent_cap)`` pages of each resource.  If it is clean and the fence holds, the
+    backfill goes on with each unfinished resource at the page of its own cursor, to the end.
+    """
+    recent = resource_result(page_pipeline(pages, window, max(1, recent_cap)))
+    user = ["store_no", "user_key"]
+    left = F.when(~F.col("finished"), F.struct("resource_key", "next_cursor"))
+    # a user's resources are few
+    waves = recent.groupBy(*user).agg(F.sum("pages_completed").alias("recent_pages"), F.sum("error_count").alias("recent_errors"), F.array_sort(F.collect_list(left)).alias("_left"))
+    waves = waves.join(fences.select("store_no", F.col("status").alias("_fence")), "store_no", "left").withColumn("_fence", F.coalesce("_fence", F.lit("failed")))
+    on = waves.where("recent_errors = 0 and _fence = 'succeeded'").select(*user)
+    go = recent.where("not finished").join(on, user, "left_semi").select(*RESOURCE, F.col("next_cursor").alias("cursor"))
+    begin = pages.join(go, [*RESOURCE, "cursor"]).select(*RESOURCE, F.col("seq").alias("_begin"))
+    rest = pages.join(begin, RESOURCE).where(F.col("seq") >= F.col("_begin")).withColumn("seq", F.col("seq") - F.col("_begin")).drop("_begin")
+    later = resource_result(page_pipeline(rest, window)).groupBy(*user).agg(F.sum("pages_completed").alias("backfill_pages"), F.sum("error_count").alias("backfill_errors"))
+    out = waves.join(later, user, "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("backfill_pages", "backfill_errors")})
+    stage = activation_stage(F.col("recent_errors") == 0, F.col("_fence"), F.col("backfill_errors") == 0)
+    cursors = F.array_join(F.transform("_left", lambda x: F.concat(x["resource_key"], F.lit("="), x["next_cursor"])), "|")
+    return out.select(*user, stage.alias("stage"), F.col("recent_pages").cast("long").alias("recent_pages"), "backfill_pages", (F.col("recent_errors") + F.col("backfill_errors")).cast("long").alias("error_count"), cursors.alias("cursors"))
+
+
+def remediation_result(attempts: DataFrame) -> DataFrame:
+    """Per store: users completed, errors, a sample of the first ``SAMPLE`` errors in the users' order, status; ``users_failed`` repeats the count of errors.
+
+    ``attempts``: store_no, ordinal, status, errors (array), exception.  An attempt that ends in an exception has
+    that one error, one that didn't succeed without saying why has its status.  Only errors within the sample are gathered.
+    """
+    empty = F.array().cast("array<string>")
+    told = F.coalesce("errors", empty)
+    errors = F.when(F.col("exception").isNotNull(), F.array("exception")).when((F.col("status") != "succeeded") & (F.size(told) == 0), F.array("status")).otherwise(told)
+    j = attempts.select("store_no", "ordinal", errors.alias("e"))
+    j = ordered.running(j, ["store_no"], ["ordinal"], before=F.size("e").cast("long"))
+    named = F.when((F.col("before") < SAMPLE) & (F.size("e") > 0), F.struct("ordinal", F.slice("e", F.lit(1), F.greatest(F.lit(1), SAMPLE - F.col("before")).cast("int")).alias("e")))
+    out = j.groupBy("store_no").agg(F.count_if(F.size("e") == 0).alias("users_completed"), F.sum(F.size("e").cast("long")).alias("error_count"), F.array_sort(F.collect_list(named)).alias("_s"))
+    sample = F.flatten(F.transform("_s", lambda x: x["e"]))
+    return out.select("store_no", "users_completed", "error_count", F.col("error_count").alias("users_failed"), sample.alias("errors"), F.when(F.col("error_count") > 0, "partial").otherwise("succeeded").alias("status"))
+
+
+# ---- pages and documents
+
+
+def page_tasks(pages: DataFrame) -> DataFrame:
+    """The document mutations of each page in the order in which they are started: its upserts, then its deletions.
+
+    ``pages``: page columns, documents (array of document_key, source_version, staging_uri, content_hash) and
+    deleted_document_keys.  A deletion's version is ``deleted:{page_key}``; it has no place and no hash.
+    """
+    rest = [c for c in pages.columns if c not in ("documents", "deleted_document_keys")]
+    ref = lambda x, mutation: F.struct(x["document_key"].alias("document_key"), x["source_version"].alias("source_version"), x["staging_uri"].alias("staging_uri"), x["content_hash"].alias("content_hash"), F.lit(mutation).alias("mutation"))
+    gone = F.transform(F.coalesce("deleted_document_keys", F.array().cast("array<string>")), lambda k: F.struct(k.alias("document_key"), F.concat(F.lit("deleted:"), F.col("page_key")).alias("source_version"), F.lit("").alias("staging_uri"), F.lit("").alias("content_hash")))
+    both = F.concat(F.transform("documents", lambda x: ref(x, "upsert")), F.transform(gone, lambda x: ref(x, "delete")))
+    return pages.select(*rest, F.posexplode(both).alias("task_no", "_t")).select(*rest, F.col("task_no").cast("long").alias("task_no"), "_t.*")
+
+
+def page_result(results: DataFrame, page: list[str]) -> DataFrame:
+    """Per page: changed and deleted documents (as sent), all errors in the order of its tasks, status.
+
+    ``results``: page columns, task_no, mutation, status, message.  A stale generation is no error; an error
+    without a message is ``document rejected``.  A page has as many tasks as its provider's page size allows.
+    """
+    bad = ~F.col("status").isin("succeeded", "stale_generation")
+    said = F.when(bad, F.struct("task_no", F.coalesce("message", F.lit("document rejected")).alias("m")))
+    out = results.groupBy(*page).agg(F.count_if(F.col("mutation") == "upsert").alias("changed_documents"), F.count_if(F.col("mutation") == "delete").alias("deleted_documents"), F.transform(F.array_sort(F.collect_list(said)), lambda x: x["m"]).alias("errors"))
+    return out.withColumn("status", F.when(F.size("errors") > 0, "partial").otherwise("succeeded"))
+
+
+def expected_drains(syncs: DataFrame, remediations: DataFrame, drained: DataFrame) -> DataFrame:
+    """Per store: operations that a drain waits for, the running sync and all remediations, each once, and how many haven't ended.
+
+    All three: store_no, operation_id.
+    """
+    key = ["store_no", "operation_id"]
+    every = syncs.select(*key).unionByName(remediations.select(*key)).where("operation_id is not null").distinct()
+    left = every.join(drained.select(*key).distinct().withColumn("_gone", F.lit(1)), key, "left")
+    return left.groupBy("store_no").agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("_gone").isNull()).alias("outstanding"))
+
+
 # ---- reports
 
 
+def level_progress(documents: DataFrame, levels: list[str]) -> DataFrame:
+    """Snapshots of all levels at once: (level, one column for each level's key, completed, failed, pending, phase).
+
+    ``documents``: the columns ``levels``, from the outermost, and state.  A level's children are those of the next
+    one, the last one's are documents; a child is pending while one of its own is, then failed if one is.
+    """
+    state = F.when(F.count_if(F.col("state") == "pending") > 0, "pending").when(F.count_if(F.col("state") == "failed") > 0, "failed").otherwise("completed")
+    rows, out = documents.select(*levels, "state"), None
+    for k in range(len(levels), 0, -1):
+        one = progress_counts(rows, levels[:k]).withColumn("level", F.lit(levels[k - 1]))
+        one = one.select("level", *levels[:k], *(F.lit(None).cast(documents.schema[c].dataType).alias(c) for c in levels[k:]), "completed", "failed", "pending", "phase")
+        out = one if out is None else out.unionByName(one)
+        rows = rows.groupBy(*levels[:k]).agg(state.alias("state"))
+    return out
+
+
+def progress_counts(rows: DataFrame, level: list[str]) -> DataFrame:
+    """Children completed, failed and pending, and the phase, of each of ``level``."""
+    out = rows.groupBy(*level).agg(F.count_if(F.col("state") == "completed").alias("completed"), F.count_if(F.col("state") == "failed").alias("failed"), F.count_if(F.col("state") == "pending").alias("pending"))
+    return out.withColumn("phase", F.when(F.col("pending") > 0, "running").otherwise("completed"))
+
+
 def provider_calls(calls: DataFrame) -> DataFrame:
     """One count per call by provider, quota class, operation and outcome."""
     return calls.groupBy("provider", "quota_class", "operation", "outcome").agg(F.count(F.lit(1)).alias("calls"))

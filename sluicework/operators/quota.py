@@ -109,6 +109,22 @@ def started_scopes(requests: DataFrame, limit: Column) -> DataFrame:
     return requests.groupBy("scope").agg(F.min("ordinal").alias("started_by")).withColumn("configured_limit", limit.cast("long")).withColumn("remaining", limit.cast("long"))
 
 
+def snapshots(scopes: DataFrame, queue: DataFrame, held: DataFrame, max_in_flight: int, max_pending: int = MAX_PENDING) -> DataFrame:
+    """Every scope in twelve fields.
+
+    ``scopes``: provider, credential_key, quota_class, limit, remaining, reset_us, blocked_us, disabled, window_id (null: the
+    first one); ``queue`` and ``held`` (its three names, request_id): requests that wait, and those with a permit.
+    """
+    scope = ["provider", "credential_key", "quota_class"]
+    count = lambda rows, name: rows.groupBy(*scope).agg(F.count(F.lit(1)).alias(name))
+    j = scopes.join(count(queue, "pending_count"), scope, "left").join(count(held, "reservation_count"), scope, "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return j.select(
+        F.concat_ws("/", *scope).alias("quota_scope"), F.col("limit").alias("configured_limit"), "remaining", "reset_us", "blocked_us", F.lit(max_in_flight).cast("long").alias("max_in_flight"), F.lit(min(max(1, max_pending), MAX_PENDING)).cast("long").alias("max_pending_requests"),
+        n("reservation_count").alias("in_flight"), "disabled", n("pending_count").alias("pending_count"), n("reservation_count").alias("reservation_count"), F.coalesce("window_id", F.lit("initial")).alias("quota_window_id"),
+    )
+
+
 def utc(t: datetime | None) -> datetime | None:
     """Times without a zone are UTC."""
     return t.replace(tzinfo=UTC) if t is not None and t.tzinfo is None else t

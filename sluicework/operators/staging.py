@@ -22,7 +22,7 @@ def fingerprints(staged: DataFrame) -> DataFrame:
 
 
 def checked(manifest: DataFrame, staged: DataFrame) -> DataFrame:
-    """``manifest`` (mutation, staging_uri, content_hash, ...) with ``body_bytes``, ``body_status`` and ``message``.
+    """``manifest`` (mutation, staging_uri, content_hash, ...) with ``body_bytes``, ``body_status`` and ``body_message``.
 
     ``body_status`` is null where the body is there and has the declared hash, and for deletions, which have none;
     a missing body has ``failed``, a wrong hash is ``rejected``.
@@ -31,7 +31,7 @@ def checked(manifest: DataFrame, staged: DataFrame) -> DataFrame:
     upsert = F.col("mutation") == "upsert"
     missing, wrong = upsert & F.col("body_hash").isNull(), upsert & ~F.col("body_hash").eqNullSafe(F.col("content_hash"))
     status = F.when(missing, "failed").when(wrong, "rejected")
-    return j.withColumns({"body_status": status, "message": F.when(missing, NO_BODY).when(wrong, BAD_HASH)}).drop("body_hash")
+    return j.withColumns({"body_status": status, "body_message": F.when(missing, NO_BODY).when(wrong, BAD_HASH)}).drop("body_hash")
 
 
 def duplicates(manifest: DataFrame, page: list[str]) -> DataFrame:

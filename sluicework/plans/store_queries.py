@@ -89,7 +89,8 @@ MANIFEST = f"""{AUTHORITY}, m0 AS (SELECT doc_id % 25 AS store_no, doc_id AS ord
 
 
 @query(f"""WITH RECURSIVE {MANIFEST} SELECT store_no, ordinal, document_key, mutation, status, strlen(body) AS body_bytes,
- CASE WHEN again OR mutation = 'delete' THEN NULL WHEN body IS NULL THEN '{staging.NO_BODY}' WHEN sha256(body) <> content_hash THEN '{staging.BAD_HASH}' END AS message FROM m3""")
+ CASE WHEN again THEN NULL WHEN mutation = 'upsert' AND body IS NULL THEN '{staging.NO_BODY}' WHEN mutation = 'upsert' AND sha256(body) <> content_hash THEN '{staging.BAD_HASH}'
+  WHEN state IS NULL THEN 'KeyError' WHEN gen <> e THEN 'expected generation ' || e || ', found ' || gen WHEN state NOT IN ('active', 'syncing') THEN 'store state ' || state || ' rejects retrieval writes' END AS message FROM m3""")
 def staged_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Every manifest entry: duplicates of a page, missing and changed bodies, and the fence as of the entry."""
     return manifest_ingest(spark, d).select("store_no", "ordinal", "document_key", "mutation", "status", "body_bytes", "message")
