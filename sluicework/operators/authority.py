@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from . import ordered
 from .fence import WRITABLE, fence_status, transitions
 
+# Fixed value: the refusal of a cleanup.
+NO_CLEANUP = "cleanup requires DEACTIVATING state"
 COMMANDS = ("ensure", "begin", "resume", "mark_inactive", "mark_failed")
 
 
@@ -70,10 +72,11 @@ def command_outcomes(log: DataFrame, stores: DataFrame) -> DataFrame:
     return out.withColumns({"outcome": F.when(known, F.col("outcome")).otherwise("failed"), "new_state": F.when(known, F.col("new_state")), "new_generation": F.when(known, F.col("new_generation"))})
 
 
-def fence_message(status: Column, state: Column, generation: Column, expected: Column) -> Column:
-    """What a refusal says; null where nothing was refused."""
+def fence_message(status: Column, state: Column, generation: Column, expected: Column, cleanup: bool = False) -> Column:
+    """What a refusal of a write, or of a cleanup, says; null where nothing was refused."""
     said = F.when(status == "stale_generation", F.format_string("expected generation %d, found %d", expected, generation))
-    return said.when(status == "rejected", F.format_string("store state %s rejects retrieval writes", state)).when(status == "failed", "KeyError")
+    rejected = F.lit(NO_CLEANUP) if cleanup else F.format_string("store state %s rejects retrieval writes", state)
+    return said.when(status == "rejected", rejected).when(status == "failed", "KeyError")
 
 
 def fenced_as_of(rows: DataFrame, commands: DataFrame, stores: DataFrame, allowed: tuple[str, ...] = WRITABLE) -> DataFrame:
@@ -87,7 +90,7 @@ def fenced_as_of(rows: DataFrame, commands: DataFrame, stores: DataFrame, allowe
     held = authority(log.unionByName(asks, allowMissingColumns=True), stores).where("kind = 'write'")
     status = fence_status(F.col("lifecycle_generation").isNotNull(), F.col("lifecycle_generation"), F.col("lifecycle_state"), F.col("expected_generation"), allowed)
     out = held.withColumn("status", status)
-    return out.select("store_no", "ordinal", "expected_generation", *(["_row.*"] if names else []), "status", fence_message(F.col("status"), F.col("lifecycle_state"), F.col("lifecycle_generation"), F.col("expected_generation")).alias("message"))
+    return out.select("store_no", "ordinal", "expected_generation", *(["_row.*"] if names else []), "status", fence_message(F.col("status"), F.col("lifecycle_state"), F.col("lifecycle_generation"), F.col("expected_generation"), "deactivating" in allowed).alias("message"))
 
 
 def ingest_as_of(mutations: DataFrame, commands: DataFrame, stores: DataFrame) -> DataFrame:

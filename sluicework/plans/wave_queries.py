@@ -42,15 +42,15 @@ def activation_waves(spark: SparkSession, d: str) -> DataFrame:
  f AS (SELECT t.*, lifecycle_generation + (lifecycle_state IN ('active', 'syncing'))::INT AS e, (row_number() OVER (PARTITION BY t.store_no ORDER BY ordinal, 'user-' || o_custkey) - 1) // 20 AS batch FROM t JOIN stores USING (store_no) WHERE k = 1),
  g AS (SELECT f.*, state, gen, coalesce(gen = e AND state = 'deactivating', false) AS ok, c_acctbal >= 0 AS had FROM f ASOF JOIN run ON run.store_no = f.store_no AND f.ordinal >= run.ordinal JOIN customer ON c_custkey = o_custkey),
  m AS (SELECT *, CASE WHEN NOT ok THEN CASE WHEN gen IS NULL THEN 'failed' WHEN gen <> e THEN 'stale_generation' ELSE 'rejected' END END AS why,
-  CASE WHEN gen IS NULL THEN 'KeyError' WHEN gen <> e THEN 'expected generation ' || e || ', found ' || gen ELSE 'store state ' || state || ' rejects retrieval writes' END AS said, min(batch) FILTER (NOT ok) OVER (PARTITION BY store_no) AS last FROM g)
- SELECT store_no, count(*) FILTER (ok AND had AND own) AS affected, count(DISTINCT batch) AS batches_run, coalesce(arg_min(why, (ordinal, 'user-' || o_custkey)) FILTER (why IS NOT NULL), 'succeeded') AS status, arg_min(said, (ordinal, 'user-' || o_custkey)) FILTER (why IS NOT NULL) AS message
- FROM (SELECT m.*, o_custkey % 25 = c_nationkey AS own FROM m JOIN customer ON c_custkey = o_custkey) WHERE last IS NULL OR batch <= last GROUP BY store_no""")
+  CASE WHEN gen IS NULL THEN 'KeyError' WHEN gen <> e THEN 'expected generation ' || e || ', found ' || gen ELSE 'cleanup requires DEACTIVATING state' END AS said, min(batch) FILTER (NOT ok) OVER (PARTITION BY store_no) AS last FROM g)
+ SELECT store_no, count(*) FILTER (ok AND had) AS affected, count(DISTINCT batch) AS batches_run, coalesce(arg_min(why, (ordinal, 'user-' || o_custkey)) FILTER (why IS NOT NULL), 'succeeded') AS status, arg_min(said, (ordinal, 'user-' || o_custkey)) FILTER (why IS NOT NULL) AS message
+ FROM m WHERE last IS NULL OR batch <= last GROUP BY store_no""")
 def cleanup_trees(spark: SparkSession, d: str) -> DataFrame:
     """Users that ordered, cleaned in batches of twenty, some while their store is being deactivated."""
     s = C.stores(spark, d)
     t = C.table(spark, d, "orders").select((F.col("o_custkey") % 25).alias("store_no"), (500 + F.expr("o_orderkey div 20")).alias("ordinal"), F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("user_key"))
     t = t.join(s.select("store_no", (F.col("lifecycle_generation") + F.col("lifecycle_state").isin(*fence.WRITABLE).cast("int")).alias("expected_generation")), "store_no")
-    active = C.users(spark, d).where("valid").select("store_no", "user_key")
+    active = C.table(spark, d, "customer").where("c_acctbal >= 0").select((F.col("c_custkey") % 25).alias("store_no"), F.concat(F.lit("user-"), F.col("c_custkey").cast("string")).alias("user_key"))
     return flows.cleanup_tree(active, t, lifecycle_log(spark, d), known_stores(spark, d), 20)
 
 
