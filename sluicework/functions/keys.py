@@ -28,14 +28,21 @@ def json_array(*parts: Column) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
 
 
-def base32_sha256(text: Column) -> Column:
-    """All 52 base32 digits of the text's SHA-256, unpadded."""
-    hexed = F.rpad(F.sha2(text, 256), 65, "0")  # 13 groups of 20 bits
-    digits = []
-    for g in range(13):
-        v = F.conv(F.substring(hexed, 5 * g + 1, 5), 16, 10).cast("int")
-        digits += [F.substring(F.lit(ALPHABET), (F.shiftright(v, 15 - 5 * k).bitwiseAND(F.lit(31)) + 1), F.lit(1)) for k in range(4)]
-    return F.concat(*digits)
+def base32_sha256(text: Column, length: int = MAX_LENGTH) -> Column:
+    """The first base32 digits of the text's SHA-256, unpadded; there are 52.
+
+    The digits are a function of one variable, so that the hash is computed once and a query of many keys stays
+    small enough to be compiled.
+    """
+
+    def digits(hexed: Column) -> Column:
+        out = []
+        for g in range(-(-length // 4)):  # groups of 20 bits
+            v = F.conv(F.substring(hexed, 5 * g + 1, 5), 16, 10).cast("int")
+            out += [F.substring(F.lit(ALPHABET), (F.shiftright(v, 15 - 5 * k).bitwiseAND(F.lit(31)) + 1), F.lit(1)) for k in range(4)]
+        return F.concat(*out[:length])
+
+    return F.element_at(F.transform(F.array(F.rpad(F.sha2(text, 256), 65, "0")), digits), 1)
 
 
 def opaque_key(namespace: str, *parts: Column, length: int = DEFAULT_LENGTH) -> Column:
@@ -43,7 +50,7 @@ def opaque_key(namespace: str, *parts: Column, length: int = DEFAULT_LENGTH) ->
     if not MIN_LENGTH <= length <= MAX_LENGTH:
         raise ValueError(f"length must be {MIN_LENGTH} to {MAX_LENGTH}")
     body = F.concat(F.lit('{"namespace":'), json_string(F.lit(namespace)), F.lit(',"parts":'), json_array(*parts), F.lit("}"))
-    return F.substring(base32_sha256(body), 1, length)
+    return base32_sha256(body, length)
 
 
 def composite_id(prefix: str, *components: Column) -> Column:

@@ -578,4 +578,4 @@ def max_run(spark: SparkSession, d: str) -> DataFrame:
     return analytics.longest_runs(_dispatches(spark, d), ["queue"])
 
 
-from . import flow_queries, store_queries, wave_queries  # noqa: E402, F401  add their queries
+from . import decision_queries, flow_queries, store_queries, wave_queries  # noqa: E402, F401  add their queries
