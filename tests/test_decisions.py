@@ -66,7 +66,7 @@ def test_messages_of_one_kind_equal_the_ledger(spark):
             assert got_stops[s, at] == b.apply({"kind": kind, "at": NOON, "request_id": i})[0][1]
         for s, at, i, permit in (y for y in ends if y[0] == x.scope[0]):
             assert got_ends[s, at] == c.apply({"kind": "complete", "at": NOON, "request_id": i, "permit_id": permit})[0][1]
-    assert len(set(got_asks.values())) == 7 and len(set(got_stops.values())) == 3 and set(got_ends.values()) == {"completed", "ignored"}
+    assert len(set(got_asks.values())) == 8 and len(set(got_stops.values())) == 3 and set(got_ends.values()) == {"completed", "ignored"}
 
 
 def test_windows_and_blocks_equal_the_ledger(spark):
