@@ -5,7 +5,8 @@ greedily into the longest phrases that occur in a language's sample; c phrases o
 sample of N symbols estimate the cross entropy c * log2(N) / n, and the language with the least wins.
 
 The automaton is only stepped forward (a missing transition ends the phrase and starts anew at the root),
-so it is kept as a dense table, and all segments of a batch of texts are parsed in step by array lookups.
+so it is kept as a dense table over its own symbols, or, where all tables together would be too large, as sorted
+edges, and all segments of a batch of texts are parsed in step by array lookups.
 Segments only let long texts be parsed in parallel: each is parsed from the root at first, and then once more
 from the state in which the segment before it ends, up to the symbol at which both parses are in one state.
 So the phrases are those of whole texts.
@@ -34,21 +35,25 @@ MARGIN, QUANTILE = 1.5, 0.99
 SLACK = 4
 #: Lanes that are parsed at once.
 LANES = 4096
+#: Bytes of all dense tables; an automaton beyond them is a sorted list of at most three edges a character.
+DENSE_BYTES = 96 << 20
 UNDETERMINED = "und"
 
 
 def labelled_sample(docs: DataFrame, id_col: str = "doc_id", seed: int = 42) -> list[tuple[str, str]]:
     """(language, text) of the labelled rows with the smallest seeded hashes, at most ``SAMPLE_DOCS`` of each language.
 
-    Texts are whole; those longer than ``SAMPLE_CHARS`` are not sampled.  The rows are bounded per language
-    before they are shuffled (a limit on row_number), and so is what reaches the driver.  Null languages
-    and null or empty texts are no labelled rows; ties go by the text.
+    Texts are whole; of those longer than ``SAMPLE_CHARS``, which come after all others of their language, a window
+    of that length is taken at a seeded place.  The rows are bounded per language before they are shuffled (a limit on
+    row_number), and so is what reaches the driver.  Null languages and null or empty texts are no labelled rows;
+    ties go by the text.
     """
     from pyspark.sql import Window as W
 
-    known = docs.where(f"lang is not null and length(text) between 1 and {SAMPLE_CHARS}")
-    row = known.select("lang", "text", key60(F.lit(seed), F.col(id_col)).alias("h"))
-    best = row.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= SAMPLE_DOCS)
+    known = docs.where("lang is not null and length(text) > 0").select("lang", "text", key60(F.lit(seed), F.col(id_col)).alias("h"), (F.length("text") > SAMPLE_CHARS).alias("long"))
+    window = F.expr(f"substring(text, int(coalesce(h, 0) % (length(text) - {SAMPLE_CHARS} + 1)) + 1, {SAMPLE_CHARS})")
+    row = known.select("lang", "h", "long", F.when(F.col("long"), window).otherwise(F.col("text")).alias("text"))
+    best = row.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("long", "h", "text"))).where(F.col("r") <= SAMPLE_DOCS)
     return [(x["lang"], x["text"]) for x in best.orderBy("lang", "r").collect()]
 
 
@@ -98,61 +103,104 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+class Table:
+    """Steps of one automaton: for a state and a column, 2 * next state, plus 1 if the phrase ends before the symbol.
+
+    ``column``: of each symbol of the whole sample its column here, 0 for symbols that this language lacks.
+    """
+
+    def __init__(self, text: np.ndarray, symbols: int):
+        own = np.unique(text)
+        self.column = np.zeros(symbols + 1, np.int32)
+        self.column[own] = np.arange(1, len(own) + 1)
+        self.width = len(own) + 1
+        self.edges = suffix_automaton(self.column[text].tolist())
+        self.lone = len(self.edges)  # after a symbol that the sample lacks, which is a phrase of its own
+        self.dense_bytes = 4 * (self.lone + 1) * self.width
+        self.flat = None
+
+    def dense(self) -> None:
+        table = np.full((self.lone + 1, self.width), 2 * self.lone + 1, np.int32)
+        for c, s in self.edges[0].items():
+            table[:, c] = 2 * s + 1
+        for s, edges in enumerate(self.edges):
+            for c, t in edges.items():
+                table[s, c] = 2 * t
+        table[0, table[0] == 2 * self.lone + 1] = 2 * self.lone  # nothing ends at a text's start
+        self.flat, self.edges = table.reshape(-1), []
+
+    def sparse(self) -> None:
+        found = sorted((s * self.width + c, 2 * t) for s, edges in enumerate(self.edges) for c, t in edges.items())
+        self.keys, self.to = np.array([k for k, _ in found], np.int64), np.array([t for _, t in found], np.int32)
+        self.anew = np.full(self.width, 2 * self.lone + 1, np.int32)
+        for c, s in self.edges[0].items():
+            self.anew[c] = 2 * s + 1
+        self.edges = []
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        c = self.column[symbol]
+        if self.flat is not None:
+            return self.flat[state * self.width + c]
+        key = state.astype(np.int64) * self.width + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        missing = self.anew[c] - ((state == 0) & (self.anew[c] == 2 * self.lone + 1))
+        return np.where(self.keys[at] == key, self.to[at], missing).astype(np.int32)
+
+
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """The edges of each state of the text's suffix automaton; state 0 is the root."""
+    go, link, length, last = [{}], [-1], [0], 0
+    for c in text:
+        cur = len(go)
+        go.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p >= 0 and c not in go[p]:
+            go[p][c] = cur
+            p = link[p]
+        if p >= 0:
+            q = go[p][c]
+            if length[p] + 1 == length[q]:
+                link[cur] = q
+            else:
+                twin = len(go)
+                go.append(dict(go[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and go[p].get(c) == q:
+                    go[p][c] = twin
+                    p = link[p]
+                link[q] = link[cur] = twin
+        last = cur
+    return go
+
+
 class Automata:
-    """Suffix automata of a sample, one dense table per language over the sample's own symbols."""
+    """Suffix automata of a sample, one per language; the smallest are dense as long as ``DENSE_BYTES`` holds them."""
 
     def __init__(self, sample: list[tuple[str, str]]):
         self.langs = [lang for lang, _ in sample]
         texts = [normalised(t) for _, t in sample]
         symbols = np.unique(np.concatenate([np.array([32], np.uint32), *texts])) if texts else np.array([32], np.uint32)
-        self.symbol = np.zeros(0x110000, np.int16)  # 0: in no sample
+        self.symbol = np.zeros(0x110000, np.int32)  # 0: in no sample
         self.symbol[symbols] = np.arange(1, len(symbols) + 1)
-        self.width = len(symbols) + 1
-        self.tables = [self._dense(self.symbol[t].tolist()) for t in texts]
+        self.tables = [Table(self.symbol[t], len(symbols)) for t in texts]
+        left = DENSE_BYTES
+        for t in sorted(self.tables, key=lambda t: t.dense_bytes):
+            left -= t.dense_bytes
+            if left >= 0:
+                t.dense()
+            else:
+                t.sparse()
         self.cost = np.array([np.log2(max(2, len(t))) for t in texts])
 
-    def _dense(self, text: list[int]) -> np.ndarray:
-        """Entry (state, symbol): 2 * next state, plus 1 if the phrase ends before the symbol."""
-        go, link, length, last = [{}], [-1], [0], 0
-        for c in text:
-            cur = len(go)
-            go.append({})
-            link.append(0)
-            length.append(length[last] + 1)
-            p = last
-            while p >= 0 and c not in go[p]:
-                go[p][c] = cur
-                p = link[p]
-            if p >= 0:
-                q = go[p][c]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
-                else:
-                    twin = len(go)
-                    go.append(dict(go[q]))
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    while p >= 0 and go[p].get(c) == q:
-                        go[p][c] = twin
-                        p = link[p]
-                    link[q] = link[cur] = twin
-            last = cur
-        lone = len(go)  # after a symbol that the sample lacks, which is a phrase of its own
-        table = np.full((lone + 1, self.width), 2 * lone + 1, np.int32)
-        for c, s in go[0].items():
-            table[:, c] = 2 * s + 1
-        for s, edges in enumerate(go):
-            for c, t in edges.items():
-                table[s, c] = 2 * t
-        table[0, table[0] == 2 * lone + 1] = 2 * lone  # nothing ends at a text's start
-        return table.reshape(-1)
-
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(texts, languages): how many phrases each text needs."""
         size = np.array([len(t) for t in texts], np.int64)
         segments = -(-size // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), segments)
-        flat = self.symbol[np.concatenate(texts)] if len(texts) else np.zeros(0, np.int16)
+        flat = self.symbol[np.concatenate(texts)] if len(texts) else np.zeros(0, np.int32)
         first = np.concatenate(([0], np.cumsum(size)))[:-1]
         rank = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(segments)))[:-1], segments)
         start = first[owner] + rank * SEGMENT
@@ -188,19 +236,19 @@ class Automata:
             for step, a in enumerate(alive.tolist()):
                 c = flat[at[:a] + step]
                 for table, s, e in zip(self.tables, state, count, strict=True):
-                    v = table[s[:a] * self.width + c]
+                    v = table.step(s[:a], c)
                     e[:a] += v & 1
                     s[:a] = v >> 1
             for (ends, last), s, e in zip(out, state, count, strict=True):
                 ends[lane], last[lane] = e, s
         return out
 
-    def _correct(self, table: np.ndarray, flat: np.ndarray, start: np.ndarray, length: np.ndarray, lane: np.ndarray, old: np.ndarray, new: np.ndarray, ends: np.ndarray, last: np.ndarray) -> None:
+    def _correct(self, table: Table, flat: np.ndarray, start: np.ndarray, length: np.ndarray, lane: np.ndarray, old: np.ndarray, new: np.ndarray, ends: np.ndarray, last: np.ndarray) -> None:
         """Puts right ``ends`` and ``last`` of the segments ``lane``, which were parsed from ``old`` and begin in ``new``."""
         step = 0
         while len(lane):
             c = flat[start[lane] + step]
-            v, w = table[old * self.width + c], table[new * self.width + c]
+            v, w = table.step(old, c), table.step(new, c)
             ends[lane] += (w & 1) - (v & 1)
             old, new, step = v >> 1, w >> 1, step + 1
             over = (length[lane] == step) & (old != new)

@@ -19,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import packed, settled
 
 THRESHOLD = 0.7
 
@@ -64,7 +64,7 @@ STOP = frozenset("a all an and any are as at be been by can do does for from has
 EVERYDAY = frozenset(("0", "1", "2", "3", "mit"))
 #: Parts of a file between lines without a letter or digit.
 PARAGRAPH = r"\n[^A-Za-z0-9\n]*\n"
-SPDX = r"SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]*[A-Za-z0-9])"
+TAG = "SPDX-License-Identifier:"
 
 SENTENCE = r"\n|(?<=[.!?;])[ \t]+"
 TOKEN = "[^a-z0-9]+"
@@ -133,9 +133,11 @@ def long_matches(files: DataFrame, text_col: str, keys: tuple[str, ...]) -> Data
     dot = x.where("idf is not null").join(F.broadcast(weight), "w").groupBy(*by, "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot")).where(f"dot >= {THRESHOLD}")
     near = dot.join(norm, list(by)).select(*keys, "at", F.round(F.col("dot") / F.col("norm"), 9).alias("score"), F.substring_index("template", "#", 1).alias("licence")).where(F.col("score") >= THRESHOLD)
     ids = {n.lower(): n for n, _ in TEMPLATES}
-    name = F.regexp_replace(F.lower(F.regexp_extract(text_col, SPDX, 1)), r"(-only|-or-later|\+)$", "")
-    spdx = files.where(F.col(text_col).contains("SPDX-License-Identifier:")).select(*keys, F.size(F.split(F.substring_index(text_col, "SPDX-License-Identifier:", 1), "\n")).alias("n"), name.alias("name"))
-    named = spdx.where(F.col("name").isin(*ids)).select(*keys, (F.col("n") - 1).alias("at"), F.lit(1.0).alias("score"), F.element_at(F.create_map(*(F.lit(v) for e in ids.items() for v in e)), F.col("name")).alias("licence"))
+    # every identifier of every line that has the tag; words of the expression itself name no licence
+    line = files.where(F.col(text_col).contains(TAG)).select(*keys, F.posexplode(F.split(text_col, "\n")).alias("at", "s")).where(F.col("s").contains(TAG))
+    each = line.select(*keys, "at", F.explode(F.regexp_extract_all(F.substring_index("s", TAG, -1), F.lit(r"[A-Za-z0-9.+-]*[A-Za-z0-9+]"), F.lit(0))).alias("name"))
+    spdx = each.select(*keys, "at", F.regexp_replace(F.lower("name"), r"(-only|-or-later|\+)$", "").alias("name")).distinct()
+    named = spdx.where(F.col("name").isin(*ids)).select(*keys, "at", F.lit(1.0).alias("score"), F.element_at(F.create_map(*(F.lit(v) for e in ids.items() for v in e)), F.col("name")).alias("licence"))
     return near.unionByName(named)
 
 
@@ -144,7 +146,7 @@ def telling_pattern(idf: dict[str, float]) -> str:
 
 
 def template_matches(files: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("path", "th")) -> DataFrame:
-    """Keys, ``licence``, ``score``, ``first``: the best template of each file that reaches the threshold.
+    """Keys, ``licence``, ``score``, ``first``, ``every``: the best template of each file that reaches the threshold, and all that do, by name.
 
     A licence comes before "All rights reserved.", a line of many of them.  Ties go to the licence that comes first by name, then to the earlier sentence; ``first`` tells that the
     sentence or paragraph is the file's first, or that it is the whole file.
@@ -167,31 +169,35 @@ def template_matches(files: DataFrame, text_col: str = "text", keys: tuple[str,
         name = F.when(F.col(f"_{i}") == best, F.lit(names[i])).otherwise(name)
     hit = scored.select(*keys, "at", best.alias("score"), name.alias("licence")).where(F.col("score") >= THRESHOLD)
     hit = hit.unionByName(long_matches(files, text_col, keys))
-    top = hit.groupBy(*keys).agg(F.min(F.struct((F.col("licence") == "Proprietary").alias("p"), (-F.col("score")).alias("s"), "licence", "at")).alias("b"))
-    return top.select(*keys, "b.licence", (-F.col("b.s")).alias("score"), (F.col("b.at") == 0).alias("first"))
+    top = hit.groupBy(*keys).agg(F.min(F.struct((F.col("licence") == "Proprietary").alias("p"), (-F.col("score")).alias("s"), "licence", "at")).alias("b"), F.array_sort(F.collect_set("licence")).alias("every"))
+    return top.select(*keys, "b.licence", (-F.col("b.s")).alias("score"), (F.col("b.at") == 0).alias("first"), "every")
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", is_licence_file: Column | None = None) -> DataFrame:
-    """``files`` without their text, with ``own_licence``, ``score``, ``inherited_licence``, ``inherited_from`` and ``licence``.
+    """``files`` without their text, with ``own_licence``, ``score``, ``own_licences``, ``inherited_licence``, ``inherited_from`` and ``licence``.
 
     A licence file gives its licence to its directory and all below that have none nearer: files that match
     and satisfy ``is_licence_file`` (a condition over ``path`` and ``first``; by default a base name that
     starts with LICENSE, LICENCE or COPYING).  Of several in a directory the first path counts.  A file's own
-    match comes before what it inherits.  Null texts have no match, null paths inherit nothing.  Nearest
+    match comes before what it inherits.  ``own_licence`` is the best match alone, ``own_licences`` are all of a file,
+    those of SPDX expressions included.  Null texts have no match; files with a null path keep their own match, but
+    give and inherit nothing.  Repeated paths are files each.  Columns named like those added are replaced.  Nearest
     directories are found for directories, not files, by joins over their ancestors.
     """
     cond = is_licence_file if is_licence_file is not None else F.regexp_extract("path", "[^/]*$", 0).rlike("^(?i)(LICEN[SC]E|COPYING)")
-    drop = ("own_licence", "score", "inherited_licence", "inherited_from", "licence", "path", "th")
-    rest = [c for c in files.columns if c not in (text_col, path_col, *drop)]
-    keyed = files.select(*(F.col(f"`{c}`") for c in rest), F.col(path_col).cast("string").alias("path"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("_text"))
+    added = ("own_licence", "score", "own_licences", "inherited_licence", "inherited_from", "licence", "path")
+    rest = [c for c in files.columns if c not in (text_col, path_col, *added)]
+    # the caller's columns travel as one struct, so that none meets a name used here
+    keyed = files.select(packed(files, text_col, path_col, *added).alias("_row"), F.col(f"`{path_col}`").cast("string").alias("path"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("_text"))
     # read twice below, and small
-    found = settled(template_matches(keyed.where("path is not null and _text is not null"), "_text"))
-    given = found.where(cond).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.min_by("licence", F.struct("path", "licence")).alias("licence"))
+    found = settled(template_matches(keyed.where("_text is not null"), "_text"))
+    given = found.where(cond & F.col("path").isNotNull()).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.min_by("licence", F.struct("path", "licence")).alias("licence"))
     narrow = keyed.drop("_text").withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
     dirs = narrow.select("dir").where("dir is not null").distinct()
     steps = F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda i: F.array_join(F.slice(F.split("dir", "/"), 1, i), "/"))
     above = dirs.select("dir", F.posexplode(steps).alias("depth", "up"))
     nearest = above.join(given.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("licence", "up"), F.col("depth")).alias("n"))
-    own = found.select("path", "th", F.col("licence").alias("own_licence"), "score")
-    out = narrow.join(own, ["path", "th"], "left").join(nearest, "dir", "left")
-    return out.select(*(F.col(f"`{c}`") for c in rest), "path", "own_licence", "score", F.col("n.licence").alias("inherited_licence"), F.col("n.up").alias("inherited_from"), F.coalesce("own_licence", "n.licence").alias("licence"))
+    own = found.select(F.col("path").alias("_path"), F.col("th").alias("_th"), F.col("licence").alias("own_licence"), "score", F.col("every").alias("own_licences"))
+    out = narrow.join(own, narrow["path"].eqNullSafe(own["_path"]) & (narrow["th"] == own["_th"]), "left").join(nearest, "dir", "left")
+    columns = [F.col(f"_row.`{c}`") for c in rest]
+    return out.select(*columns, "path", "own_licence", "score", "own_licences", F.col("n.licence").alias("inherited_licence"), F.col("n.up").alias("inherited_from"), F.coalesce("own_licence", "n.licence").alias("licence"))

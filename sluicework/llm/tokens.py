@@ -4,7 +4,8 @@ A unigram model over a public vocabulary splits each pre-token (a blank-separate
 mark in front) into the pieces with the greatest sum of scores.  The best score of a prefix depends on the
 prefix alone, so the distinct pre-tokens are inserted in a trie: a node is solved when it is made, from the
 nodes above it, and holds the best score of its prefix and the pieces that it takes.  The node at which a
-pre-token ends is its count.  A worker's trie serves all its batches until it has ``NODES`` nodes.
+pre-token ends is its count.  A worker's trie serves all its batches until it has ``NODES`` nodes; a pre-token
+of more than ``LONG`` characters shares next to nothing and is solved along a window of the longest piece.
 
 Scores are a parameter (a score for each piece).  Without one the vocabulary file's order is used: it holds no
 probabilities, and tokenizers are not trained here, so piece number r has the Zipf probability
@@ -28,6 +29,8 @@ from .shingles import slices
 MARK = "▁"
 #: Nodes of a trie before it begins anew, and counts that a worker remembers; they bound memory and change no result.
 NODES, REMEMBER = 300_000, 200_000
+#: Characters of a pre-token that is inserted; longer ones are neither inserted nor remembered, to the same count.
+LONG = 4096
 
 
 def default_vocabulary() -> str:
@@ -94,6 +97,29 @@ class Trie:
         return len(best) - 1
 
 
+def windowed(word: str, pieces: dict[str, int], octets: list[int], ends: frozenset[str], longest: int) -> int:
+    """``Trie.insert`` without a trie: only the prefixes that the longest piece can reach are kept."""
+    size = max(1, longest) + 1
+    best, count, get = [0] * size, [0] * size, pieces.get
+    for d in range(1, len(word) + 1):
+        c, before = word[d - 1], (d - 1) % size
+        if c in pieces:
+            s, n = -(1 << 62), 0
+        else:
+            raw = c.encode("utf-8", "surrogatepass")
+            s, n = best[before] + sum(octets[x] for x in raw), count[before] + len(raw)
+        a = d - 1
+        while a >= 0 and (p := word[a:d]) in ends:
+            v = get(p)
+            if v is not None:
+                t, k = best[a % size] + v, count[a % size] + 1
+                if t > s or (t == s and k < n):
+                    s, n = t, k
+            a -= 1
+        best[d % size], count[d % size] = s, n
+    return count[len(word) % size]
+
+
 def scored(scores: dict[str, int]) -> tuple[dict[str, int], list[int], frozenset[str], int]:
     """A parameter table of piece scores as ``load_scores`` returns it; bytes score below every piece."""
     least = min(scores.values(), default=0)
@@ -105,25 +131,32 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
     """``docs``' ids with n_words and n_tokens.  Null texts have null counts, texts without words 0.
 
     Nothing is shuffled: each worker has its own trie, and a pre-token is solved once however often it
-    occurs.  Texts are read whole; words of any length are one path of the trie.  ``scores``: pieces (with the
-    word-start mark) and their scores as whole numbers, in place of those of the vocabulary file.
+    occurs in a batch.  Texts are read whole, with words of any length.  ``scores``: pieces (with the
+    word-start mark) and their scores as whole numbers, in place of those of the vocabulary file.  An id column
+    that is called like one of the counts comes out as ``id``.
     """
     path = None if scores is not None else vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, octets, ends, _ = scored(scores) if path is None else load_scores(path)
+        pieces, octets, ends, longest = scored(scores) if path is None else load_scores(path)
         trie, known = Trie(pieces, octets, ends), {}
         for b in batches:
             for part in slices(b, 1):
                 words = [t.as_buffer().to_pybytes().split() if t.is_valid else None for t in part.column(1)]
                 if len(known) > REMEMBER:
                     known.clear()
+                once = {}
                 for w in set().union(*(w for w in words if w)).difference(known):
+                    if len(w) > LONG:
+                        once[w] = windowed(MARK + w.decode("utf-8", "replace"), pieces, octets, ends, longest)
+                        continue
                     if len(trie.best) > NODES:
                         trie = Trie(pieces, octets, ends)
                     known[w] = trie.insert(MARK + w.decode("utf-8", "replace"))
                 n = [None if w is None else len(w) for w in words]
-                t = [None if w is None else sum(map(known.__getitem__, w)) for w in words]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(t, pa.int64())], [id_col, "n_words", "n_tokens"])
+                at = (lambda w: once[w] if len(w) > LONG else known[w]) if once else known.__getitem__
+                t = [None if w is None else sum(map(at, w)) for w in words]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(t, pa.int64())], [name, "n_words", "n_tokens"])
 
-    return mapped(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_words long, n_tokens long")
+    name = "id" if id_col.lower() in ("n_words", "n_tokens") else id_col
+    return mapped(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")), run, f"`{name}` {docs.select(F.col(f'`{id_col}`')).schema[0].dataType.simpleString()}, n_words long, n_tokens long")
