@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, bucket_count, group_key, key60, packed, row_tie, running_totals
+from ..operators.ordered import numbered, running
+from .common import WORD, bucket_count, group_key, key60, packed, row_tie, running_totals, settled
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (1, 2, 3)
@@ -38,41 +39,41 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """From (g, source, size), one row per source: adds ``place``, ``weight`` and ``target``.
+    """From (g, source, size), one row per source: adds ``place``, ``weight``, ``target`` and ``all``, the size of all.
 
-    The table has a row per source, far fewer than documents; it is ordered in one task.
+    Places and sums along the sources come from range buckets, so that a table of very many sources is no task's;
+    only sums over all of them reach the driver.
     """
-    by_name = W.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), "source")
-    ranked = sizes.withColumn("place", F.row_number().over(by_name) - 1)
+    ranked = numbered(sizes, [], [F.col("source").asc_nulls_last()], "place")
     weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("weight", weight.cast("double")).withColumn("cap", F.col("size") * float(limit))
-    up = W.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), "place")
-    rest = up.rowsBetween(W.currentRow, W.unboundedFollowing)
-    every = W.partitionBy(F.lit(0))
-    full = F.col("cap") / F.col("weight") <= F.col("level")
-    level = (F.sum("size").over(every) - F.coalesce(F.sum("cap").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(rest)
-    ranked = ranked.withColumn("level", level).withColumn("full", full)
-    open_cap = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(every)
-    open_weight = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(every)
-    share = (F.sum("size").over(every) - open_cap) / F.nullif(open_weight, F.lit(0.0))
+    ranked = settled(running(ranked, [], [F.col("cap") / F.col("weight"), "place"], caps="cap", weights="weight"))
+    whole, heavy = ranked.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level = (F.lit(whole) - F.col("caps")) / (F.lit(heavy) - F.col("weights"))
+    ranked = ranked.withColumn("full", F.col("cap") / F.col("weight") <= level)
+    open_cap, open_weight = ranked.agg(F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~F.col("full"), F.col("weight"))), F.lit(0.0))).first()
+    share = F.lit((whole - open_cap) / open_weight if open_weight else None).cast("double")
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * share)
-    return ranked.withColumn("target", F.least(target, F.col("cap"))).withColumn("all", F.sum("size").over(every)).select("g", "source", "size", "place", "weight", "target", "all")
+    return ranked.withColumn("target", F.least(target, F.col("cap"))).withColumn("all", F.lit(whole).cast("long")).select("g", "source", "size", "place", "weight", "target", "all")
 
 
 def seat_quotas(targets: DataFrame, shards: int = SHARDS, limit: int = LIMIT) -> DataFrame:
     """One row per source and shard that it has words in: (g, shard, quota)."""
-    every = W.partitionBy(F.lit(0))
-    t = targets.where("target > 0").withColumn("most", F.expr(f"{limit} * size")).withColumn("sources", F.count(F.lit(1)).over(every))
+    t = targets.where("target > 0").withColumn("most", F.expr(f"{limit} * size"))
     # sources at their limit take no more, so the others share what rounding moves
-    t = t.withColumn("open", F.sum(F.when(F.col("target") < F.col("most"), F.col("target")).otherwise(0.0)).over(every)).withColumn("open", F.when(F.col("open") > 0, F.col("open")).otherwise(F.col("all")))
+    sources, free, whole = t.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("target") < F.col("most"), F.col("target"))), F.lit(0.0)), F.coalesce(F.max("all"), F.lit(0))).first()
     t = t.withColumn("end", F.explode(F.sequence(F.lit(1), F.lit(shards)))).withColumn("house", F.expr(f"least(all, end * ((all + {shards - 1}) div {shards}))"))
-    low = F.least(F.col("most"), F.greatest(F.lit(0), F.floor(F.col("target") * (F.col("house") - F.col("sources")) / F.col("all")) - 1)).cast("long")
-    high = F.least(F.col("most"), F.floor(F.col("target") * (F.col("house") / F.col("all") + F.col("sources") / F.col("open"))) + 2).cast("long")
+    low = F.least(F.col("most"), F.greatest(F.lit(0), F.floor(F.col("target") * (F.col("house") - F.lit(sources)) / F.lit(whole or 1)) - 1)).cast("long")
+    high = F.least(F.col("most"), F.floor(F.col("target") * (F.col("house") / F.lit(whole or 1) + F.lit(sources / (free or whole or 1)))) + 2).cast("long")
     t = t.withColumn("low", low).withColumn("high", high)
     sure = t.select("g", "end", F.col("low").alias("n"))
-    seat = t.withColumn("left", F.col("house") - F.sum("low").over(W.partitionBy("end"))).where("high > low").withColumn("k", F.explode(F.sequence("low", F.col("high") - 1)))
-    seat = seat.withColumn("r", F.row_number().over(W.partitionBy("end").orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), "place"))).where("r <= left")
-    ends = sure.union(seat.select("g", "end", F.lit(1).cast("long"))).groupBy("g", "end").agg(F.sum("n").alias("n"))
+    left = {r["end"]: r["n"] for r in t.groupBy("end").agg((F.first("house") - F.sum("low")).alias("n")).collect()}  # a row for each shard
+    seat = t.where("high > low").withColumn("k", F.explode(F.sequence("low", F.col("high") - 1)))
+    seat = numbered(seat.select("g", "end", "place", (F.col("target") / (2 * F.col("k") + 1)).alias("quotient")), ["end"], [F.col("quotient").desc(), "place"], "r")
+    open_seats = F.lit(0).cast("long")
+    for end, n in sorted(left.items()):
+        open_seats = F.when(F.col("end") == end, F.lit(n)).otherwise(open_seats)
+    ends = sure.union(seat.where(F.col("r") < open_seats).select("g", "end", F.lit(1).cast("long"))).groupBy("g", "end").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.lag("n").over(W.partitionBy("g").orderBy("end")), F.lit(0))
     return ends.select("g", (F.col("end") - 1).alias("shard"), (F.col("n") - before).alias("quota")).where("quota > 0")
 
@@ -125,7 +126,7 @@ def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", source: str = "
     rows = docs.select(packed(docs).alias("row"), F.col(source).cast("string").alias("source"), group_key(F.col(source)).alias("g"), h, row_tie(docs).alias("tie"), size.alias("size")).withColumn("bucket", F.col("h") % b)
     totals = docs.select(F.col(source).cast("string").alias("source"), group_key(F.col(source)).alias("g"), h, size.alias("size")).groupBy("g", (F.col("h") % b).alias("bucket")).agg(F.sum("size").alias("n"), F.first("source").alias("source"))
     sizes = totals.groupBy("g").agg(F.first("source").alias("source"), F.sum("n").alias("size"))
-    targets = source_targets(sizes)
+    targets = source_targets(settled(sizes))
     targets = targets.withColumn("block", F.greatest(F.lit(1), F.expr(f"(all + {shards * seats - 1}) div {shards * seats}")))
     copies = block_copies(seat_quotas(targets, shards), targets, seed)
     block = targets.select("g", F.col("size").alias("source_size"), "target", "block")
