@@ -103,11 +103,20 @@ def deactivate_users(active: DataFrame, targets: DataFrame, stores: DataFrame) -
 
 
 def remove_objects(documents: DataFrame, commands: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(surviving documents, removed count per store) of ``commands`` (store_no, expected_generation) that pass the cleanup fence."""
+    """(surviving documents, removed count per store) of ``commands`` (store_no, expected_generation) that pass the cleanup fence.
+
+    The same commands clear a store's key-value state: see ``cleared_state``.
+    """
     s = cleanup_fence(commands, stores).where("status = 'succeeded'").select("store_no").distinct()
     return documents.join(s, "store_no", "left_anti"), documents.join(s, "store_no", "left_semi").groupBy("store_no").agg(F.count(F.lit(1)).alias("affected"))
 
 
+def cleared_state(state: DataFrame, commands: DataFrame, stores: DataFrame) -> DataFrame:
+    """``state`` (store_no, key, value) after the objects of stores were removed: nothing of theirs is left."""
+    s = cleanup_fence(commands, stores).where("status = 'succeeded'").select("store_no").distinct()
+    return state.join(s, "store_no", "left_anti")
+
+
 def put_state(puts: DataFrame, stores: DataFrame) -> DataFrame:
     """The store's key-value state after fenced puts (store_no, key, value, expected_generation, ordinal): the last that passes wins."""
     s = stores.where(F.col("lifecycle_state").isin(*WRITABLE)).select("store_no", F.col("lifecycle_generation").alias("expected_generation"))

@@ -56,12 +56,10 @@ def _joined(rows: DataFrame, part: list[str], starts: DataFrame) -> DataFrame:
 
 
 def matched(rows: DataFrame, table: DataFrame, part: list[str]) -> DataFrame:
-    """Inner join on ``part``, in which null groups are groups; the planner chooses its kind."""
+    """Inner join on ``part`` (at least one column), in which null groups are groups; the planner chooses its kind."""
     names = {c: f"_{c}_of_table" for c in part}
     t = table.withColumnsRenamed(names)
     t = t.select(*names.values(), *(c for c in t.columns if c not in rows.columns and c not in names.values()))
-    if not part:
-        return rows.crossJoin(F.broadcast(t))  # one group: a row for each of its few targets
     on = rows[part[0]].eqNullSafe(t[names[part[0]]])
     for c in part[1:]:
         on = on & rows[c].eqNullSafe(t[names[c]])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import admission, commands, quota
+from ..functions import policy
+from ..operators import admission, commands, fence, quota
 from . import carriers as C
 from .flow_queries import key_sql, text_sql
 from .registry import query
@@ -204,3 +205,35 @@ def controller_bootstraps(spark: SparkSession, d: str) -> DataFrame:
     """Controllers that start anew with the authority."""
     c = controllers(spark, d).join(C.table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 5).cast("long").alias("authority_generation"), F.when(F.col("c_acctbal") >= 5000, "active").otherwise("inactive").alias("authority_state")), "c_custkey")
     return commands.bootstrapped(c).select("store_key", F.size("syncs").cast("long").alias("syncs"), F.size("remediations").cast("long").alias("remediations"), "lifecycle_generation", "state")
+
+
+# ---- stores, state, defaults
+
+
+@query("""SELECT n_nationkey::BIGINT AS store_no, CASE WHEN n_regionkey = 4 THEN 'active' ELSE ['active','syncing','deactivating','inactive','deactivation_failed'][n_nationkey % 5 + 1] END AS lifecycle_state, CASE WHEN n_regionkey = 4 THEN 0 ELSE n_nationkey % 4 END::BIGINT AS lifecycle_generation FROM nation
+ UNION ALL SELECT DISTINCT 100 + c_custkey % 25, 'active', 0::BIGINT FROM customer WHERE c_acctbal > 9000""")
+def ensured_stores(spark: SparkSession, d: str) -> DataFrame:
+    """Stores that are asked for: those that are known stay as they are, new ones begin."""
+    known = C.stores(spark, d).join(C.table(spark, d, "nation").where("n_regionkey <> 4").select(F.col("n_nationkey").cast("long").alias("store_no")), "store_no", "left_semi").select("store_no", "lifecycle_state", "lifecycle_generation")
+    asked = C.stores(spark, d).select("store_no").unionByName(C.table(spark, d, "customer").where("c_acctbal > 9000").select((100 + F.col("c_custkey") % 25).alias("store_no"))).distinct()
+    return fence.ensure_stores(known, asked.select("store_no", F.lit("active").alias("lifecycle_state"), F.lit(0).cast("long").alias("lifecycle_generation")))
+
+
+@query(f"""WITH {C.STORES}, t AS (SELECT o_custkey % 25 AS store_no, o_orderpriority AS key, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS value FROM orders GROUP BY ALL)
+ SELECT t.store_no, key, value::VARCHAR AS value FROM t JOIN stores USING (store_no) WHERE lifecycle_state <> 'deactivating' OR (SELECT s_acctbal < 0 FROM supplier WHERE s_suppkey = t.store_no) IS TRUE""")
+def cleared_states(spark: SparkSession, d: str) -> DataFrame:
+    """State that is left after removals; some removals name the generation before."""
+    s = C.stores(spark, d)
+    state = C.table(spark, d, "orders").groupBy((F.col("o_custkey") % 25).alias("store_no"), F.col("o_orderpriority").alias("key")).agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).cast("string").alias("value"))
+    late = C.table(spark, d, "supplier").select(F.col("s_suppkey").alias("store_no"), (F.col("s_acctbal") < 0).alias("_late"))
+    removals = s.join(late, "store_no", "left").select("store_no", (F.col("lifecycle_generation") - F.coalesce(F.col("_late"), F.lit(False)).cast("int")).alias("expected_generation"))
+    return fence.cleared_state(state, removals, s)
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'mode=ordinary|user_page_size=100' WHEN c_acctbal < 0 THEN 'mode=round|user_page_size=100' ELSE 'extra=' || c_nationkey || '|mode=ordinary|user_page_size=' || c_nationkey END AS settings FROM customer""")
+def settings_over_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """A client's defaults under what each caller gives."""
+    n = F.col("c_nationkey").cast("string")
+    given = F.when(F.col("c_mktsegment") == "BUILDING", F.lit(None)).when(F.col("c_acctbal") < 0, F.create_map(F.lit("mode"), F.lit("round"))).otherwise(F.create_map(F.lit("user_page_size"), n, F.lit("extra"), n))
+    entries = F.array_sort(F.map_entries(policy.defaults_under({"user_page_size": "100", "mode": "ordinary"}, given)))
+    return C.table(spark, d, "customer").select("c_custkey", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("settings"))

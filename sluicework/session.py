@@ -27,7 +27,7 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cpus: int | str | None = None, **conf: str) -> SparkSession:
-    """A local session with the settings that the queries assume: UTC, adaptive execution."""
+    """A local session with the settings that the queries assume: UTC, adaptive execution, checkpoints that go with their results."""
     n = str(cpus or os.environ.get("BENCH_CPUS", "8"))
     settings = {
         "spark.sql.session.timeZone": "UTC",
@@ -35,6 +35,8 @@ def local_session(cpus: int | str | None = None, **conf: str) -> SparkSession:
         "spark.sql.shuffle.partitions": n if n.isdigit() else "8",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="sluicework-"),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     return SparkSession.builder.master(f"local[{n}]").appName("sluicework").config(map=settings).getOrCreate()
