@@ -371,15 +371,15 @@ def quota_wait(spark: SparkSession, d: str) -> DataFrame:
     return requester.grant_waits(e.where("g = 0").withColumnRenamed("us", "requested_us"), e.where("g = 1").withColumnRenamed("us", "granted_us"))
 
 
-_ORDER = """m AS (SELECT DISTINCT 'scope-' || user_id AS scope, 'r' || (event_id % 97) AS request_id FROM events WHERE event_id % 3 <> 0),
- o AS (SELECT 'scope-' || user_id AS scope, 'r' || (event_id % 97) AS request_id, min(event_id) AS first_at FROM events WHERE event_id % 5 <> 0 GROUP BY ALL)"""
+_ORDER = """m AS (SELECT DISTINCT 'scope-' || user_id AS scope, 'r' || (event_id % 97) AS request_id FROM events WHERE event_type <> 'click'),
+ o AS (SELECT 'scope-' || user_id AS scope, 'r' || (event_id % 97) AS request_id, min(event_id) AS first_at FROM events WHERE event_type <> 'view' GROUP BY ALL)"""
 
 
 @query(f"WITH {_ORDER} SELECT scope, request_id, row_number() OVER (PARTITION BY scope ORDER BY first_at IS NULL, first_at, request_id) - 1 AS place FROM m LEFT JOIN o USING (scope, request_id)")
 def quota_repaired_order(spark: SparkSession, d: str) -> DataFrame:
-    """The queue's order after a repair: known places first, the rest by id."""
-    e = C.table(spark, d, "events").select(F.concat(F.lit("scope-"), F.col("user_id").cast("string")).alias("scope"), F.concat(F.lit("r"), (F.col("event_id") % 97).cast("string")).alias("request_id"), F.col("event_id").alias("ordinal"))
-    return quota.repaired_order(e.where("ordinal % 5 <> 0"), e.where("ordinal % 3 <> 0"))
+    """The queue's order after a repair: known places first, the rest by id.  Clicks are entries of no member, views members without one, the others both."""
+    e = C.table(spark, d, "events").select(F.concat(F.lit("scope-"), F.col("user_id").cast("string")).alias("scope"), F.concat(F.lit("r"), (F.col("event_id") % 97).cast("string")).alias("request_id"), F.col("event_id").alias("ordinal"), "event_type")
+    return quota.repaired_order(e.where("event_type <> 'view'"), e.where("event_type <> 'click'"))
 
 
 @query("WITH f AS (SELECT 'scope-' || user_id AS scope, 'r' || (event_id % 97) AS request_id, min(event_id) AS ordinal FROM events GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY ordinal DESC) - 1 AS place FROM f) SELECT * FROM n WHERE place < 10")

@@ -121,7 +121,7 @@ def progress_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT event_type || '/' || user_id % 8 || '/default' AS quota_scope, event_id, value, epoch_us(ts) AS t FROM events),
- o AS (SELECT quota_scope, arg_max(floor(value)::BIGINT, event_id) AS configured_limit, min(CASE WHEN value < 1 THEN 0 ELSE floor(value)::BIGINT END) AS remaining, max(t) FILTER (value > 50) AS reset_us, max(CASE WHEN value > 50 THEN t ELSE event_id + 60000000 END) FILTER (value < 1 OR value > 99) AS blocked_us FROM e GROUP BY ALL)
+ o AS (SELECT quota_scope, arg_max(floor(value)::BIGINT, event_id) AS configured_limit, min(CASE WHEN value < 1 OR value > 99 THEN 0 ELSE floor(value)::BIGINT END) AS remaining, max(t) FILTER (value > 50) AS reset_us, max(CASE WHEN value > 50 THEN t ELSE event_id + 60000000 END) FILTER (value < 1 OR value > 99) AS blocked_us FROM e GROUP BY ALL)
  SELECT o.*, 4::BIGINT AS max_in_flight, 350::BIGINT AS max_pending_requests, (SELECT count(*) FROM e WHERE e.quota_scope = o.quota_scope AND value BETWEEN 10 AND 11) AS in_flight, remaining = 0 AS disabled,
  (SELECT count(*) FROM e WHERE e.quota_scope = o.quota_scope AND value < 5) AS pending_count, (SELECT count(*) FROM e WHERE e.quota_scope = o.quota_scope AND value BETWEEN 10 AND 11) AS reservation_count, 'initial' AS quota_window_id FROM o""")
 def quota_snapshots(spark: SparkSession, d: str) -> DataFrame:

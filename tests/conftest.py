@@ -13,7 +13,8 @@ from sluicework.session import local_session, ship  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(4, **{"spark.sql.shuffle.partitions": "4", "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
+    # queries of a few rows are run once, so compiling them would take most of the time
+    s = local_session(4, **{"spark.sql.shuffle.partitions": "4", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
     s.sparkContext.setLogLevel("ERROR")
     return ship(s)
 
