@@ -11,12 +11,12 @@ MIN_LENGTH, MAX_LENGTH, DEFAULT_LENGTH = 8, 52, 26
 
 def json_string(value: Column) -> Column:
     """A JSON string literal; control characters are escaped with lower-case digits."""
-    quoted = F.substring(F.to_json(F.struct(value.cast("string").alias("v"))), 6, 1 << 30)
-    body = F.regexp_replace(quoted, r"\}$", "")
+    quoted = F.substring(F.to_json(F.struct(value.cast("string").alias("v")), {"ignoreNullFields": "false"}), 6, 1 << 30)
+    body = F.rtrim(quoted, F.lit("}"))  # the one that follows the closing quote or null
     for code in range(32):
         if f"{code:04X}" != f"{code:04x}":
             body = F.replace(body, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
-    return F.when(value.isNull(), F.lit("null")).otherwise(body)
+    return body
 
 
 def json_number(value: Column) -> Column:
@@ -31,18 +31,12 @@ def json_array(*parts: Column) -> Column:
 def base32_sha256(text: Column, length: int = MAX_LENGTH) -> Column:
     """The first base32 digits of the text's SHA-256, unpadded; there are 52.
 
-    The digits are a function of one variable, so that the hash is computed once and a query of many keys stays
-    small enough to be compiled.
+    15 hexadecimal digits at a time become 12 of base 32; the last five, a zero added, become four.  No part is
+    conditional, so the hash is computed once, and all of it is compiled.
     """
-
-    def digits(hexed: Column) -> Column:
-        out = []
-        for g in range(-(-length // 4)):  # groups of 20 bits
-            v = F.conv(F.substring(hexed, 5 * g + 1, 5), 16, 10).cast("int")
-            out += [F.substring(F.lit(ALPHABET), (F.shiftright(v, 15 - 5 * k).bitwiseAND(F.lit(31)) + 1), F.lit(1)) for k in range(4)]
-        return F.concat(*out[:length])
-
-    return F.element_at(F.transform(F.array(F.rpad(F.sha2(text, 256), 65, "0")), digits), 1)
+    hexed = F.rpad(F.sha2(text, 256), 65, "0")
+    digits = [F.lpad(F.conv(F.substring(hexed, 15 * g + 1, 15), 16, 32), 12 if g < 4 else 4, "0") for g in range(-(-length // 12))]
+    return F.translate(F.substring(F.concat(*digits), 1, length), "0123456789ABCDEFGHIJKLMNOPQRSTUV", ALPHABET)
 
 
 def opaque_key(namespace: str, *parts: Column, length: int = DEFAULT_LENGTH) -> Column:
@@ -55,11 +49,7 @@ def opaque_key(namespace: str, *parts: Column, length: int = DEFAULT_LENGTH) ->
 
 def composite_id(prefix: str, *components: Column) -> Column:
     """``prefix/a/b/...``; null if any component is."""
-    joined = F.concat_ws("/", F.lit(prefix), *components)
-    ok = components[0].isNotNull()
-    for c in components[1:]:
-        ok = ok & c.isNotNull()
-    return F.when(ok, joined)
+    return F.concat(F.lit(prefix), *(x for c in components for x in (F.lit("/"), c)))
 
 
 def component(value: Column, namespace: str) -> Column:
@@ -116,7 +106,8 @@ def operation_id(kind: str, *values: Column) -> Column:
     names = ID_PARTS[kind]
     if len(values) != len(names):
         raise ValueError(f"{kind} takes {', '.join(names)}")
-    parts = [generation_component(v) if n == "generation" else F.when(v.isNotNull(), opaque_key(n, v)) for n, v in zip(names, values, strict=True)]
+    # a null value makes its part null without a condition, so that equal keys of several ids are computed once
+    parts = [generation_component(v) if n == "generation" else F.concat(opaque_key(n, v), F.left(v, F.lit(0))) for n, v in zip(names, values, strict=True)]
     return composite_id(kind, *parts)
 
 

@@ -412,7 +412,7 @@ def operation_ids(spark: SparkSession, d: str) -> DataFrame:
     j, k = keys.json_string, F.col("c_custkey")
     text = lambda prefix: j(F.concat(F.lit(prefix), k.cast("string")))
     store, seq, gen, user, files = j(F.col("c_name")), j(F.col("c_mktsegment")), k % 4, text("u"), j(F.lit("files"))
-    c = C.table(spark, d, "customer").withColumn("resource_sync", keys.operation_id("resource-sync", store, gen, seq, user, files))
+    c = C.spread(C.table(spark, d, "customer").select(k, "c_name", "c_mktsegment")).withColumn("resource_sync", keys.operation_id("resource-sync", store, gen, seq, user, files))
     return c.select(
         k, keys.operation_id("store-controller", store).alias("store_controller"), keys.operation_id("store-sync", store, gen, seq).alias("store_sync"), keys.operation_id("user-sync", store, gen, seq, user).alias("user_sync"), "resource_sync",
         keys.operation_id("files-page", j(F.col("resource_sync")), keys.json_number(k)).alias("files_page"), keys.operation_id("document-ingest", store, gen, text("d"), j(F.lit("v1"))).alias("document_ingest"), keys.operation_id("store-deactivation", store, k % 5 - 1).alias("store_deactivation"),
@@ -424,7 +424,7 @@ def operation_ids(spark: SparkSession, d: str) -> DataFrame:
  "('{\"__datetime__\":\"' || strftime(t, '%Y-%m-%dT%H:%M:%S') || '+00:00\"}')", "('{\"__datetime__\":\"' || strftime(t, '%Y-%m-%d') || '\"}')", "('{\"__dataclass__\":{\"a\":' || c_custkey || ',\"b\":\"x\"}}')")} AS typed FROM c""")
 def typed_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys of bytes, enumerations, times, dates and records, which are told from texts."""
-    c = C.table(spark, d, "customer").withColumn("t", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("c_custkey")))
+    c = C.spread(C.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")).withColumn("t", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("c_custkey")))
     parts = [keys.json_bytes(F.col("c_name").cast("binary")), keys.json_enum(F.col("c_mktsegment")), keys.json_datetime(F.col("t")), keys.json_date(F.col("t")), keys.json_record({"b": keys.json_string(F.lit("x")), "a": keys.json_number(F.col("c_custkey"))})]
     return c.select("c_custkey", keys.opaque_key("typed", *parts).alias("typed"))
 
