@@ -141,6 +141,5 @@ def quota_snapshots(spark: SparkSession, d: str) -> DataFrame:
  SELECT store_no, ordinal, command_id, duplicate FROM r WHERE n > 0""")
 def command_dedup_bounded(spark: SparkSession, d: str) -> DataFrame:
     """Whether a command is among the twelve that its store remembers."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     c = C.table(spark, d, "events").select((F.col("user_id") % 25).alias("store_no"), F.concat("event_type", F.lit("-"), F.floor("value").cast("string")).alias("command_id"), F.col("event_id").alias("ordinal"))
     return remembered(c, "store_no", "command_id", "ordinal", 12)

@@ -4,10 +4,12 @@ import json
 import random
 from collections import OrderedDict
 
+import pytest
 from pyspark.sql import functions as F
 
 from sluicework.operators import analytics
 from sluicework.sources import histories, provider
+from sluicework.streaming import dedup
 from sluicework.streaming.dedup import remembered
 
 
@@ -67,6 +69,19 @@ def test_dedup_of_a_stream_equals_that_of_a_table(spark, tmp_path):
     assert {x["ordinal"]: x["duplicate"] for x in spark.read.parquet(str(tmp_path / "out")).collect()} == want
 
 
+@pytest.mark.parametrize("remember", [1, 4, 8])
+@pytest.mark.parametrize("names", [9, 40])
+def test_dedup_of_a_table_goes_on_across_buckets(spark, monkeypatch, remember, names):
+    """One key lies in most buckets; with few names what buckets leave behind depends on what they begin with."""
+    monkeypatch.setattr(dedup, "GUESSES", 1)
+    r = random.Random(names)
+    rows = [(None if r.random() < 0.9 else r.choice("ab"), f"id{r.randrange(names)}", at) for at in range(400)]
+    table = spark.createDataFrame(rows, "store_no string, command_id string, ordinal long").repartition(3)
+    got = remembered(table, "store_no", "command_id", "ordinal", remember, buckets=9)
+    assert {x["ordinal"]: x["duplicate"] for x in got.collect()} == plain(rows, remember)
+    assert "transformWithState" not in got._jdf.queryExecution().toString() and got.rdd.getNumPartitions() == 9
+
+
 def test_users_behind_a_cursor(spark, tmp_path):
     """A page for each batch; an exhausted one is asked for again."""
     spark.dataSource.register(provider.UserPages)
