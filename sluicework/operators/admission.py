@@ -9,6 +9,7 @@ handled one after the other.  Logs in which kinds depend on each other are the f
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys
@@ -95,9 +96,8 @@ def cancel(cancellations: DataFrame, held: DataFrame) -> DataFrame:
     The first of a request ends it, known or not, so that it can't come later; the others, and those of ended
     requests, are ignored.  A freed permit makes room, but its cost stays spent.
     """
-    j = cancellations.join(held.select(*ID, "status"), ID, "left")
-    first = cancellations.groupBy(*ID).agg(F.min("ordinal").alias("_first"))
-    j = j.join(first, ID)
+    # the rows of a request are together since the join
+    j = cancellations.join(held.select(*ID, "status"), ID, "left").withColumn("_first", F.min("ordinal").over(W.partitionBy(*ID)))
     over = (F.col("request_id") == "") | F.coalesce(F.col("status") == "ended", F.lit(False)) | (F.col("ordinal") > F.col("_first"))
     name = F.when(F.col("kind") == "undelivered", "undelivered").otherwise("canceled")
     return j.withColumn("outcome", F.when(over, "ignored").otherwise(name)).withColumn("freed", F.when(~over, F.col("status"))).drop("_first", "status")

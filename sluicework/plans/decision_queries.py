@@ -35,11 +35,19 @@ _HELD = "h AS (SELECT o_custkey AS scope, 'r' || o_orderkey AS request_id, CASE
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    """Line items of an order go to its customer's scope; many name the order itself, or their part, several times."""
-    li, o = C.table(spark, d, "lineitem"), C.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    """Line items of an order go to its customer's scope; many name the order itself, or their part, several times.
+
+    An ordinal belongs to one order, so items of one ordinal are settled where their order's are, before they meet it.
+    """
+    k = F.col("l_orderkey")
+    place = (k * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100).alias("ordinal")
+    items = C.table(spark, d, "lineitem").select(k, place, "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag").repartition("l_orderkey")
+    least = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag")).alias("m")
+    li = items.groupBy("l_orderkey", "ordinal").agg(least).select("l_orderkey", "ordinal", "m.*")
+    o = C.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").repartition("o_orderkey").groupBy("o_orderkey", "o_custkey").agg(F.min("o_orderpriority").alias("o_orderpriority"))
+    name = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("r"), k.cast("string"))).when(F.col("l_quantity") == 1, "").otherwise(F.concat(F.lit("part"), (F.col("l_partkey") % 5).cast("string")))
     j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
-    name = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("r"), F.col("l_orderkey").cast("string"))).when(F.col("l_quantity") == 1, "").otherwise(F.concat(F.lit("part"), (F.col("l_partkey") % 5).cast("string")))
-    return j.select(F.col("o_custkey").alias("scope"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100).alias("_o"), name.alias("request_id"), "l_quantity", "l_linestatus", "l_returnflag", "o_orderpriority", "l_suppkey", "l_partkey").groupBy("scope", F.col("_o").alias("ordinal")).agg(F.min_by(F.struct("request_id", "l_quantity", "l_linestatus", "l_returnflag", "o_orderpriority", "l_suppkey"), F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("m")).select("scope", "ordinal", "m.*")
+    return j.select(F.col("o_custkey").alias("scope"), "ordinal", name.alias("request_id"), "l_quantity", "l_linestatus", "l_returnflag", "o_orderpriority", "l_suppkey")
 
 
 _MESSAGES = """m AS (SELECT o_custkey AS scope, l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS ordinal, arg_min({'request_id': CASE WHEN l_returnflag = 'R' THEN 'r' || l_orderkey WHEN l_quantity = 1 THEN '' ELSE 'part' || (l_partkey % 5) END,
