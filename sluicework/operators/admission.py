@@ -107,8 +107,7 @@ def complete(completions: DataFrame, held: DataFrame) -> DataFrame:
     """``completions`` (scope, ordinal, request_id, permit_id) with ``outcome``: the first that names a reserved request and its own permit completes it."""
     reserved = held.where("status = 'reserved'").select(*ID, F.col("permit_id").alias("_own"))
     j = completions.join(reserved, ID, "left").withColumn("_fits", F.coalesce(F.col("permit_id") == F.col("_own"), F.lit(False)))
-    first = j.where("_fits").groupBy(*ID).agg(F.min("ordinal").alias("_first"))
-    j = j.join(first, ID, "left")
+    j = j.withColumn("_first", F.min(F.when(F.col("_fits"), F.col("ordinal"))).over(W.partitionBy(*ID)))
     return j.withColumn("outcome", F.when(F.col("_fits") & (F.col("ordinal") == F.col("_first")), "completed").otherwise("ignored")).drop("_own", "_fits", "_first")
 
 
