@@ -77,17 +77,18 @@ def enqueue(requests: DataFrame, held: DataFrame, scopes: DataFrame, max_pending
     """
     cap = min(max(1, max_pending), MAX_PENDING)
     waiting = held.where("status = 'pending'").groupBy("scope").agg(F.count(F.lit(1)).alias("_waiting"))
-    j = requests.join(held.select(*ID).distinct().withColumn("_known", F.lit(True)), ID, "left").join(scopes.select("scope", F.col("disabled").alias("_off")), "scope", "left").join(waiting, "scope", "left")
-    why = F.when(F.col("_known"), "duplicate").when(F.col("request_id") == "", EMPTY_ID).when(F.col("cost") <= 0, BAD_COST).when(F.col("other_scope"), OTHER_SCOPE).when(F.col("requester") == "", NO_REQUESTER).when(F.col("_off"), DISABLED)
-    j = j.withColumn("_why", why)
-    first = j.where("_why is null").groupBy(*ID).agg(F.min("ordinal").alias("_first"))
-    j = j.join(first, ID, "left").withColumn("_own", F.col("_why").isNull() & (F.col("ordinal") == F.col("_first")))
-    j = ordered.running(j, ["scope"], ["ordinal"], _ahead=F.col("_own").cast("long"))
-    placed = j.where("_own").select(*ID, (F.coalesce("_waiting", F.lit(0)) + F.col("_ahead") < cap).alias("_in"))
+    off = scopes.where("disabled").select("scope").distinct().withColumn("_off", F.lit(True))
+    why = F.when(F.col("request_id") == "", EMPTY_ID).when(F.col("cost") <= 0, BAD_COST).when(F.col("other_scope"), OTHER_SCOPE).when(F.col("requester") == "", NO_REQUESTER)
+    j = requests.withColumn("_why", why).join(off, "scope", "left").withColumn("_why", F.coalesce("_why", F.when(F.col("_off"), DISABLED))).drop("_off")
+    j = j.join(held.select(*ID).distinct().withColumn("_known", F.lit(True)), ID, "left").withColumn("_why", F.when(F.col("_known"), "duplicate").otherwise(F.col("_why"))).drop("_known")
+    # the rows of an id are together since the join; of a scope's first requests no more than have places are looked at
+    j = j.withColumn("_first", F.min(F.when(F.col("_why").isNull(), F.col("ordinal"))).over(W.partitionBy(*ID)))
+    own = j.where("_why is null and ordinal = _first").select(*ID, "ordinal").withColumn("_nth", F.row_number().over(W.partitionBy("scope").orderBy("ordinal"))).where(F.col("_nth") <= cap)
+    placed = own.join(waiting, "scope", "left").where(F.coalesce("_waiting", F.lit(0)) + F.col("_nth") <= cap).select(*ID, F.lit(True).alias("_in"))
     j = j.join(placed, ID, "left")
     again = F.coalesce(F.col("_in") & (F.col("ordinal") > F.col("_first")), F.lit(False))
     out = F.when(again, "duplicate").when(F.col("_why").isNotNull(), F.col("_why")).when(F.col("_in"), "queued").otherwise(FULL)
-    return j.withColumn("outcome", out).drop("_known", "_off", "_waiting", "_why", "_first", "_own", "_ahead", "_in")
+    return j.withColumn("outcome", out).drop("_why", "_first", "_in")
 
 
 def cancel(cancellations: DataFrame, held: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 import random
 from datetime import UTC, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from sluicework.operators import admission, commands, controller, quota
+from sluicework.plans import registry
 
 NOON = datetime(2025, 3, 1, 9, 30, tzinfo=UTC)
 
@@ -141,3 +143,24 @@ def test_controllers_that_start_anew(spark):
     d = spark.createDataFrame(rows, "n long, syncs array<string>, remediations array<string>, authority_generation long, authority_state string").withColumns({"lifecycle_generation": F.lit(0), "state": F.lit("x")})
     got = {x["n"]: (x["state"], x["lifecycle_generation"]) for x in commands.bootstrapped(d).collect()}
     assert got == {n: (lambda c: (c.state, c.generation))(controller.Controller.bootstrap("s", (3, state), dict.fromkeys(syncs, 3))) for n, syncs, _, _, state in rows}
+
+
+@pytest.mark.parametrize("name", ["quota_cancels", "quota_completions"])
+def test_messages_are_read_once(spark, sf, name):
+    """The first of a request is found where its rows are, without a second reading of all messages."""
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
+
+
+def test_places_are_looked_for_among_the_first_requests(spark):
+    """Nothing is settled; a scope's rows beyond its places go to no task together, and rows without a key are kept."""
+    asks = spark.createDataFrame([("s", n, f"r{n % 4}", 1, False, "w") for n in range(9)] + [("off", 1, "a", 1, False, "w"), ("s", 9, None, 1, False, "w")], "scope string, ordinal long, request_id string, cost int, other_scope boolean, requester string")
+    held = spark.createDataFrame([("s", "r1", "pending"), ("s", "x", "ended")], "scope string, request_id string, status string")
+    scopes = spark.createDataFrame([("s", False), ("off", True)], "scope string, disabled boolean")
+    got = admission.enqueue(asks, held, scopes, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "_bucket" not in plan
+    want = {("s", n): {0: "queued", 1: "duplicate"}.get(n % 4, quota.FULL) for n in range(9)} | {("s", 4): "duplicate", ("s", 8): "duplicate", ("off", 1): quota.DISABLED, ("s", 9): quota.FULL}
+    assert {(r["scope"], r["ordinal"]): r["outcome"] for r in got.collect()} == want
+    stops = spark.createDataFrame([("s", 1, None, "cancel"), ("s", 2, "x", "cancel")], "scope string, ordinal long, request_id string, kind string")
+    assert admission.cancel(stops, held).count() == 2
