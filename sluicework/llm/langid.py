@@ -33,6 +33,8 @@ SEGMENT = 1024
 MARGIN, QUANTILE = 1.5, 0.99
 #: ... and so many phrases on top.
 SLACK = 4
+#: Steps of a bit in which costs of known texts are counted.
+STEPS = 4096
 #: Lanes that are parsed at once.
 LANES = 4096
 #: Bytes of all dense tables; an automaton beyond them is a sorted list of at most three edges a character.
@@ -73,21 +75,28 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", seed: int = 42) ->
     return joined(labelled_sample(docs, id_col, seed))
 
 
-def foreign_limit(rows: list[tuple[str, str]]) -> tuple[float, float]:
-    """(bits a symbol, bits on top) beyond which a text is in none of the sampled languages.
+def foreign_limit(docs: DataFrame, rows: list[tuple[str, str]]) -> tuple[float, float]:
+    """(bits a symbol, bits on top) beyond which a text is in none of the languages of ``rows``, a sample of ``docs``.
 
-    Every other text of the sample is held out and parsed with what the rest of it teaches: ``MARGIN`` times
-    the ``QUANTILE`` of its costs, and ``SLACK`` phrases, so that a few odd words make no text foreign.
+    Every other text of the sample teaches; all other labelled documents are held out and parsed: ``MARGIN`` times the
+    ``QUANTILE`` of their costs, and ``SLACK`` phrases, so that a few odd words make no text foreign.  Costs are counted
+    in steps of 1 / ``STEPS``, of which the quantile's upper end is taken, so their number doesn't grow with the input.
     Infinite if there is nothing to hold out.
     """
-    known = Automata(joined(rows[::2]))
-    size = np.array([len(normalised(t)) for _, t in rows[1::2]])
-    if not known.langs or not (size > 0).any():
+    taught = rows[::2]
+    known = Automata(joined(taught))
+    if not known.langs:
         return float("inf"), 0.0
-    bits = np.array(known.predict([t for _, t in rows[1::2]])[2])
     extra = SLACK * float(known.cost.max())
-    rate = np.maximum(bits[size > 0] * size[size > 0] - extra, 0) / size[size > 0]
-    return MARGIN * float(np.quantile(rate, QUANTILE)), extra
+    held = docs.where("lang is not null and length(text) > 0").select("text")
+    used = docs.sparkSession.createDataFrame([(t,) for _, t in taught], "text string").distinct()
+    cost = identify(held.join(F.broadcast(used), "text", "left_anti"), joined(taught)).where("lang_symbols > 0")
+    rate = F.greatest(F.col("lang_bits") - F.lit(extra) / F.col("lang_symbols"), F.lit(0.0))
+    counted = sorted((r["step"], r["n"]) for r in cost.groupBy(F.ceil(rate * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect())
+    if not counted:
+        return float("inf"), 0.0
+    upto = np.cumsum([n for _, n in counted])
+    return MARGIN * counted[int(np.searchsorted(upto, QUANTILE * upto[-1]))][0] / STEPS, extra
 
 
 def normalised(text: str) -> np.ndarray:

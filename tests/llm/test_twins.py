@@ -157,3 +157,18 @@ def test_languages_of_given_documents_stay(spark, sf):
     some = docs.where("lang is not null and n_chars > 100")
     assert some.join(kept.select("doc_id"), "doc_id", "left_anti").count() <= 0.02 * some.count()
     assert langid.UNDETERMINED not in {r[0] for r in langid.identify(kept, langid.training_sample(docs)).select("lang_pred").distinct().collect()}
+
+
+def test_the_limit_of_foreign_texts_comes_from_all_labelled_documents(spark, monkeypatch):
+    """Documents beyond the sample raise the limit if more of them cost more than the quantile leaves out; what taught doesn't count."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 4)
+    plain = [(k, "en", f"the cat sat on the mat and the dog ran to the house number {'abcdefgh'[k % 8]} " * 9) for k in range(40)]
+    odd = [(1000 + k, "en", "zqxj vkwp qqzz xxjk wvzq pkqj " * 9) for k in range(40)]
+    schema = "doc_id long, lang string, text string"
+    rows = langid.labelled_sample(spark.createDataFrame(plain, schema))
+    low, _ = langid.foreign_limit(spark.createDataFrame(plain, schema), rows)
+    high, extra = langid.foreign_limit(spark.createDataFrame(plain + odd, schema), rows)
+    known = langid.Automata(langid.joined(rows[::2]))
+    _, _, bits, size = known.predict([odd[0][2]])
+    assert low < high and abs(high / langid.MARGIN - max(bits[0] - extra / size[0], 0)) <= 1 / langid.STEPS
+    assert langid.foreign_limit(spark.createDataFrame([(0, "en", t) for _, t in rows[::2]], schema), rows) == (float("inf"), 0.0)
