@@ -51,6 +51,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(df: DataFrame) -> DataFrame:
+    """As ``settled``; the shuffles that led to it leave the disks at once, not when the driver happens to collect garbage."""
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return settled(df.select("*"))  # a plan takes the setting over when it is made
+
+
 def tabled(df: DataFrame) -> DataFrame:
     """As ``settled``, but as a compressed Parquet table: for wide or long results of which columns are read apart.
 

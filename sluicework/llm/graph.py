@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import released
 
 
 def _digest(e: DataFrame) -> tuple:
@@ -21,7 +21,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     the shared checkpoint folder, so neither the driver nor a single task ever holds a component.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).toDF("u", "v", "ok").where("ok").drop("ok").distinct()
-    e = settled(e)
+    e = released(e)
     seen = _digest(e)
     while seen[0]:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         to = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(to, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(to.select("u", F.col("m").alias("v"))).distinct()
-        e = settled(small)
+        e = released(small)
         now = _digest(e)
         if now == seen:
             break

@@ -1,16 +1,20 @@
 """N-gram Jaccard join: groups of documents whose shingle sets are similar.
 
-1. Candidates by prefixes.  If two sets overlap in the t / (1 + t) of their sizes that similarity t asks for,
+1. Equal texts.  Ids of one text are linked to the smallest of them, which alone goes on: a corpus in which
+   everything is there a dozen times has the candidates of one of its copies.
+2. Candidates by prefixes.  If two sets overlap in the t / (1 + t) of their sizes that similarity t asks for,
    then under any common order of shingles their first shingles hold a common one: of n, the first
    n - ceil(t n) + 1.  So every pair that is similar meets under a shingle of its prefixes, whatever the
    order; none is lost.  The order only decides how many others meet: shingles that are frequent (counted in
    a first pass over the beginnings of all sets) come last, so documents that merely share a passage
-   hardly meet.  Size and place bound what a pair can still share after the first common shingle; pairs
-   below the bound are discarded where they meet.
-2. Documents of a shingle that more than ``FEW`` have in their prefixes are linked to its smallest id
-   instead, within each task first, so a shingle of a third of all rows reaches the next task as a row per
-   task.  Candidate groups are the components.
-3. Blocks.  A group (or, if it is large, each pair of its blocks) goes to one task, which multiplies rows of
+   hardly meet.  Tasks know them by marks, a bit at a hash of each: their number isn't bounded, and what is
+   marked by chance comes late in all sets alike.  Size and place bound what a pair can still share after
+   the first common shingle; pairs below the bound are discarded where they meet.
+3. Documents of a shingle that more than ``FEW`` have in their prefixes aren't paired.  Size and place leave
+   each an interval of sizes, and the pairs within the bound are those of intervals that hold each other:
+   runs of them are linked to their smallest id.  Those of one size and place that can meet count once,
+   within each task first.  Candidate groups are the components.
+4. Blocks.  A group (or, if it is large, each pair of its blocks) goes to one task, which multiplies rows of
    the document by n-gram incidence with the transposed matrix: overlap counts accumulate over posting
    lists; pairs whose sizes rule the bound out are discarded before, pairs below it after.  Documents that
    are linked already aren't compared again; of equal texts one is compared.  Links are exact; the task
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, settled
+from .common import mapped, released
 from .graph import components
 from .shingles import U, chunks, flat_bytes, mix, shingle_sets
 
@@ -36,8 +40,8 @@ BLOCK = 4 << 20
 BROADCAST_IDS = 500_000
 #: A shingle in the prefixes of more documents is frequent.
 FEW = 8
-#: At most so many frequent shingles (8 bytes each) are sent to all tasks: the most frequent ones.
-FREQUENT = 500_000
+#: Bits of the marks of frequent shingles for each of them, and binary logarithms of the least and the most bits in all (32 MB).
+MARKS = (32, 12, 28)
 #: Frequent shingles are counted in so many times the length of a prefix.
 LOOK = 1.5
 #: Rows that a task holds before it passes them on.
@@ -67,6 +71,12 @@ def prefixes(h: np.ndarray, at: np.ndarray, frequent: np.ndarray, num: int, den:
     return h[keep], who[keep], place[keep]
 
 
+def marked(h: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The sorted distinct shingles of ``h`` that are marked."""
+    bit = h >> U(58 - (len(marks).bit_length() - 1))
+    return np.unique(h[(marks[bit >> U(6)] >> (bit & U(63))) & U(1) == 1])
+
+
 def _batch(key: np.ndarray, a: np.ndarray, n: np.ndarray | None, place: np.ndarray | None, b: np.ndarray | None) -> pa.RecordBatch:
     m = len(key)
     cols = [pa.array(key.view(np.int64)), pa.array(a)]
@@ -80,34 +90,78 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return _batch(mix(pair[:, 0].astype(U) * U(3) + pair[:, 1].astype(U)), pair[:, 0], None, None, pair[:, 1])
 
 
-def _pass_on(key: np.ndarray, a: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows of a task; of a key with more than ``FEW`` only the smallest id, with place -1, and links to it."""
-    order = np.lexsort((a, key))
+def _limit(n: np.ndarray, place: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The size of the largest set with which one of n shingles can be similar if the first common one has this place."""
+    return (n - place) * (num + den) // num - n
+
+
+def _starts(*cols: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before; the first does."""
+    new = np.zeros(len(cols[0]), bool)
+    new[:1] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _merged(key: np.ndarray, a: np.ndarray, n: np.ndarray, place: np.ndarray, num: int, den: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(rows by key and id, p, q): in keys of more than ``FEW`` rows the smallest id stands for all of one size and place that can meet; p are linked to q."""
+    order = np.lexsort((a, place, n, key))
     key, a, n, place = key[order], a[order], n[order], place[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.concatenate((first, [len(key)])))
-    lead = np.zeros(len(key), bool)
-    lead[first] = True
-    many = np.repeat(size > FEW, size)
-    keep = lead | ~many
-    far = many & (np.repeat(a[first], size) != a)
-    if far.any():
-        yield _edges(a[far], np.repeat(a[first], size)[far])
-    keep = np.flatnonzero(keep)
-    keep = keep[np.argsort(a[keep], kind="stable")]  # ids in order compress well in the shuffle
-    yield _batch(key[keep], a[keep], n[keep], np.where(many, -1, place)[keep], None)
+    first = _starts(key)
+    many = np.repeat(np.diff(np.append(first, len(key))) > FEW, np.diff(np.append(first, len(key))))
+    same = _starts(key, n, place)
+    lead = np.repeat(same, np.diff(np.append(same, len(key))))
+    gone = many & (lead != np.arange(len(key))) & (_limit(n, place, num, den) >= n)
+    far = gone & (a[lead] != a)
+    keep = np.flatnonzero(~gone)
+    keep = keep[np.lexsort((a[keep], key[keep]))]
+    return [c[keep] for c in (key, a, n, place)], a[far], a[lead][far]
+
+
+def _pass_on(rows: list[np.ndarray], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a task, merged, and links of those that others stand for."""
+    (key, a, n, place), p, q = _merged(*rows, num, den)
+    if len(p):
+        yield _edges(p, q)
+    by_id = np.argsort(a, kind="stable")  # ids in order compress well in the shuffle
+    yield _batch(key[by_id], a[by_id], n[by_id], place[by_id], None)
+
+
+def _runs(a: np.ndarray, n: np.ndarray, place: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, smallest id of its component) of the graph of all pairs of one key that are within the bound.
+
+    x and y, x the smaller set, are such a pair if y's size is within x's limit and x's size within y's.
+    Those whose limit isn't below their size hence pair if the intervals from size to limit overlap; others
+    pair only with smaller ones, and with one at all if the largest limit among sets within theirs allows it.
+    """
+    order = np.argsort(n, kind="stable")
+    a, n, most = a[order], n[order], _limit(n, place, num, den)[order]
+    up = most >= n
+    if not up.any():
+        return a[:0], a[:0]
+    far = np.maximum.accumulate(most[up])
+    run = np.cumsum(np.append(True, n[up][1:] > far[:-1])) - 1
+    at = np.searchsorted(n[up], most[~up], side="right") - 1
+    fits = (at >= 0) & (far[at] >= n[~up])
+    ids, runs = np.concatenate((a[up], a[~up][fits])), np.concatenate((run, run[at[fits]]))
+    lead = np.full(run[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(lead, runs, ids)
+    other = lead[runs] != ids
+    return ids[other], lead[runs][other]
 
 
 def _meet(key: np.ndarray, a: np.ndarray, n: np.ndarray, place: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of whole keys, rows sorted by key and id."""
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.concatenate((first, [len(key)])))
-    star = (size > FEW) | (np.minimum.reduceat(place, first) < 0)
-    lead = np.repeat(a[first], size)
-    far = np.repeat(star, size) & (lead != a)
-    p, q = [a[far]], [lead[far]]
+    first = _starts(key)
+    size = np.diff(np.append(first, len(key)))
+    p, q = [a[:0]], [a[:0]]
+    for lo, m in zip(first[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+        x, y = _runs(a[lo : lo + m], n[lo : lo + m], place[lo : lo + m], num, den)
+        p.append(x)
+        q.append(y)
     for m in range(2, FEW + 1):
-        at = first[~star & (size == m)]
+        at = first[size == m]
         for i in range(m):
             for j in range(i + 1, m):
                 x, y = at + i, at + j
@@ -129,7 +183,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarra
 
 
 def frequent_shingles(some: DataFrame, n: int, num: int, den: int) -> np.ndarray:
-    """The sorted shingles that more than ``FEW`` documents of (id, t) have among their first ones, ``FREQUENT`` at most."""
+    """Marks, in words of 64 bits, of the shingles that more than ``FEW`` documents of (id, t) have among their first ones."""
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -150,7 +204,7 @@ def frequent_shingles(some: DataFrame, n: int, num: int, den: int) -> np.ndarray
             yield counted()
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by key; the last key of a batch waits for the next one."""
+        """The keys of more than ``FEW``.  Rows come by key; the last key of a batch waits for the next one."""
         key, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in _then_none(batches):
             if batch is not None:
@@ -164,21 +218,17 @@ def frequent_shingles(some: DataFrame, n: int, num: int, den: int) -> np.ndarray
             key, total = (names[-1:], sums[-1:]) if batch is not None else (names[:0], sums[:0])
             if batch is not None:
                 names, sums = names[:-1], sums[:-1]
-            hot = sums > FEW
-            yield pa.RecordBatch.from_arrays([pa.array(names[hot]), pa.array(sums[hot])], ["key", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[sums > FEW])], ["key"])
 
     dealt = mapped(some, begin, "key long, c int").repartition("key").sortWithinPartitions("key")
-    found = settled(mapped(dealt, often, "key long, c long"))
-    # only as many as may be sent: those above the least count that leaves so many
-    by = found.groupBy(F.log2("c").cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("l").desc()).collect()
-    least, total = 0, 0
-    for r in by:
-        total += r["n"]
-        if total > FREQUENT:
-            least = 1 << (r["l"] + 1)
-            break
-    got = found.where(F.col("c") >= least).select("key").toArrow().column(0).to_numpy()
-    return np.sort(got.view(U))
+    found = released(mapped(dealt, often, "key long"))
+    each, least, most = MARKS
+    bits = min(most, max(least, (found.count() * each).bit_length()))
+    bit = F.shiftrightunsigned("key", 64 - bits)
+    words = found.groupBy(F.shiftrightunsigned(bit, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int)))").alias("word")).toArrow()
+    marks = np.zeros(1 << (bits - 6), U)
+    marks[words.column(0).to_numpy()] = words.column(1).to_numpy().view(U)
+    return marks
 
 
 def _then_none(items: Iterator) -> Iterator:
@@ -195,17 +245,17 @@ def candidate_links(docs: DataFrame, n: int, num: int, den: int, id_col: str, te
         held, count = [], 0
         with np.errstate(over="ignore"):
             for doc, h, at in _sets(batches, n):
-                key, who, place = prefixes(h, at, late.value, num, den)
+                key, who, place = prefixes(h, at, marked(h, late.value), num, den)
                 held.append((key, doc[who], np.diff(at)[who], place))
                 count += len(key)
                 if count >= HELD:
-                    yield from _pass_on(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    yield from _pass_on([np.concatenate(c) for c in zip(*held, strict=True)], num, den)
                     held, count = [], 0
             if count:
-                yield from _pass_on(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                yield from _pass_on([np.concatenate(c) for c in zip(*held, strict=True)], num, den)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by key and id.  The last key of a batch waits for the next one, as its smallest id only if it has many rows."""
+        """Rows come by key and id.  The last key of a batch waits for the next one, merged if it has many rows."""
         wait = [np.zeros(0, np.int64)] * 4
         for batch in _then_none(batches):
             p, q = [], []
@@ -220,11 +270,9 @@ def candidate_links(docs: DataFrame, n: int, num: int, den: int, id_col: str, te
                 now = [np.concatenate(c) for c in zip(wait, cols, strict=True)]
                 last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
                 wait, now = [c[last:] for c in now], [c[:last] for c in now]
-                if len(wait[0]) > FEW:  # one row stands for them
-                    far = wait[1] != wait[1][0]
-                    p.append(wait[1][far])
-                    q.append(np.full(int(far.sum()), wait[1][0]))
-                    wait = [*(c[:1] for c in wait[:3]), np.array([-1])]
+                wait, x, y = _merged(*wait, num, den)
+                p.append(x)
+                q.append(y)
             if len(now[0]):
                 x, y = _meet(*now, num, den)
                 p.append(x)
@@ -242,6 +290,19 @@ def _picking(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _one_of_equal(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (node, t): its rows without ids that stand nowhere for their text; (a, b) of ids and the smallest id of the same text; (node, bytes)."""
+    named = texts.select("node", F.unhex(F.md5("t")).alias("name"), F.octet_length("t").alias("bytes"))
+    first = released(named.join(named.groupBy("name").agg(F.min("node").alias("first")), "name").select("node", "first", "bytes"))
+    each = released(first.groupBy("node").agg(F.max("bytes").alias("bytes"), F.max(F.col("node") == F.col("first")).alias("stands")))
+    gone, stays = each.where("not stands").select("node"), each.where("stands").select("node")
+    if stays.count() < gone.count():
+        some = texts.join(_picking(stays), "node", "left_semi")
+    else:
+        some = texts.join(_picking(gone), "node", "left_anti")
+    return some, first.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")), each.select("node", "bytes")
+
+
 def link_sets(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     """For each of the distinct sets the first set that it is joined with by links, itself included."""
     m = len(sets)
@@ -284,20 +345,15 @@ def link_sets(sets: list[np.ndarray], num: int, den: int) -> list[int]:
 
 def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(a, b): exact links as a forest; its components are those of the graph of all links."""
-    near = settled(candidate_links(docs, n, num, den, id_col, text_col))
-    group = settled(components(near, "a", "b"))
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t"))
-    one = texts.select("node", F.md5("t").alias("name"), F.octet_length("t").alias("bytes")).join(_picking(group), "node")
-    # of equal texts in a group the smallest id is compared; rows of one id stay together
-    kind = one.groupBy("component", "name").agg(F.min("node").alias("first"), F.max("bytes").alias("bytes"))
-    one = settled(one.select("component", "name", "node").join(kind, ["component", "name"]))
-    equal = one.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    apart = one.where("node = first").select("component", "node", "bytes").distinct()
+    texts, equal, bytes_ = _one_of_equal(texts)
+    near = released(candidate_links(texts, n, num, den, "node", "t"))
+    apart = bytes_.join(_picking(released(components(near, "a", "b"))), "node")
     size = apart.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("bytes") / block).cast("int").alias("blocks"))
     placed = apart.join(size.where("n > 1"), "component").withColumn("x", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), "blocks")).cast("int"))
     placed = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("blocks") - 1))))
     placed = placed.select("node", "component", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    unit = texts.join(_picking(settled(placed)), "node").select("component", "x", "y", "node", "t").repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "node")
+    unit = texts.join(_picking(released(placed)), "node").select("component", "x", "y", "node", "t").repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "node")
 
     def solve(ids: list[np.ndarray], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         doc = np.concatenate(ids)
@@ -360,7 +416,7 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     wordless texts have no shingles and no links; rows of one id are one document as far as links go; a
     null id has a null component.  Equal sets are one class, of which one member is compared.
     """
-    comp = components(settled(jaccard_links(docs, n, num, den, id_col, text_col, block)), "a", "b").withColumnsRenamed({"node": "_node", "component": "_component"})
+    comp = components(released(jaccard_links(docs, n, num, den, id_col, text_col, block)), "a", "b").withColumnsRenamed({"node": "_node", "component": "_component"})
     counts = shingle_counts(docs.select(F.col(id_col), F.col(text_col)), n, text_col)
     return counts.join(comp, F.col(id_col) == F.col("_node"), "left").select(F.col(id_col), "n_shingles", F.coalesce("_component", F.col(id_col)).alias("component_id"))
 
@@ -374,11 +430,11 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
 
     from .common import row_tie
 
-    comp = components(settled(jaccard_links(docs, n, num, den, id_col, text_col)), "a", "b")
-    gone = settled(comp.where("node <> component").select(F.col("node").alias("_node")))
+    comp = components(released(jaccard_links(docs, n, num, den, id_col, text_col)), "a", "b")
+    gone = released(comp.where("node <> component").select(F.col("node").alias("_node")))
     kept = docs.join(_picking(gone), F.col(id_col) == F.col("_node"), "left_anti")
     ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_node")).agg(F.count(F.lit(1)).alias("n"))
-    twice = settled(ids.where("n > 1").select("_node"))
+    twice = released(ids.where("n > 1").select("_node"))
     if twice.isEmpty():
         return kept
     same = F.col(id_col) == F.col("_node")
